@@ -1,0 +1,28 @@
+"""Connected components of a link table, all in DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from casewright.llm.common import stored
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) for every node of ``links`` (a, b): component is the smallest node that is reachable.
+
+    Rounds of neighbours' smallest label and pointer jumping; each round is a stored table, so lineage does not grow.
+    The number of rounds is about the logarithm of the longest chain.
+    """
+    links = links.filter("a != b")
+    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    label = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    while True:
+        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        step = label.join(near, "node").select("node", F.least("component", "near").alias("to"), F.col("component").alias("old"))
+        jump = label.select(F.col("node").alias("to"), F.col("component").alias("beyond"))
+        step = stored(step.join(jump, "to", "left").select("node", F.least(F.col("to"), F.coalesce("beyond", "to")).alias("component"), "old"), "labels")
+        moved = step.filter("component != old").limit(1).count()
+        label = step.select("node", "component")
+        if not moved:
+            return label
