@@ -1 +1 @@
-
+"""Relational operators of the engine: functions of DataFrames."""

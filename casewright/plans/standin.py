@@ -29,7 +29,7 @@ VIEWS: dict[str, str] = {
   case when c_acctbal >= 0 then coalesce(prior, 0) end as prior_cases
   from customer left join (select o_custkey, count(*) as prior from orders where o_orderstatus = 'F' group by 1) on o_custkey = c_custkey""",
     "entity": """select c_custkey as id, c_custkey % 5 as case_id, case c_custkey % 3 when 0 then 'PERSON' when 1 then 'ORGANIZATION' else 'VEHICLE' end as entity_type,
-  c_mktsegment || ' ' || cast(c_nationkey as varchar) || ' ' || cast(c_custkey % 40 as varchar) as name from customer""",
+  c_mktsegment || ' ' || cast(c_nationkey as varchar) || ' ' || cast(c_custkey % 8 as varchar) as name from customer""",
     "relation": """select id, case_id, src, dst, kind, confidence, candidate_id from (
   select o_orderkey as id, o_custkey % 5 as case_id, o_custkey as src, o_custkey - o_custkey % 80 + (o_custkey % 5 + 5 * ((o_custkey * 3 + o_orderkey) % 16)) as dst,
     case o_orderkey % 4 when 0 then 'CALLED' when 1 then 'OWNS' when 2 then 'USED' else 'ASSOCIATE_OF' end as kind,
@@ -101,7 +101,7 @@ class Tables:
         key = F.col("c_custkey")
         return self.customer.select(
             key.alias("id"), (key % 5).alias("case_id"), F.when(key % 3 == 0, "PERSON").when(key % 3 == 1, "ORGANIZATION").otherwise("VEHICLE").alias("entity_type"),
-            F.concat_ws(" ", "c_mktsegment", F.col("c_nationkey").cast("string"), (key % 40).cast("string")).alias("name"),
+            F.concat_ws(" ", "c_mktsegment", F.col("c_nationkey").cast("string"), (key % 8).cast("string")).alias("name"),
         )
 
     @cached_property
