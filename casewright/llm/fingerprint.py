@@ -16,24 +16,22 @@ K, WIDTH = 128, 5
 
 
 def sketch(text: Column, k: int = K, width: int = WIDTH) -> Column:
-    """Bottom-k sketch (array<long>) of the hashes of ``width`` words in a row (A-Z lower-cased); all words as one shingle if there are fewer; empty without words."""
-    ascii_lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.filter(F.split(ascii_lower, SPACE + "+"), lambda w: w != "")
-    return sketch_of_words(words, k, width)
+    """Bottom-k sketch (array<long>) of the hashes of ``width`` words in a row (lower-cased); all words as one shingle if there are fewer; empty without words."""
+    trimmed = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\f\r"))
+    return F.when(trimmed == "", F.array().cast("array<long>")).otherwise(sketch_of_words(F.split(trimmed, SPACE + "+"), k, width))
 
 
 def sketch_of_words(words: Column, k: int = K, width: int = WIDTH) -> Column:
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    # one struct of the word and its followers at each place; places at the end have nulls and are cut off
-    at = F.sequence(F.lit(1), F.greatest(F.size(words) - (width - 1), F.lit(1)))
-    with_hashes = F.transform(F.array(hashes), lambda h: F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + (j - 1)) for j in range(width)])))
-    grams = F.when(F.size(words) > 0, F.element_at(with_hashes, 1)).otherwise(F.array().cast("array<long>"))
-    return F.slice(F.array_sort(F.array_distinct(grams)), 1, k)
+    # the word hashes are bound to a variable of their own, so that they are made once; places short of followers are cut off
+    hashes = F.array(F.transform(words, lambda w: F.xxhash64(w)))
+    runs = F.transform(hashes, lambda h: F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, width)])))
+    grams = F.slice(F.element_at(runs, 1), 1, F.greatest(F.size(words) - (width - 1), F.lit(1)))
+    return F.slice(F.sort_array(F.array_distinct(grams)), 1, k)
 
 
 def merged(a: Column, b: Column, k: int = K) -> Column:
     """The sketch of the union."""
-    return F.slice(F.array_sort(F.array_union(a, b)), 1, k)
+    return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
@@ -65,34 +63,39 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), sketch(F.col(text_col), k).alias("sketch"))
 
 
-def followers(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, next_id): every distinct id that is not null with the next larger one, the largest with the smallest.
+def followers(ids: DataFrame) -> DataFrame:
+    """(id, half, before, before_half) of a table (id, half) of distinct ids: every id with the next smaller one, the smallest with the largest.
 
-    Ids are dealt out by range; within a range the next row is the follower, and between ranges (one row each) the
-    first of the next range.
+    Ids are dealt out by range; within a range the row before is the one, and between ranges (one row each) the
+    last of the range before.
     """
-    ids = docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct()
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = stored(ids.repartitionByRange(parts, "id").withColumn("part", F.spark_partition_id()), "ranges")
-    edges = dealt.groupBy("part").agg(F.min("id").alias("first"))
+    last = dealt.groupBy("part").agg(F.max(F.struct("id", "half")).alias("last"))
     order = Window.orderBy("part")  # a row for each range
-    edges = edges.select("part", F.coalesce(F.lead("first").over(order), F.min("first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("beyond"))
-    within = dealt.withColumn("next_id", F.lead("id").over(Window.partitionBy("part").orderBy("id")))
-    return within.join(F.broadcast(edges), "part").select("id", F.coalesce("next_id", "beyond").alias("next_id"))
+    ends = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    edges = last.select("part", F.coalesce(F.lag("last").over(order), ends).alias("edge"))
+    within = dealt.withColumn("own", F.lag(F.struct("id", "half")).over(Window.partitionBy("part").orderBy("id")))
+    before = F.coalesce("own", "edge")
+    return within.join(F.broadcast(edges), "part").select("id", before["id"].alias("before"), before["half"].alias("before_half"))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, next_text): each row with the text of the next document by id; null text is empty.
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
+    """(id, text, next_start, next_sketch): each row with what it needs of the next document by id; null text is empty.
 
-    Rows with a null id have no next one (null). Of rows that repeat an id the one with the smallest text is the next of others.
-    The text is shuffled by id once, for both sides, and once more by the id of the row it follows.
+    ``next_start`` is the first half as many code points as the row's own text has (or all), ``next_sketch`` the whole next text's
+    sketch. Rows with a null id have no next one (null). Of rows that repeat an id the one with the smallest text is the next of
+    others. Whole texts are shuffled by id once, for both sides of the join; what goes on to the row before is a start and a sketch.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    before = followers(docs, id_col).select(F.col("next_id").alias("id"), F.col("id").alias("before"))
     known = base.filter("id is not null")
-    one = known.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("text"))).filter("n = 1").drop("n")
-    nexts = one.join(before.hint("shuffle_merge"), "id").select(F.col("before").alias("id"), F.col("text").alias("next_text"))
-    return known.join(nexts.hint("shuffle_merge"), "id").unionByName(base.filter("id is null").withColumn("next_text", F.lit(None).cast("string")))
+    ids = stored(known.groupBy("id").agg(F.max(F.floor(F.length("text") / 2).cast("int")).alias("half"), F.count("*").alias("n")), "ids")
+    nexts = known.join(followers(ids.select("id", "half")).hint("shuffle_merge"), "id")
+    if ids.filter("n > 1").limit(1).count():
+        nexts = nexts.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("text"))).filter("_n = 1")
+    nexts = nexts.select(F.col("before").alias("id"), F.substring(F.col("text"), F.lit(1), F.col("before_half")).alias("next_start"), sketch(F.col("text"), k).alias("next_sketch"))
+    none = base.filter("id is null").select("*", F.lit(None).cast("string").alias("next_start"), F.lit(None).cast("array<long>").alias("next_sketch"))
+    return known.join(nexts.hint("shuffle_merge"), "id").unionByName(none)
 
 
 def edited(text: Column, other: Column) -> Column:

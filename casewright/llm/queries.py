@@ -23,10 +23,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = fingerprint.with_next(read(spark, sf_dir, "documents"))
-    changed = fingerprint.edited(F.col("text"), F.coalesce("next_text", F.lit("")))
+    changed = fingerprint.edited(F.col("text"), F.coalesce("next_start", F.lit("")))
     made = both.select(
         "id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode(changed, "utf-8"), 256).alias("edited_sha256"),
-        fingerprint.sketch(F.col("text")).alias("own"), fingerprint.sketch(changed).alias("other"), fingerprint.sketch(F.col("next_text")).alias("next"),
+        fingerprint.sketch(F.col("text")).alias("own"), fingerprint.sketch(changed).alias("other"), F.col("next_sketch").alias("next"),
     )
     return made.select(
         F.col("id").alias("doc_id"), "n_chars", "edited_sha256", fingerprint.printed(F.col("own")).alias("fingerprint"), fingerprint.printed(F.col("other")).alias("edited_fingerprint"),
