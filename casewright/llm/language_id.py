@@ -20,7 +20,7 @@ FAMILIES = {
     "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl"),
     "slavic": ("ru", "pl", "cs", "uk", "bg", "sr", "hr", "sk", "sl"),
 }
-_SLOTS = 1 << 15
+_SLOTS = 1 << 13
 _CHUNK = 1 << 20
 
 
@@ -47,7 +47,7 @@ def _grams(points: np.ndarray) -> np.ndarray:
     for n in range(3):
         h = (h[: len(p) - n] * np.uint32(0x01000193)) ^ (p[n:] * np.uint32(0x9E3779B1))
         mixed = h ^ (h >> np.uint32(15))
-        out.append((mixed * np.uint32(0x85EBCA6B)) >> np.uint32(17))
+        out.append((mixed * np.uint32(0x85EBCA6B)) >> np.uint32(19))
     return np.concatenate(out)
 
 
@@ -59,13 +59,12 @@ def features(text: str) -> np.ndarray | None:
     total = np.zeros(_SLOTS, dtype=np.int64)
     for lo in range(0, len(points), _CHUNK):
         total += np.bincount(_grams(points[max(0, lo - 2) : lo + _CHUNK]), minlength=_SLOTS)
-    return np.sqrt(total / total.sum())
+    return np.sqrt(total / total.sum()).astype(np.float32)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, epochs: int = 12, c: float = 10.0) -> np.ndarray:
-    """Weights (the bias last) of a linear support vector machine, by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    norm = (x * x).sum(axis=1)
+    """Weights of rows with a last column of 1 (so the bias is last) of a linear support vector machine, by dual coordinate descent."""
+    norm = np.einsum("ij,ij->i", x, x)
     w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
     order = np.random.Generator(np.random.PCG64(7))
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * c
@@ -113,7 +112,10 @@ def train(sample: list[tuple[str, str]]) -> Model:
     home = {code: name for name, codes in FAMILIES.items() for code in codes}
     names = sorted({home.get(x, f"only {x}") for x in langs})
     families = tuple(tuple(x for x in langs if home.get(x, f"only {x}") == name) for name in names)
-    x, own = np.array([v for _, v in rows]), np.array([lang for lang, _ in rows])
+    own = np.array([lang for lang, _ in rows])
+    x = np.ones((len(rows), _SLOTS + 1), dtype=np.float32)
+    for row, (_, v) in zip(x, rows, strict=True):
+        row[:-1] = v
     place = {lang: k for k, f in enumerate(families) for lang in f}
     at = np.array([place[v] for v in own])
     family = [_svm(x, np.where(at == k, 1.0, -1.0)) if len(families) > 1 else np.zeros(_SLOTS + 1) for k in range(len(families))]
