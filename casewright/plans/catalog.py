@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casewright.plans import aggregates, filters, graphs, joins, scalars, sequences  # noqa: F401
+from casewright.plans import aggregates, detection, filters, graphs, joins, scalars, sequences  # noqa: F401
 from casewright.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
