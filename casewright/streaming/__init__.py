@@ -1 +1 @@
-
+"""Streams: the batch operators over arriving files."""
