@@ -78,20 +78,20 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
         )
     )
     moves = F.create_map(*[F.lit(v) for (a, b), to in t.moves.items() for v in (f"{a}\x00{b}", to)])
+    stuck = F.lit("\x00")  # no state is called so, and nothing leads out of it
+    after = lambda acc, x: F.coalesce(F.try_element_at(moves, F.concat(acc["state"], F.lit("\x00"), x["role"])), stuck)
     walk = F.aggregate(
         "turns",
         F.struct(F.lit(t.start).alias("state"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("bad")),
         lambda acc, x: F.struct(
-            F.try_element_at(moves, F.concat(F.coalesce(acc["state"], F.lit("\x00")), F.lit("\x00"), x["role"])).alias("state"),
-            (acc["at"] + 1).alias("at"),
-            F.coalesce(acc["bad"], F.when(F.try_element_at(moves, F.concat(F.coalesce(acc["state"], F.lit("\x00")), F.lit("\x00"), x["role"])).isNull(), acc["at"] + 1)).alias("bad"),
+            after(acc, x).alias("state"), (acc["at"] + 1).alias("at"), F.coalesce(acc["bad"], F.when(after(acc, x) == stuck, acc["at"] + 1)).alias("bad")
         ),
     )
     return (
         turns.select(conv_col, F.size("turns").cast("long").alias("n_turns"), segments.alias("segments"), walk.alias("walk"))
         .select(
             conv_col, "n_turns", "segments", F.array_join(F.col("segments.text"), "").alias("formatted"),
-            (F.col("walk.bad").isNull() & F.coalesce(F.col("walk.state").isin(*t.accept), F.lit(False))).alias("valid"), F.col("walk.bad").alias("first_bad"),
+            (F.col("walk.bad").isNull() & F.col("walk.state").isin(*t.accept)).alias("valid"), F.col("walk.bad").alias("first_bad"),
         )
     )
 
