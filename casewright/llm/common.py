@@ -2,41 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright.storage import scratch, shared_dir, stored
+
+__all__ = ["SPACE", "WORD", "cut_spans", "key_filter", "may_hold", "mix64", "read", "scratch", "shared_dir", "shingle_sets", "small_batches", "stored", "word_count", "word_hashes"]
+
 #: Word separators of every operator here: space and the ASCII controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="casewright-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/casewright-{uuid.uuid4().hex}-{tag}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends there, and it is computed once however often it is read."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Has Spark send Python workers so many rows and bytes at a time at most, so that their memory follows a few texts and not a partition."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -142,9 +128,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.diff(np.searchsorted(start, bound), prepend=0)
 
 
-def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], width: int = 5) -> Iterator[np.ndarray]:
     """Of each text its set of hashes of ``width`` words in a row, sorted; the whole sequence as one if it has fewer; empty without words."""
-    out: list[np.ndarray] = []
     for lo, hi in _batches(texts):
         words, counts = word_hashes(texts[lo:hi])
         n = len(words) - width + 1
@@ -156,17 +141,16 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
         at = 0
         for c in counts:
             if c >= width:
-                out.append(np.unique(grams[at : at + c - width + 1]))
+                yield np.unique(grams[at : at + c - width + 1])
             elif c:
                 whole = sum(int(w) * int(_STEP[j]) for j, w in enumerate(words[at : at + c])) + 0x5851F42D4C957F2D * int(width - c)
-                out.append(mix64(np.array([whole & (1 << 64) - 1], dtype=np.uint64)))
+                yield mix64(np.array([whole & (1 << 64) - 1], dtype=np.uint64))
             else:
-                out.append(np.zeros(0, dtype=np.uint64))
+                yield np.zeros(0, dtype=np.uint64)
             at += c
-    return out
 
 
-def _batches(texts: list[bytes], most: int = 1 << 20):
+def _batches(texts: list[bytes], most: int = 1 << 18):
     """Ranges of texts of about ``most`` bytes, so that memory follows the longest text and not the batch."""
     lo = size = 0
     for i, t in enumerate(texts):

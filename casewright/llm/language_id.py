@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewright.llm.common import small_batches
+
 #: Families of well-known language codes; any other code is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is"),
@@ -166,6 +168,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     ``docs`` called lang_pred or score are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast((model.families, model.family, model.pairs))
 
     @F.pandas_udf("lang_pred string, score double")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import WORD, cut_spans, key_filter, may_hold, stored
+from casewright.llm.common import WORD, cut_spans, key_filter, may_hold, small_batches, stored
 
 _CHUNK = "id long, row long, chunk_no int, start long, stop long, first_line int, lines int, digest long"
 _MASK = (1 << 64) - 1
@@ -69,6 +69,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Chunks whose bytes differ from the first one of the same digest stay. Null and empty texts have no chunks. Rows
     that repeat an id count as documents of their own. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     counted = base.mapInArrow(_cut(least, most, one_in, False), _CHUNK).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
     marks = stored(key_filter(counted, F.col("digest")), "digests")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import key_filter, may_hold, mix64, shingle_sets, stored
+from casewright.llm.common import key_filter, may_hold, mix64, shingle_sets, small_batches, stored
 from casewright.llm.components import components
 
 #: Coordinates of a band, bands. Two sets of similarity 0.85 share none of 25 bands of 5 with a probability of 4e-7.
@@ -61,14 +61,17 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def _sign(banding: tuple[int, int]):
+    def summary(s: np.ndarray) -> tuple:
+        if not len(s):
+            return 0, 0, 0, s.view(np.int64)
+        one, two = mix64(s ^ np.uint64(0x1234567)).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix64(s + np.uint64(0x89ABCDEF)))
+        return len(s), int(one.view(np.int64)), int(two.view(np.int64)), bands(s, *banding)
+
     def signed(batches):
         for batch in batches:
-            sets = shingle_sets(_texts(batch.column(2)))
-            n = pa.array([len(s) for s in sets], pa.int64())
-            one = pa.array([int(mix64(s ^ np.uint64(0x1234567)).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64())
-            two = pa.array([int(np.bitwise_xor.reduce(mix64(s + np.uint64(0x89ABCDEF))).view(np.int64)) if len(s) else 0 for s in sets], pa.int64())
-            keys = pa.array([bands(s, *banding) if len(s) else np.zeros(0, np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, one, two, keys], names=["id", "row", "n_shingles", "set1", "set2", "bands"])
+            n, one, two, keys = zip(*(summary(s) for s in shingle_sets(_texts(batch.column(2)))), strict=True) if batch.num_rows else ((), (), (), ())
+            columns = [pa.array(c, pa.int64()) for c in (n, one, two)] + [pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "row", "n_shingles", "set1", "set2", "bands"])
 
     return signed
 
@@ -142,6 +145,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     space only have an empty set and are linked with nothing. Rows that repeat an id are one node; ``first_row`` marks
     one of them. Rows with a null id are never linked: component_id is null, kept true. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = stored(base.withColumn("row", F.monotonically_increasing_id()).select("id", "row", "text").mapInArrow(_sign(banding), _SIGNED), "signed")
     known = signed.filter("id is not null and n_shingles > 0")

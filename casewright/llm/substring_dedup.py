@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import cut_spans, stored
+from casewright.llm.common import cut_spans, small_batches, stored
 
 _UNITS = "id long, ord long, unit_no int, start long, stop long, digest binary"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -45,6 +45,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the text; the rest are rows here, also those within one document. Null or empty texts have no units. Only digests are shuffled, and
     groups are aggregated, never gathered. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     found = stored(units(docs, id_col, text_col, least_words), "units")
     rank = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("ord").alias("c"), F.col("unit_no").alias("d"))
     first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("group_size")).filter("group_size > 1")

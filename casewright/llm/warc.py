@@ -20,7 +20,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm.common import scratch, stored
+from casewright.llm.common import scratch, small_batches, stored
 
 #: Smaller payloads are always responses.
 LEAST_BYTES = 100
@@ -118,6 +118,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     larger id revisit it; rows that repeat that smallest id are responses too, and rows with a null id are responses. Only digests are grouped. The
     date of a capture is the id in seconds after 2020-01-01.
     """
+    small_batches(pages.sparkSession)
     fs, base = _file_system(folder)
     fs.create_dir(base, recursive=True)
     html = F.coalesce(F.col(html_col), F.lit(""))
