@@ -122,3 +122,27 @@ def test_append_keeps_the_first(spark):
 def test_audit_break(spark):
     log = spark.createDataFrame([("c", 1, "a", "", "bad")], "chain string, seq long, body string, prev string, own string")
     assert ids(d.audit_breaks(log, "chain", "seq", "body", "own", "prev"), "chain", "first_break") == [("c", 1)]
+
+
+def test_transliteration_and_likeness():
+    from casewright.functions import similarity as s
+
+    assert s.latin("विक्रम सेठी") == "vikrama sethe"
+    assert s.latin_runs("FIR १२ इमरान") == "FIR 12 imarana"
+    assert s.likeness("विक्रम सेठी", "Vikram Sethi") == 1.0 and s.likeness("R. Kumar", "Devendra Kumar Rathi") < 0.75
+    assert s.likeness("Devendra Rathi", "Devendra Kumar Rathi") == 1.0 and s.likeness("", "x") == 0
+    assert len(s.name_clusters(["Sanjay Bhosle", "संजय भोसले", "Imran Shaikh"])) == 2
+    assert s.clock_times("from 2140 to 2210 hrs, 9999 hrs, 0105hrs") == [(5, 21, 40), (13, 22, 10), (32, 1, 5)]
+    assert s.stated_time("at 0930 hrs near Gate, 1800 hrs home", "Gate", "2024-01-01") == "2024-01-01T09:30:00"
+    assert s.stated_time("at 0930 hrs", "Gate", "2024-01-01") is None
+
+
+def test_questions():
+    from casewright.plans.ask import parse
+
+    names = {"Asha Rao": 1, "Rao": 2, "Vikram": 3}
+    q = parse("How is Asha Rao connected to Vikram within 3 hops?", names)
+    assert (q.intent, q.names, q.hops) == ("path", (1, 3), 3)
+    assert parse("payments over Rs 2 lakh", names).amount == 2e5
+    assert parse("top 5 people", names).limit == 5 and parse("top 5 people", names).intent == "influencers"
+    assert parse("Hello World", names).intent == "unknown"
