@@ -11,7 +11,8 @@ from casewright import config
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = config.RADIUS_CORPUS) -> Column:
     """Great-circle distance; null if a coordinate is."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    # least() would skip a null
+    return 2 * radius * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def minutes_between(a_us: Column, b_us: Column) -> Column:

@@ -18,7 +18,7 @@ from casewright.operators.sequences import min_max, ranked
 from casewright.storage import stored
 
 #: Rounds between stored tables.
-_EVERY = 5
+_EVERY = 10
 
 
 def both_ways(links: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from casewright.plans.registry import query
 from casewright.plans.standin import Tables
 
 _MIN = 60_000_000
-_KM = "2 * {r} * asin(sqrt(least(1.0, pow(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon) / 2), 2))))"
+_KM = "2 * {r} * asin(sqrt((pow(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon) / 2), 2))))"
 
 
 @query("da01_repeated_co_location", "select least(a.user_id, b.user_id) as u, greatest(a.user_id, b.user_id) as v, count(*) as n, count(distinct event_type) as places from ev a join ev b using (event_type) where a.event_id < b.event_id and a.user_id <> b.user_id and abs(a.us - b.us) <= 300000000 group by 1, 2 having count(*) >= 2 and count(distinct event_type) >= 2")

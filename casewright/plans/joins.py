@@ -108,7 +108,7 @@ def _(t: Tables) -> DataFrame:
     return e.groupBy("case_id").agg(F.count("*").alias("events"), F.count("lon").alias("placed"), (F.count("*") - F.count("lon")).alias("missing"))
 
 
-@query("jn15_places_within_radius", "with d as (select p.id as a, q.id as b, 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2)))) as km from place p join place q on p.id < q.id) select * from d where km <= 1500")
+@query("jn15_places_within_radius", "with d as (select p.id as a, q.id as b, 2 * 6371.0088 * asin(sqrt((pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2)))) as km from place p join place q on p.id < q.id) select * from d where km <= 1500")
 def _(t: Tables) -> DataFrame:
     return j.within_km(t.place, "id", 1500.0, m.config.RADIUS_CASE)
 

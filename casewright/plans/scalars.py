@@ -63,12 +63,12 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(x.norm_tokens(F.col("p_name"), {"small": "sm", "large": "lg"}, ["part"]), " ").alias("k"))
 
 
-@query("sc14_haversine_corpus", "select p.id as a, q.id as b, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2)))) as km from place p join place q on p.id < q.id")
+@query("sc14_haversine_corpus", "select p.id as a, q.id as b, 2 * 6371.0 * asin(sqrt((pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2)))) as km from place p join place q on p.id < q.id")
 def _(t: Tables) -> DataFrame:
     return _km(t, m.config.RADIUS_CORPUS)
 
 
-@query("sc15_haversine_case", "select p.id as a, q.id as b, 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2)))) as km from place p join place q on p.id < q.id")
+@query("sc15_haversine_case", "select p.id as a, q.id as b, 2 * 6371.0088 * asin(sqrt((pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2)))) as km from place p join place q on p.id < q.id")
 def _(t: Tables) -> DataFrame:
     return _km(t, m.config.RADIUS_CASE)
 

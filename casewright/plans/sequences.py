@@ -51,7 +51,7 @@ def _(t: Tables) -> DataFrame:
     return s.first_of_each(p.filter("d > 0"), ["user_id"], ["d", "a", "b"], 3, "n")
 
 
-@query("wn08_place_sequence", "with v as (select e.user_id, e.event_id, e.us, p.lat, p.lon from ev e join place p on e.k % 25 = p.id where p.lon is not null), l as (select *, lag(lat) over w as lat0, lag(lon) over w as lon0, us - lag(us) over w as step from v window w as (partition by user_id order by us, event_id)) select event_id, step, 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2), 2)))) as km from l")
+@query("wn08_place_sequence", "with v as (select e.user_id, e.event_id, e.us, p.lat, p.lon from ev e join place p on e.k % 25 = p.id where p.lon is not null), l as (select *, lag(lat) over w as lat0, lag(lon) over w as lon0, us - lag(us) over w as step from v window w as (partition by user_id order by us, event_id)) select event_id, step, 2 * 6371.0088 * asin(sqrt((pow(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2), 2)))) as km from l")
 def _(t: Tables) -> DataFrame:
     v = t.ev.join(t.place.filter("lon is not null").select("id", "lat", "lon"), F.col("k") % 25 == F.col("id"))
     w = Window.partitionBy("user_id").orderBy("us", "event_id")
