@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm.common import stored
 
 
+#: Nodes that one spanning forest holds at most.
+FOREST = 1_000_000
+
+
+def _forest(batches):
+    """Links of a part as stars around the smallest node of each tree, so that what several parts found again and again is said once."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    def stars():
+        found = [(r, x) for x in parent if (r := root(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        if len(parent) > FOREST:
+            yield stars()
+            parent.clear()
+    yield stars()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): component is the smallest node that is reachable.
 
     Rounds of neighbours' smallest label and pointer jumping; each round is a stored table, so lineage does not grow.
     The number of rounds is about the logarithm of the longest chain.
     """
-    links = links.filter("a != b")
+    links = links.filter("a != b").select("a", "b").mapInArrow(_forest, "a long, b long")
     both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     label = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
     while True:
