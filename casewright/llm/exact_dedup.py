@@ -44,6 +44,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = stored(full, "digests")
     order = F.struct((-F.col("n_chars")).alias("a"), F.col("id").isNull().alias("b"), F.col("id").alias("c"), F.col("row").alias("d"))
     groups = full.filter("survives").groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    groups = stored(groups, "groups")  # read again, so that both sides of the join are plain exchanges and a hot group can be split
     # rows that stand alone get a key of their own, so that they do not meet in one task
     key = F.when(F.col("survives"), F.col("digest")).otherwise(F.encode(F.concat(F.lit("row "), F.col("row").cast("string")), "utf-8"))
     out = full.withColumn("key", key).join(groups.select(F.col("digest").alias("key"), "first", "n"), "key", "left")
