@@ -212,3 +212,17 @@ def _(t: Tables) -> DataFrame:
 @query("ex17_match_or_create", "select k.name, min(k.id) as id, least(95, 45 + 12 * count(*)) as strength from (select lower(name) as name, id from entity) k group by 1")
 def _(t: Tables) -> DataFrame:
     return t.entity.groupBy(F.lower("name").alias("name")).agg(F.min("id").alias("id"), F.least(F.lit(95), 45 + 12 * F.count("*")).alias("strength"))
+
+
+@query("src16_object_store", "select s_suppkey, s_name from supplier")
+def _(t: Tables) -> DataFrame:
+    path = scratch(t.spark, "objects")  # any store that Hadoop knows
+    t.supplier.select("s_suppkey", "s_name").write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
+@query("src20_fuzzy_rows", "select c_custkey::varchar as id, c_name as label from customer")
+def _(t: Tables) -> DataFrame:
+    path = scratch(t.spark, "tsv")
+    t.customer.select(F.col("c_custkey").alias("Customer ID"), F.col("c_name").alias("Full Name")).write.option("header", True).option("sep", "\t").csv(path)
+    return feeds.fuzzy_rows(t.spark, path, {"id": "id", "label": "name"})

@@ -33,3 +33,9 @@ def _(t: Tables) -> DataFrame:
 @query("wf02_queue_claims", "select event_id from events where event_type = 'signup'")
 def _(t: Tables) -> DataFrame:
     return bursts.finished(_arriving(t).filter(F.col("event_type") == "signup").select("event_id"), "append", "claims")
+
+
+@query("wf11_processing_job", "select user_id % 10 as case_id, count(*) as done from events group by 1")
+def _(t: Tables) -> DataFrame:
+    n = bursts.finished(_arriving(t).groupBy((F.col("user_id") % 10).alias("case_id")).agg(F.count("*").alias("done")), "complete", "jobs")
+    return n

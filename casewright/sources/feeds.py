@@ -71,3 +71,13 @@ def first_by_hash(uploads: DataFrame, case: str, content: str, order: str) -> Da
     h = uploads.withColumn("sha256", F.sha2(content, 256))
     first = h.groupBy(case, "sha256").agg(F.min(order).alias(order))
     return h.join(first, [case, "sha256", order], "left_semi")
+
+
+def fuzzy_rows(spark: SparkSession, path: str, wanted: dict[str, str]) -> DataFrame:
+    """Rows of a delimited file, the separator found in its first line (tab, semicolon, bar or comma), columns found by a part of their heading; missing ones are null."""
+    head = spark.read.text(path).limit(1).collect()
+    line = head[0][0] if head else ""
+    sep = max("\t;|,", key=line.count)
+    rows = spark.read.option("header", True).option("sep", sep).csv(path)
+    find = lambda part: next((c for c in rows.columns if part.lower() in c.lower()), None)
+    return rows.select(*[(F.col(f"`{c}`") if (c := find(part)) else F.lit(None).cast("string")).alias(ours) for ours, part in wanted.items()])
