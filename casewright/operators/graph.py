@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections import defaultdict, deque
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from casewright.storage import stored
 
 #: Rounds between stored tables.
 _EVERY = 10
+#: Up to so many links, counted first, a power iteration runs in one task; beyond, each round is a join.
+LOCAL_LINKS = 200_000
 
 
 def both_ways(links: DataFrame) -> DataFrame:
@@ -42,8 +45,39 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _power(rounds: int, alpha: float | None):
+    """Scores of the nodes of a small graph: PageRank with ``alpha``, else the eigenvector of length 1."""
+
+    def iterate(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        ids, ends = np.unique(np.concatenate([p["a"], p["b"]]), return_inverse=True)
+        a, b = ends[: len(p)], ends[len(p) :]
+        src, dst, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([p["weight"], p["weight"]])
+        n = len(ids)
+        if alpha is not None:
+            w = w / np.bincount(src, w, n)[src]
+        x = np.full(n, 1.0 / n)
+        for _ in range(rounds):
+            x = np.bincount(dst, x[src] * w, n)
+            x = x / np.sqrt((x * x).sum()) if alpha is None else (1 - alpha) / n + alpha * x
+        return ids, x
+
+    return iterate
+
+
+def _in_one_task(links: DataFrame, name: str, iterate) -> DataFrame:
+    w = F.col("weight").cast("double") if "weight" in links.columns else F.lit(1.0)
+
+    def work(p: pd.DataFrame) -> pd.DataFrame:
+        ids, x = iterate(p)
+        return pd.DataFrame({"id": ids, name: x})
+
+    return links.select("a", "b", w.alias("weight")).groupBy().applyInPandas(work, f"id long, {name} double")
+
+
 def pagerank(links: DataFrame, rounds: int = 20, alpha: float = 0.85) -> DataFrame:
     """(id, pagerank): power iteration with weights; every end of a link has an out-weight, so nothing dangles."""
+    if links.count() <= LOCAL_LINKS:
+        return _in_one_task(links, "pagerank", _power(rounds, alpha))
     e = both_ways(links)
     out = e.groupBy("src").agg(F.sum("weight").alias("total"))
     e = stored(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "shares")
@@ -58,6 +92,8 @@ def pagerank(links: DataFrame, rounds: int = 20, alpha: float = 0.85) -> DataFra
 
 def eigenvector(links: DataFrame, rounds: int = 20) -> DataFrame:
     """(id, eigenvector): power iteration with weights, scaled to length 1 at the end."""
+    if links.count() <= LOCAL_LINKS:
+        return _in_one_task(links, "eigenvector", _power(rounds, None))
     e = stored(both_ways(links), "links")
     x = e.select(F.col("src").alias("id")).distinct().withColumn("x", F.lit(1.0))
     for k in range(1, rounds + 1):

@@ -146,3 +146,12 @@ def test_questions():
     assert parse("payments over Rs 2 lakh", names).amount == 2e5
     assert parse("top 5 people", names).limit == 5 and parse("top 5 people", names).intent == "influencers"
     assert parse("Hello World", names).intent == "unknown"
+
+
+def test_power_iterations_agree(spark, monkeypatch):
+    e = links(spark, [*BRANCHING, (1, 7), (5, 6)]).withColumn("weight", F.col("a") + 0.5 * F.col("b"))
+    near = [ids(f(e), "id", c) for f, c in ((gr.pagerank, "pagerank"), (gr.eigenvector, "eigenvector"))]
+    monkeypatch.setattr(gr, "LOCAL_LINKS", 0)
+    far = [ids(f(e), "id", c) for f, c in ((gr.pagerank, "pagerank"), (gr.eigenvector, "eigenvector"))]
+    for x, y in zip(near, far, strict=True):
+        assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-12 for a, b in zip(x, y, strict=True))
