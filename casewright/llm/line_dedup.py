@@ -1,15 +1,15 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication: maximal repeated runs of lines, or content-defined chunks of lines.
 
-A rolling hash over the hashes of the last lines sets chunk boundaries, so that a run of lines shared by two texts is
-cut alike in both, whatever stands before it. Chunks of several lines that occur again anywhere are removed, after
-their bytes are compared with those of the first occurrence.
+``repeated_runs`` takes every two neighbouring lines as a unit, so that a run shared by two texts is found wherever it
+starts and ends: a run of two lines or more stands earlier only if each two neighbours in it do. ``repeated_chunks`` is coarser and sends less: a rolling hash over the last lines sets chunk boundaries, and
+whole chunks are compared. In both, bytes are compared with those of the first occurrence.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.llm.common import WORD, cut_spans, key_filter, may_hold, small_batches, stored
@@ -86,6 +86,67 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+_PAIR = "id long, row long, line int, start long, stop long, digest long"
+_MULTIPLY = 0x9E3779B97F4A7C15
+
+
+def _pairs(with_text: bool):
+    def pair(batches):
+        for batch in batches:
+            cols: tuple[list, ...] = tuple([] for _ in range(7))
+            for key, row, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if not text or "\n" not in text:
+                    continue
+                last, at, middle = None, 0, 0
+                for k, line in enumerate(text.split("\n")):
+                    h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
+                    stop = middle + len(line)
+                    if last is not None:
+                        digest = ((last * _MULTIPLY + h) ^ (last >> 31)) & _MASK
+                        span = (key, row, k - 1, at, stop, digest - (1 << 64) if digest >> 63 else digest, text[at:stop] if with_text else None)
+                        for c, v in zip(cols, span, strict=True):
+                            c.append(v)
+                    last, at, middle = h, middle, stop + 1
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            n = 6 + with_text
+            names = ["id", "row", "line", "start", "stop", "digest", "pair"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in list(zip(cols, types, strict=True))[:n]], names=names[:n])
+
+    return pair
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per maximal run of lines to remove: id, row, run_no, start, stop (code points, stop not included), first_line, lines, first_id, first_at, copies.
+
+    A line goes if it and a neighbour stand side by side earlier, in the order of id (null last), row, place, without
+    sharing a line with that earlier place; lines that go and follow each other are one run. Runs of nothing but empty
+    lines stay. ``first_id``, ``first_at`` (a line number) and ``copies`` are of the run's first two lines; a run can be
+    put together from several earlier places. Rows that repeat an id count as documents of their own.
+    """
+    small_batches(docs.sparkSession)
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    counted = base.mapInArrow(_pairs(False), _PAIR).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
+    marks = stored(key_filter(counted, F.col("digest")), "digests")
+    found = may_hold(base.mapInArrow(_pairs(True), _PAIR + ", pair string"), F.col("digest"), marks, "again").filter("again").drop("again")
+    found = stored(found, "pairs")
+    rank = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"), F.col("line").alias("d"))
+    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    keepers = first.join(found.select(F.col("digest").alias("g"), rank.alias("at"), F.col("pair").alias("first_pair")), (F.col("digest") == F.col("g")) & (F.col("first") == F.col("at"))).drop("g", "at")
+    again = (
+        found.join(keepers, "digest")
+        .filter(((F.col("row") != F.col("first.c")) | (F.col("line") > F.col("first.d") + 1)) & (F.col("pair") == F.col("first_pair")))
+        .select("id", "row", "line", "start", "stop", F.col("first.b").alias("first_id"), F.col("first.d").alias("first_at"), "copies")
+    )
+    order = Window.partitionBy("row").orderBy("line")
+    runs = again.withColumn("new", (F.col("line") - F.lag("line", 1, -9).over(order) > 2).cast("int")).withColumn("run", F.sum("new").over(order))
+    head = lambda c: F.min_by(c, "line").alias(c)
+    made = runs.groupBy("row", "run").agg(
+        F.first("id").alias("id"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("line").alias("first_line"), (F.max("line") - F.min("line") + 2).alias("lines"),
+        head("first_id"), head("first_at"), head("copies"), F.max(F.col("stop") - F.col("start")).alias("most"),
+    )
+    return made.filter("most > 1").select(F.col("id").alias(id_col), "row", (F.col("run") - 1).cast("int").alias("run_no"), "start", "stop", "first_line", "lines", "first_id", "first_at", "copies")
+
+
 def remove_chunks(docs: DataFrame, cuts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the chunks of ``cuts``, and without those of which only white space is left. Needs ids that do not repeat; rows with a null id stay whole."""
     out = cut_spans(docs.withColumn("_n", F.length(text_col)), cuts.select(id_col, "start", "stop"), [id_col], text_col)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from casewright.llm import chat, fingerprint, language_id, warc
 from casewright.llm.common import SPACE, read, scratch
 from casewright.llm.exact_dedup import exact_dedup
-from casewright.llm.line_dedup import repeated_chunks
+from casewright.llm.line_dedup import repeated_runs
 from casewright.llm.mixing import mix
 from casewright.llm.near_dedup import near_dedup
 from casewright.llm.packing import pack
@@ -51,7 +51,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_chunks(read(spark, sf_dir, "documents"))
+    return repeated_runs(read(spark, sf_dir, "documents"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from casewright.llm import language_id
 from casewright.llm.common import read, scratch
-from casewright.llm.line_dedup import remove_chunks, repeated_chunks
+from casewright.llm.line_dedup import remove_chunks, repeated_runs
 from casewright.llm.mixing import mix
 from casewright.llm.near_dedup import BANDING_80, near_dedup
 from casewright.llm.packing import pack
@@ -35,9 +35,9 @@ def one_row_an_id(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without chunks of lines that stand earlier in the corpus; documents of which nothing but white space stays go."""
+    """Texts without runs of two or more lines that stand earlier in the corpus; documents of which nothing but white space stays go."""
     docs = one_row_an_id(docs.select(*COLUMNS))
-    return remove_chunks(docs, repeated_chunks(docs)).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    return remove_chunks(docs, repeated_runs(docs)).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from casewright.llm import chat, fingerprint, language_id, warc
 from casewright.llm.exact_dedup import exact_dedup
-from casewright.llm.line_dedup import chunks, remove_chunks, repeated_chunks
+from casewright.llm.line_dedup import chunks, remove_chunks, repeated_chunks, repeated_runs
 from casewright.llm.mixing import mix
 from casewright.llm.near_dedup import near_dedup
 from casewright.llm.packing import best_fit, pack
@@ -162,6 +162,40 @@ def test_line_dedup_matches_brute_force(spark):
             assert left.get(i, "").strip() == rest.strip()
 
 
+def test_repeated_runs_match_brute_force_over_all_runs(spark):
+    rng = random.Random(4)
+    own = iter(range(10**6))
+    fresh = lambda n: [f"own line {next(own)}" for _ in range(n)]
+    shared = [f"shared é {k}" for k in range(12)]
+    texts = []
+    for _ in range(40):  # shared runs of 1 to 6 lines anywhere between own lines
+        a = rng.randrange(10)
+        texts.append(fresh(rng.randrange(4)) + shared[a : a + rng.randrange(1, 7)] + fresh(rng.randrange(4)) + rng.choice([[], ["", ""], ["a", "a", "a", "a"], shared[:2]]))
+    rows = [(i, "\n".join(t), "s") for i, t in enumerate(texts)] + [(50, None, "s"), (51, "", "s"), (52, "\n\n\n\n", "s"), (None, "\n".join(shared[:3]), "s")]
+    lines = [(t or "").split("\n") for _, t, _ in rows]
+    want = {}
+    for n, ls in enumerate(lines):
+        gone = set()
+        for i in range(len(ls)):
+            for j in range(i + 2, len(ls) + 1):  # every run of two lines or more, anywhere earlier and disjoint
+                if any(m[k : k + j - i] == ls[i:j] for o, m in enumerate(lines[: n + 1]) for k in range((len(m) if o < n else i) - (j - i) + 1)):
+                    gone |= set(range(i, j))
+        runs = [[k for k in range(len(ls)) if k in gone and k - 1 not in gone], [k + 1 for k in range(len(ls)) if k in gone and k + 1 not in gone]]
+        want[rows[n][0]] = [(a, b - a) for a, b in zip(*runs, strict=True) if any(ls[a:b])]
+    docs = table(spark, rows).repartition(1).sortWithinPartitions(F.col("doc_id").asc_nulls_last())
+    got, text = defaultdict(list), {i: t for i, t, _ in rows}
+    cuts = repeated_runs(docs).collect()
+    for r in sorted(cuts, key=lambda r: r.first_line):
+        got[r.doc_id].append((r.first_line, r.lines))
+        assert "\n".join(text[r.doc_id].split("\n")[r.first_line : r.first_line + r.lines]) == text[r.doc_id][r.start : r.stop]
+    assert got == {i: x for i, x in want.items() if x} and sum(map(len, got.values())) > 30
+    left = {r.doc_id: r.text for r in remove_chunks(docs.filter("doc_id is not null"), repeated_runs(docs)).collect()}
+    for i, t in text.items():
+        if t is not None and i is not None:
+            gone = {k for a, n in want[i] for k in range(a, a + n)}
+            assert left.get(i, "").strip() == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone).strip()
+
+
 def test_fingerprints(spark):
     rows = [r for r in corpus() if r[0] is not None]
     both = fingerprint.with_next(table(spark, rows))
