@@ -14,6 +14,7 @@ from casewright.llm.line_dedup import repeated_runs
 from casewright.llm.mixing import mix
 from casewright.llm.near_dedup import near_dedup
 from casewright.llm.packing import pack
+from casewright.llm.passage_dedup import repeated_passages
 from casewright.llm.substring_dedup import repeated_units
 
 
@@ -21,6 +22,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units(read(spark, sf_dir, "documents"))
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = fingerprint.with_next(read(spark, sf_dir, "documents"))
     changed = fingerprint.edited(F.col("text"), F.coalesce("next_start", F.lit("")))
@@ -86,7 +91,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_fingerprints, op3_near_dedup, op4_exact_dedup, op5_language_id, op6_line_dedup, op7_warc, op8_best_fit_packing, op9_mixing, op10_chat_format)
+    for f in (op1_substring_dedup, op1_passages, op2_fingerprints, op3_near_dedup, op4_exact_dedup, op5_language_id, op6_line_dedup, op7_warc, op8_best_fit_packing, op9_mixing, op10_chat_format)
 }
 
 _BLANK = r"[\x20\x09-\x0D]"

@@ -15,6 +15,7 @@ from casewright.llm.line_dedup import chunks, remove_chunks, repeated_chunks, re
 from casewright.llm.mixing import mix
 from casewright.llm.near_dedup import near_dedup
 from casewright.llm.packing import best_fit, pack
+from casewright.llm.passage_dedup import repeated_passages
 from casewright.llm.queries import ORACLE, QUERIES
 from casewright.llm.substring_dedup import cut_units, repeated_units
 
@@ -128,6 +129,35 @@ def test_substring_dedup(spark):
     assert left[2] == (f"é {line}", [(n + 1, 2 * n + 3)]) and left[3] == ("ü", [(0, 1)]) and left[1][0] == rows[0][1]
 
 
+def test_passages_match_brute_force(spark):
+    rng = random.Random(8)
+    pool = ["été", "ab", "Q", "日本"] + [f"w{k}" for k in range(500)]
+    fresh = lambda n: [rng.choice(pool) + str(rng.random()) for _ in range(n)]
+    shared = fresh(160)
+    rows = []
+    for i in range(40):  # stretches of 20 to 110 shared words inside lines, over line ends, in short lines
+        a, n = rng.randrange(60), rng.choice([20, 49, 50, 51, 75, 110])
+        rows.append((i, "".join(w + rng.choice([" ", " ", "  ", "\n", "\t"]) for w in fresh(rng.randrange(60)) + [w.upper() if w.isascii() and i % 3 else w for w in shared[a : a + n]] + fresh(rng.randrange(90))), "s"))
+    rows += [(50, None, "s"), (51, "", "s"), (52, "again " * 49, "s"), (53, "again " * 70, "s"), (54, "once " * 120, "s"), (None, " ".join(shared), "s")]
+    seen, want = defaultdict(list), set()
+    for n, (i, t, _) in enumerate(rows):
+        words = list(WORD.finditer(t or ""))
+        plain = [m.group().translate(LOWER) for m in words]
+        for p in range(len(words) - 49):
+            key = tuple(plain[p : p + 50])
+            if any(m < n or q + 50 <= p for m, q in seen[key]):
+                want |= {(i, m.start()) for m in words[p : p + 50]}
+            seen[key].append((n, p))
+    docs = table(spark, rows).repartition(1).sortWithinPartitions(F.col("doc_id").asc_nulls_last())
+    texts, got = {i: t for i, t, _ in rows}, []
+    for r in repeated_passages(docs).collect():
+        inside = [m.start() + r.start for m in WORD.finditer(texts[r.doc_id][r.start : r.stop])]
+        assert len(inside) == r.words and texts[r.doc_id][r.start : r.stop].strip() == texts[r.doc_id][r.start : r.stop]
+        got += [(r.doc_id, k) for k in inside]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
+    assert repeated_passages(table(spark, [])).count() == 0
+
+
 def test_line_dedup_matches_brute_force(spark):
     rng = random.Random(9)
     lines = [f"line {k} " + "x" * rng.randrange(20) for k in range(80)]
