@@ -73,6 +73,18 @@ def two_hops(links: DataFrame) -> DataFrame:
     return far.join(links, ["a", "b"], "left_anti")
 
 
+def indirect_pairs(links: DataFrame) -> DataFrame:
+    """(a, b, length), a < b, of nodes at distance 2 or 3; ``links`` is (a, b) with a < b.
+
+    Of a pair at distance 3 the node before the last is at distance 2 from the first, so the third hop starts at pairs of ``two_hops``.
+    """
+    near = stored(two_hops(links), "hops")
+    back = lambda df: df.select("a", "b").union(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = back(near).toDF("a", "mid").join(back(links).toDF("mid", "b"), "mid").filter("a < b").select("a", "b").distinct()
+    far = far.join(near, ["a", "b"], "left_anti").join(links, ["a", "b"], "left_anti")
+    return near.withColumn("length", F.lit(2)).unionAll(far.withColumn("length", F.lit(3)))
+
+
 def within_km(places: DataFrame, row: str, km: float, radius: float) -> DataFrame:
     """(a, b, km) of places at most ``km`` apart, a < b. Places are dealt to belts of latitude of that width; a pair meets in its own or the next belt."""
     width = max(km / radius * 180 / 3.141592653589793, 1e-9)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casewright.operators import aggregates as g
 from casewright.operators import graph as gr
 from casewright.operators import joins as j
+from casewright.plans.joins import _INDIRECT
 from casewright.plans.registry import query
 from casewright.plans.standin import Tables
 
@@ -140,6 +141,16 @@ def _(t: Tables) -> DataFrame:
     return far.orderBy(F.concat(F.lit("e"), F.col("a").cast("string")), F.concat(F.lit("e"), F.col("b").cast("string"))).limit(10)
 
 
+@query("gr14_hidden_pairs_by_length", _INDIRECT + ", k as (select length, 2 - (x.entity_type = 'PERSON')::int as p, 2 - (y.entity_type = 'PERSON')::int as q, 'e' || a as s, 'e' || b as t from f join entity x on x.id = a join entity y on y.id = b) select least(s, t) as source, greatest(s, t) as target, length from k order by length, case when p + q = 2 then 0 when p + q = 3 then 1 else 2 end, 1, 2 limit 10")
+def _(t: Tables) -> DataFrame:
+    """Of the entities' pairs the first ten: shorter paths, then two persons, then one, then node ids as strings."""
+    kind = t.entity.select("id", (F.col("entity_type") == "PERSON").cast("int").alias("person"))
+    far = j.indirect_pairs(t.pair.select("a", "b")).join(kind.toDF("a", "x"), "a").join(kind.toDF("b", "y"), "b")
+    node = lambda c: F.concat(F.lit("e"), F.col(c).cast("string"))
+    named = far.select(F.least(node("a"), node("b")).alias("source"), F.greatest(node("a"), node("b")).alias("target"), "length", (F.col("x") + F.col("y")).alias("persons"))
+    return named.orderBy("length", F.desc("persons"), "source", "target").limit(10).select("source", "target", "length")
+
+
 _REACH = "with recursive e as (select a as src, b as dst from pair union all select b, a from pair), r as (select src as id, src as pos from e union select r.id, e.dst from r join e on r.pos = e.src), cc as (select id, min(pos) as component from r group by 1)"
 
 

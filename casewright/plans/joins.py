@@ -192,6 +192,14 @@ def _(t: Tables) -> DataFrame:
     return j.two_hops(t.pair.select("a", "b"))
 
 
+_INDIRECT = "with u as (select a, b from pair union all select b, a from pair), h2 as (select distinct x.a as a, y.b as b from u x join u y on x.b = y.a and x.a <> y.b), d2 as (select h2.a, h2.b from h2 anti join u on h2.a = u.a and h2.b = u.b), h3 as (select distinct x.a as a, y.b as b from h2 x join u y on x.b = y.a and x.a <> y.b), d3 as (select h3.a, h3.b from h3 anti join u on h3.a = u.a and h3.b = u.b), f as (select a, b, 2 as length from d2 where a < b union all select d3.a, d3.b, 3 from d3 anti join d2 on d3.a = d2.a and d3.b = d2.b where d3.a < d3.b)"
+
+
+@query("jn27_indirect_pairs_by_length", _INDIRECT + " select a, b, length from f")
+def _(t: Tables) -> DataFrame:
+    return j.indirect_pairs(t.pair.select("a", "b"))
+
+
 @query("jn20_person_alignment")
 def _(t: Tables) -> DataFrame:
     first = Window.partitionBy("o_custkey").orderBy("o_orderkey")

@@ -80,6 +80,22 @@ def test_alignment(spark):
     assert got == {11: (1, "matched"), 12: (2, "matched"), 13: (None, "split"), 14: (None, "new")}
 
 
+def test_indirect_pairs_match_brute_force(spark):
+    rng = random.Random(3)
+    links = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(45)}) + [(100, 101), (101, 102), (102, 103), (103, 104)]
+    near = {x: {b for a, b in links if a == x} | {a for a, b in links if b == x} for x in {x for p in links for x in p}}
+    want = set()
+    for x in near:
+        seen, edge = {x}, {x}
+        for length in (1, 2, 3):
+            edge = {z for y in edge for z in near[y]} - seen
+            seen |= edge
+            want |= {(x, z, length) for z in edge if x < z and length > 1}
+    got = j.indirect_pairs(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == len(want) and {(r.a, r.b, r.length) for r in got} == want
+    assert (100, 103, 3) in want and (100, 104, 4) not in want
+
+
 def test_rank_is_global(spark):
     df = spark.range(1000).withColumn("v", (F.col("id") * 37) % 101)
     got = ranked(df, [F.desc("v"), F.asc("id")], "place").collect()
