@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from casewright.storage import scratch, shared_dir, stored
 
-__all__ = ["SPACE", "WORD", "cut_spans", "key_filter", "may_hold", "mix64", "read", "scratch", "shared_dir", "shingle_sets", "small_batches", "stored", "word_count", "word_hashes"]
+__all__ = ["SPACE", "WORD", "cut_spans", "key_filter", "keyed", "may_hold", "mix64", "read", "scratch", "shared_dir", "shingle_sets", "small_batches", "stored", "word_count", "word_hashes"]
 
 #: Word separators of every operator here: space and the ASCII controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -29,6 +29,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, text): ``row`` is a hash of both, the same however often and from whatever files the table is read; rows that repeat both share it."""
+    key = F.xxhash64(F.col("id").isNull(), F.coalesce("id", F.lit(0).cast("long")), F.col("text").isNull(), F.coalesce("text", F.lit("")))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select("id", key.alias("row"), "text")
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null; counts the starts of words without making an array."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -25,7 +25,7 @@ def _grams(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
-def _windows(texts: list[bytes], width: int):
+def windows(texts: list[bytes], width: int):
     """(document, first word) of each word, hashes of the parts, windows that are inside one text and the place of each window's smallest part."""
     words, counts = word_hashes(texts)
     doc = np.repeat(np.arange(len(texts)), counts)
@@ -44,7 +44,7 @@ def _windows(texts: list[bytes], width: int):
     return words, doc, begin, parts, inside, at[inside]
 
 
-def _code_points(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def code_points(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Start and stop of each word of all texts, in code points of its own text."""
     data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     edge = np.flatnonzero(np.diff(_BLANK[data], prepend=True))
@@ -55,16 +55,16 @@ def _code_points(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return chars[start] - base, chars[stop] - base
 
 
-def _bytes(column) -> list[bytes]:
+def as_bytes(column) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
 def _marks(width: int):
     def mark(batches):
         for batch in batches:
-            rows, texts = batch.column(0).to_numpy(zero_copy_only=False), _bytes(batch.column(1))
+            rows, texts = batch.column(0).to_numpy(zero_copy_only=False), as_bytes(batch.column(1))
             for lo, hi in _batches(texts):
-                if (made := _windows(texts[lo:hi], width)) is not None:
+                if (made := windows(texts[lo:hi], width)) is not None:
                     _, doc, begin, parts, _, at = made
                     at = np.unique(at)
                     yield pa.RecordBatch.from_arrays([pa.array(rows[lo:hi][doc[at]]), pa.array((at - begin[at]).astype(np.int32)), pa.array(parts[at].view(np.int64))], names=["row", "pos", "mark"])
@@ -75,9 +75,9 @@ def _marks(width: int):
 def _candidates(width: int):
     def cut(batches):
         for batch in batches:
-            ids, rows, texts, marks = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), _bytes(batch.column(2)), batch.column(3).to_pylist()
+            ids, rows, texts, marks = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), as_bytes(batch.column(2)), batch.column(3).to_pylist()
             for lo, hi in _batches(texts):
-                if (made := _windows(texts[lo:hi], width)) is None:
+                if (made := windows(texts[lo:hi], width)) is None:
                     continue
                 words, doc, begin, _, inside, at = made
                 marked = np.zeros(len(words), dtype=bool)
@@ -85,7 +85,7 @@ def _candidates(width: int):
                 for k in range(hi - lo):
                     marked[first[k] + np.array(marks[lo + k], dtype=np.int64)] = True
                 take = inside[marked[at]]
-                start, stop = _code_points(texts[lo:hi])
+                start, stop = code_points(texts[lo:hi])
                 found = (rows[lo:hi][doc[take]], (take - begin[take]).astype(np.int32), start[take].astype(np.int32), stop[take + width - 1].astype(np.int32), _grams(words, width)[take].view(np.int64))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[take] + lo)), *map(pa.array, found)], names=["id", "row", "pos", "start", "stop", "digest"])
 

@@ -15,10 +15,14 @@ from casewright.llm.mixing import mix
 from casewright.llm.near_dedup import near_dedup
 from casewright.llm.packing import pack
 from casewright.llm.passage_dedup import repeated_passages
-from casewright.llm.substring_dedup import repeated_units
+from casewright.llm.substring_dedup import repeated_stretches, repeated_units
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_stretches(read(spark, sf_dir, "documents"))
+
+
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units(read(spark, sf_dir, "documents"))
 
 
@@ -91,13 +95,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op1_passages, op2_fingerprints, op3_near_dedup, op4_exact_dedup, op5_language_id, op6_line_dedup, op7_warc, op8_best_fit_packing, op9_mixing, op10_chat_format)
+    for f in (op1_substring_dedup, op1_lines, op1_passages, op2_fingerprints, op3_near_dedup, op4_exact_dedup, op5_language_id, op6_line_dedup, op7_warc, op8_best_fit_packing, op9_mixing, op10_chat_format)
 }
 
 _BLANK = r"[\x20\x09-\x0D]"
 
 ORACLE: dict[str, str] = {
-    "op1_substring_dedup": rf"""
+    "op1_lines": rf"""
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 unit_no from documents),
 placed as (

@@ -1,14 +1,21 @@
-"""Substring deduplication by lines: normalised lines are hashed, grouped globally, and all but the first are cut."""
+"""Substring deduplication: normalised units are hashed, grouped globally, and all but the earliest are cut.
+
+Units are lines (``repeated_units``) or runs of words chosen by their content (``repeated_stretches``). Passages are pasted
+into the middle of lines and wrapped anew, so lines, paragraphs, sentences and clauses of two copies are not the same;
+runs chosen by content are, wherever the copy stands.
+"""
 
 from __future__ import annotations
 
 from hashlib import md5
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.common import cut_spans, small_batches, stored
+from casewright.llm.common import _batches, cut_spans, keyed, small_batches, stored, word_hashes
+from casewright.llm.passage_dedup import as_bytes, code_points, windows
 
 _UNITS = "id long, ord long, unit_no int, start long, stop long, digest binary"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -59,3 +66,114 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def cut_units(docs: DataFrame, cuts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the spans of ``cuts``, with ``kept_spans``: offsets in the original text of what stays. Needs unique ids."""
     return cut_spans(docs, cuts.select(id_col, "start", "stop"), [id_col], text_col)
+
+
+# --- units of words, chosen by content ----------------------------------------------------------------------------
+#: Words of a unit. A run of twice as many words or more always holds a unit that is chosen in both places.
+UNIT = 25
+#: Words that are looked at beyond either end of a run of repeated units.
+REACH = 50
+_CHOSEN = "id long, row long, pos int, digest long"
+_EDGES = "row long, place long, words array<int>, edges array<int>"
+
+
+def _chosen(unit: int):
+    def choose(batches):
+        for batch in batches:
+            ids, rows, texts = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), as_bytes(batch.column(2))
+            for lo, hi in _batches(texts):
+                if (made := windows(texts[lo:hi], 2 * unit)) is not None:
+                    _, doc, begin, parts, _, at = made
+                    at = np.unique(at)
+                    columns = (rows[lo:hi][doc[at]], (at - begin[at]).astype(np.int32), parts[at].view(np.int64))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[at] + lo)), *map(pa.array, columns)], names=["id", "row", "pos", "digest"])
+
+    return choose
+
+
+def _edges(reach: int):
+    """Word hashes outwards of each place (twice the word's number, and 1 if the words after it are meant), and the code points at which a cut would end."""
+
+    def look(batches):
+        for batch in batches:
+            rows, texts, places = batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()
+            out: tuple[list, ...] = ([], [], [], [])
+            for lo, hi in _batches(texts):
+                words, counts = word_hashes(texts[lo:hi])
+                short = (words >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                start, stop = code_points(texts[lo:hi])
+                first = np.cumsum(counts) - counts
+                for k in range(lo, hi):
+                    a, n = first[k - lo], counts[k - lo]
+                    w, starts, stops = short[a : a + n], start[a : a + n], stop[a : a + n]
+                    for place in places[k]:
+                        at = place // 2
+                        if place % 2:
+                            near, edge = w[at : at + reach], stops[at - 1 : at + reach]
+                        else:
+                            near, edge = w[max(0, at - reach) : at][::-1], starts[max(0, at - reach) : at + 1][::-1]
+                        for c, v in zip(out, (rows[k], place, near, edge), strict=True):
+                            c.append(v)
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], ints), pa.array(out[3], ints)], names=["row", "place", "words", "edges"])
+
+    return look
+
+
+def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = UNIT, reach: int = REACH) -> DataFrame:
+    """One row per stretch to cut: id, row, stretch_no, start, stop (code points of the original text, stop not included), first_word, words, first_id.
+
+    A unit is a run of ``unit`` words in lower-cased ASCII, whatever white space and line ends are between them; which
+    runs are units is decided by their content: of every ``2 * unit`` words in a row the run with the smallest hash.
+    Units are grouped by digest globally and the earliest stays, in the order of id (null last), row, place. A later
+    one is cut, with those that follow it in the same order after the same earlier place, and with the words at either
+    end that stand there too (up to ``reach``). So every run of ``2 * unit`` words that stands earlier is hit,
+    wherever in a line it starts, and nothing shorter than ``unit`` words is cut; a stretch can be put together from
+    several earlier places (``first_id`` is that of its first words). A repeat within a document does not reach into
+    the place that it repeats.
+
+    ``row`` is a hash of id and text: rows that repeat both are one document, of which the stretches are given once.
+    Null, empty and short texts have no units; an empty table has no rows. Very long texts are taken a few at a time,
+    and only digests, places and the texts with repeats are sent. Other columns, whatever their names, are not read.
+    """
+    small_batches(docs.sparkSession)
+    base = keyed(docs, id_col, text_col)
+    chosen = stored(base.mapInArrow(_chosen(unit), _CHOSEN), "chosen")
+    rank = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"), F.col("pos").alias("d"))
+    # stored, so that both sides of the join are plain exchanges and a unit of very many documents can be split
+    first = stored(chosen.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"), "first")
+    again = chosen.join(first, "digest").filter((F.col("row") != F.col("first.c")) | (F.col("pos") >= F.col("first.d") + unit)).select(
+        "id", "row", "pos", F.col("first.b").alias("first_id"), F.col("first.c").alias("first_row"), (F.col("pos") - F.col("first.d")).alias("shift")
+    )
+    order = Window.partitionBy("row").orderBy("pos")
+    parts = F.coalesce((F.col("pos") - F.lag("pos").over(order) > unit) | (F.lag("first_row").over(order) != F.col("first_row")) | (F.lag("shift").over(order) != F.col("shift")), F.lit(True))
+    runs = again.withColumn("new", parts.cast("int")).withColumn("run", F.sum("new").over(order)).groupBy("row", "run").agg(
+        F.first("id").alias("id"), F.first("first_id").alias("first_id"), F.first("first_row").alias("first_row"), F.first("shift").alias("shift"),
+        F.min("pos").alias("a"), (F.max("pos") + unit).alias("b"),
+    )
+    ends = stored(runs.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).select(
+        "*", (2 * F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b")).cast("long") + F.col("side")).alias("place")
+    ).withColumn("first_place", F.col("place") - 2 * F.col("shift")), "ends")
+    places = ends.select("row", "place").union(ends.select("first_row", "first_place")).distinct().groupBy("row").agg(F.collect_list("place").alias("places"))
+    seen = base.select("row", "text").join(places, "row").mapInArrow(_edges(reach), _EDGES)
+    seen = stored(seen.groupBy("row", "place").agg(F.first("words").alias("words"), F.first("edges").alias("edges")), "edges")
+    there = seen.select(F.col("row").alias("first_row"), F.col("place").alias("first_place"), F.col("words").alias("there"))
+    differs = F.array_position(F.zip_with("words", "there", lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+    # in one document, what is between the run and the place that it repeats bounds both ends together
+    free = F.greatest(F.lit(0), F.col("shift") - (F.col("b") - F.col("a")))
+    left = F.least(free, F.col("a") - F.col("shift"))
+    most = F.when(F.col("row") != F.col("first_row"), reach).when(F.col("side") == 0, left).otherwise(free - left)
+    more = F.least(F.when(differs == 0, F.size("words")).otherwise(differs - 1), most).cast("int")
+    held = ends.join(seen, ["row", "place"]).join(there, ["first_row", "first_place"]).withColumn("more", more)
+    grown = held.groupBy("row", "run").agg(
+        F.first("id").alias("id"), F.first("first_id").alias("first_id"),
+        F.max(F.when(F.col("side") == 0, F.col("a") - F.col("more"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("b") + F.col("more"))).alias("b"),
+        F.max(F.when(F.col("side") == 0, F.get("edges", "more"))).alias("start"), F.max(F.when(F.col("side") == 1, F.get("edges", "more"))).alias("stop"),
+    )
+    order = Window.partitionBy("row").orderBy("a", "b")
+    apart = F.coalesce(F.col("a") > F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    made = grown.withColumn("new", apart.cast("int")).withColumn("stretch", F.sum("new").over(order)).groupBy("row", "stretch").agg(
+        F.first("id").alias("id"), F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"), F.min("a").alias("first_word"),
+        (F.max("b") - F.min("a")).alias("words"), F.min_by("first_id", F.struct("a", "b")).alias("first_id"),
+    )
+    return made.select(F.col("id").alias(id_col), "row", (F.col("stretch") - 1).cast("int").alias("stretch_no"), "start", "stop", "first_word", "words", "first_id")

@@ -17,7 +17,7 @@ from casewright.llm.near_dedup import near_dedup
 from casewright.llm.packing import best_fit, pack
 from casewright.llm.passage_dedup import repeated_passages
 from casewright.llm.queries import ORACLE, QUERIES
-from casewright.llm.substring_dedup import cut_units, repeated_units
+from casewright.llm.substring_dedup import cut_units, repeated_stretches, repeated_units
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, row string, key string, start string, digest string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,7 +55,7 @@ def test_query(spark, name):
 
 def test_empty_tables(spark):
     docs = table(spark, [])
-    for f in (exact_dedup, near_dedup, repeated_units, repeated_chunks, mix, pack, fingerprint.fingerprints, fingerprint.with_next):
+    for f in (exact_dedup, near_dedup, repeated_units, repeated_stretches, repeated_runs, repeated_passages, repeated_chunks, mix, pack, fingerprint.fingerprints, fingerprint.with_next):
         assert f(docs).count() == 0
     assert language_id.identify(docs, language_id.fit(docs)).count() == 0
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
@@ -129,6 +129,49 @@ def test_substring_dedup(spark):
     assert left[2] == (f"é {line}", [(n + 1, 2 * n + 3)]) and left[3] == ("ü", [(0, 1)]) and left[1][0] == rows[0][1]
 
 
+def test_stretches_hold_against_brute_force(spark):
+    rng = random.Random(8)
+    pool = ["été", "ab", "Q", "日本"] + [f"w{k}" for k in range(500)]
+    fresh = lambda n: [rng.choice(pool) + str(rng.random()) for _ in range(n)]
+    wrapped = lambda ws: "".join(w + rng.choice([" ", " ", "  ", "\n", "\t"]) for w in ws)
+    shared = fresh(160)
+    rows = []
+    for i in range(60):  # passages pasted into the middle of lines and wrapped anew, some in capitals
+        a, n = rng.randrange(60), rng.choice([20, 24, 25, 49, 50, 51, 75, 100])
+        rows.append((i, wrapped(fresh(rng.randrange(60)) + [w.upper() if w.isascii() and i % 3 else w for w in shared[a : a + n]] + fresh(rng.randrange(90))), "s"))
+    rows += [(60 + k, wrapped(shared[30:90]), "s") for k in range(40)]  # a third of all rows hold the same passage
+    rows += [(150, None, "s"), (151, "", "s"), (152, "again " * 49, "s"), (153, "again " * 70, "s"), (154, "once " * 5000, "s"), (155, wrapped(fresh(20_000) + shared), "s"), (None, wrapped(shared), "s")]
+    rows += [(200, twice := wrapped(fresh(80)), "s"), (200, twice, "s"), (200, wrapped(fresh(80)), "s")]  # the first two are one document
+    texts, order = {}, []
+    for i, t, _ in rows:
+        if (i, t) not in texts:
+            texts[i, t] = [m for m in WORD.finditer(t or "")]
+            order.append((i, t))
+    earlier = {25: set(), 50: []}
+    for width in (25, 50):
+        seen = defaultdict(list)
+        for n, key in enumerate(order):
+            plain = [m.group().translate(LOWER) for m in texts[key]]
+            for p in range(len(plain) - width + 1):
+                w = tuple(plain[p : p + width])
+                if any(m < n or q + (25 if width == 25 else 50) <= p for m, q in seen[w][:1]):
+                    if width == 25:
+                        earlier[25] |= {(key, k) for k in range(p, p + 25)}
+                    else:
+                        earlier[50].append((key, p))
+                seen[w].append((n, p))
+    got = defaultdict(set)
+    docs = table(spark, rows)
+    for r in repeated_stretches(docs).collect():
+        key = next(k for k in order if k[0] == r.doc_id and len(texts[k]) >= r.first_word + r.words and (texts[k][r.first_word].start(), texts[k][r.first_word + r.words - 1].end()) == (r.start, r.stop))
+        here = {(key, k) for k in range(r.first_word, r.first_word + r.words)}
+        assert r.words >= 25 and not here & got[key]
+        got[key] |= here
+    found = set().union(*got.values())
+    assert found <= earlier[25] and len(found) > 2000
+    assert all(sum((key, k) in found for k in range(p, p + 50)) >= 25 for key, p in earlier[50])
+
+
 def test_passages_match_brute_force(spark):
     rng = random.Random(8)
     pool = ["été", "ab", "Q", "日本"] + [f"w{k}" for k in range(500)]
