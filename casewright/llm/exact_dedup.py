@@ -1,9 +1,10 @@
 """Exact deduplication by progressive refinement: length, then prefix hash, then full hash.
 
-The first pass keeps a number and a hash a document and groups by length, then by prefix hash among the lengths that
-repeat. Only documents whose (length, prefix) group has two members or more go on: they pass a filter of fixed size,
-their full content is hashed, and the full hashes are grouped. Rows are never gathered by group, only aggregated, and
-the one join by hash is an ordinary shuffled join, which adaptive execution splits where a group is hot.
+The first pass keeps a length and a prefix hash a document. Lengths are counted; of the rows whose length repeats the
+prefix hashes are counted; only documents whose (length, prefix) repeats go on: they pass a filter of fixed size, their
+full content is hashed, and the full hashes are grouped. Rows are never gathered by group, only aggregated, and the one
+join by hash is an ordinary shuffled join, which adaptive execution splits where a group is hot. If every row's hash is
+asked for, it is made in the first pass, so that texts are read and squeezed once.
 """
 
 from __future__ import annotations
@@ -25,23 +26,29 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal if they are equal without white space. Of equal texts the one with the most code points stays, then
     the smallest id (null ids last). ``digest`` is the SHA-256 of the normalised text; it is null for rows that no
     group survives for, unless ``digest_all``. Null text counts as empty, and all empty texts are equal. Of rows that
-    repeat an id and a text only one is kept. Other columns are not read.
+    repeat an id and a text only one is kept. Very long texts are one row as any other; an empty table gives none. Other
+    columns, whatever their names, are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), text.alias("t")).withColumn("norm", squeeze(F.col("t")))
-    light = base.select(F.length("norm").alias("len"), F.xxhash64(F.left("norm", F.lit(prefix))).alias("head"))
-    by_head = light.groupBy("len", "head").agg(F.count("*").alias("n"))
-    repeats = by_head.groupBy("len").agg(F.sum("n").alias("n")).filter("n > 1").select("len")
-    # two steps of refinement over counts, not over rows: lengths that repeat, and among them prefixes that repeat
-    heads = by_head.filter("n > 1").join(repeats, "len", "left_semi")
-    marks = stored(key_filter(heads, F.xxhash64("len", "head")), "heads")
-    full = may_hold(
-        base.select("id", F.length("t").alias("n_chars"), "norm", F.xxhash64(F.length("norm"), F.xxhash64(F.left("norm", F.lit(prefix)))).alias("group")),
-        F.col("group"), marks, "survives",
-    )
     digest = F.unhex(F.sha2("norm", 256))
-    full = full.select("id", "n_chars", "survives", (digest if digest_all else F.when(F.col("survives"), digest)).alias("digest"), F.monotonically_increasing_id().alias("row"))
-    full = stored(full, "digests")
+    light = base.select(
+        "id", F.length("t").alias("n_chars"), F.length("norm").alias("len"), F.xxhash64(F.left("norm", F.lit(prefix))).alias("head"),
+        *([digest.alias("digest"), F.monotonically_increasing_id().alias("row")] if digest_all else ["norm"]),
+    )
+    if digest_all:
+        sizes = light = stored(light, "sizes")
+    else:
+        sizes = stored(light.select("len", "head"), "sizes")
+    # lengths that repeat; of their rows, prefixes that repeat; of theirs, full hashes
+    lengths = stored(key_filter(sizes.groupBy("len").agg(F.count("*").alias("n")).filter("n > 1"), F.col("len")), "lengths")
+    heads = may_hold(sizes.select("len", "head"), F.col("len"), lengths, "goes_on").filter("goes_on").groupBy("len", "head").agg(F.count("*").alias("n")).filter("n > 1")
+    marks = stored(key_filter(heads, F.xxhash64("len", "head")), "heads")
+    full = may_hold(light.withColumn("group", F.xxhash64("len", "head")), F.col("group"), marks, "survives")
+    if digest_all:
+        full = full.select("id", "n_chars", "survives", "digest", "row")
+    else:
+        full = stored(full.select("id", "n_chars", "survives", F.when(F.col("survives"), digest).alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
     order = F.struct((-F.col("n_chars")).alias("a"), F.col("id").isNull().alias("b"), F.col("id").alias("c"), F.col("row").alias("d"))
     groups = full.filter("survives").groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
     groups = stored(groups, "groups")  # read again, so that both sides of the join are plain exchanges and a hot group can be split
