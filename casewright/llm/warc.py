@@ -115,20 +115,21 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """(archive): names of the archives in ``folder`` that hold a record for each row of ``pages``.
 
     Null html is an empty payload. Of equal payloads of LEAST_BYTES or more the row with the smallest id is the response and rows with a
-    larger id revisit it; rows that repeat that smallest id are responses too, and rows with a null id are responses. Only digests are grouped. The
-    date of a capture is the id in seconds after 2020-01-01.
+    larger id revisit it; rows that repeat that smallest id are responses too, and rows with a null id are responses. Only
+    digests are grouped; pages are sent once, by digest. The date of a capture is the id in seconds after 2020-01-01. A
+    page is one record however long it is; of an empty table no archive is written. Other columns are not read.
     """
     small_batches(pages.sparkSession)
     fs, base = _file_system(folder)
     fs.create_dir(base, recursive=True)
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
-    keyed = rows.select("page_id", F.sha2(F.encode("html", "utf-8"), 256).alias("digest"), F.octet_length("html").alias("bytes"))
-    large = keyed.filter((F.col("bytes") >= LEAST_BYTES) & F.col("page_id").isNotNull())
-    first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    revisits = large.join(first, "digest").filter("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    digest = F.sha2(F.encode("html", "utf-8"), 256).alias("digest")
+    large = rows.filter((F.octet_length("html") >= LEAST_BYTES) & F.col("page_id").isNotNull()).select("page_id", digest)
+    # stored, so that both sides of the join are plain exchanges and a payload of very many pages can be split
+    first = stored(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"), "first")
     captured = F.date_format(F.timestamp_seconds(F.lit(1577836800) + F.coalesce(F.pmod("page_id", F.lit(1 << 31)), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    full = rows.withColumn("digest", F.sha2(F.encode("html", "utf-8"), 256)).join(revisits, ["page_id", "digest"], "left")
+    full = rows.select("*", digest).join(first, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first")))
     return stored(full.select("page_id", "url", captured.alias("captured"), "html", "digest", "refers_to").mapInArrow(_write(folder), "archive string"), "archives")
 
 
@@ -296,8 +297,9 @@ def _lines(out: list[tuple]) -> pa.RecordBatch:
 def capture_histories(spark: SparkSession, folder: str, archives: DataFrame, ranges: int | None = None) -> DataFrame:
     """The merged index: url_key, captured, page_id, url, payload_bytes, payload_digest, record_type, refers_to, archive, offset, length, range_no, place.
 
-    Rows are in global order by (range_no, place): URL key, timestamp, id. Payloads are read back and held against
-    their digests. A URL that holds many captures is cut by timestamp and id, so no range follows one key.
+    Rows are in global order by (range_no, place): URL key, timestamp, id (null first), archive, offset. Payloads are read
+    back and held against their digests. A URL that holds many captures is cut by timestamp and id, so no range follows
+    one key; records that repeat an id and a payload are lines of their own. Without archives there are no rows.
     """
     runs = scratch(spark, "runs")
     fs, base = _file_system(runs)
