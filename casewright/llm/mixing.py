@@ -7,38 +7,37 @@ budget ends is refined by the next bits, and so on; then a filter on the thresho
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.llm.common import stored, word_count
+from casewright.operators.sequences import ranked
 
 #: Three levels of 4096 buckets: 36 bits of hash.
 BITS, LEVELS = 12, 3
 
 
-def targets(sizes: DataFrame, weights: Column, share: float, most: float) -> DataFrame:
-    """``sizes`` (source, source_size) with ``target``: shares of ``share`` times all words by weight, at most ``most`` times a source.
+#: Up to so many sources, counted first, a row for each is broadcast; beyond, the joins are shuffled ones.
+FEW_SOURCES = 100_000
 
-    What a cap leaves over is reshared by weight, until none is above: sources in the order of cap / weight, of which
-    the first so many are capped. The table has a row for each source, and its windows run over that table only.
+
+def targets(sizes: DataFrame, share: float, most: float) -> DataFrame:
+    """``sizes`` (source, source_size, weight) with ``target``: shares of ``share`` times all words by weight, at most ``most`` times a source.
+
+    In rounds: what capped sources leave over is shared by weight among the others, and those that it lifts above their
+    cap are capped, until none is. A round is a sum over the sources and a stored table; each caps one source at least.
     """
-    ranked = sizes.withColumn("weight", weights).withColumn("cap", most * F.col("source_size"))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = (share * F.col("everything") - F.col("capped")) / F.col("open_weight")
-    return (
-        ranked.withColumn("place", F.row_number().over(by_ratio))
-        .withColumn("everything", F.sum("source_size").over(Window.partitionBy(F.lit(1))))
-        .withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("open_weight", F.sum("weight").over(after))
-        .withColumn("level", level)
-        # the level of the first source that its share does not fill up; those before it are capped
-        .withColumn("first", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("place").alias("p"), F.col("level").alias("x")))).over(Window.partitionBy(F.lit(1))))
-        .withColumn("level", F.col("first.x"))
-        .withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))))
-        .select("source", "source_size", "target")
-    )
+    cap = most * F.col("source_size")
+    now = stored(sizes.withColumn("capped", F.lit(False)), "sources")
+    while True:
+        r = now.agg(
+            F.sum("source_size").alias("all"), F.sum(F.when(F.col("capped"), cap)).alias("taken"), F.sum(F.when(~F.col("capped"), F.col("weight"))).alias("weight"), F.count_if("capped").alias("n"),
+        ).first()
+        level = F.lit((share * (r["all"] or 0) - (r["taken"] or 0.0)) / r["weight"] if r["weight"] else 0.0)
+        over = F.col("capped") | (level * F.col("weight") > cap)
+        if not now.filter(over).count() > r["n"]:
+            return now.select("source", "source_size", F.when(F.col("capped"), cap).otherwise(level * F.col("weight")).alias("target"))
+        now = stored(now.withColumn("capped", over), "sources")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -46,8 +45,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Size is the number of words (null text: 0). Sources in order of code points, null last, have the weights of
     ``cycle`` in turn. A document is taken ``copies`` times in whole, at most ``most`` (rounded up) times. Rows that
-    repeat an id have the same hash and are taken alike. A source without words has target 0. No row is dropped: those
-    that the mix leaves out have 0 copies. Other columns are not read.
+    repeat an id, or have none, share a hash and are taken alike, so a source with many of them can miss its target by
+    their size together. A source without words has target 0. No row is dropped: those that the mix leaves out have 0
+    copies. Very long texts count whole; an empty table gives no rows. Other columns, whatever their names, are not read.
     """
     light = stored(
         docs.select(
@@ -56,14 +56,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         ),
         "sizes",
     )
-    sizes = light.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (place % len(cycle) + 1).cast("int"))
+    sizes = ranked(light.groupBy("source").agg(F.sum("size").alias("source_size")), [F.col("source").asc_nulls_last()], "place")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), ((F.col("place") - 1) % len(cycle) + 1).cast("int"))
     # full copies of every document, and the words that are left to take by threshold
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    goal = stored(targets(sizes, weight, share, most).withColumn("full", full).withColumn("left", F.col("target") - full * F.col("source_size")), "targets")
-    # one row for each source is broadcast up to so many sources; beyond that the joins are shuffled ones
-    few = goal.count() <= 100_000
+    goal = stored(targets(sizes.withColumn("weight", weight), share, most).withColumn("full", full).withColumn("left", F.col("target") - full * F.col("source_size")), "targets")
+    few = goal.count() <= FEW_SOURCES
     keys = {"k1": F.coalesce("source", F.lit("")), "k2": F.col("source").isNull()}
 
     def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
