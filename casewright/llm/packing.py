@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from casewright.llm.common import SPACE, stored, word_count
 
-_PACKED = "id long, row long, piece int, size long, source string, cluster long, shard long, bin long, residual long"
+#: Equal rows that are numbered in one go.
+BLOCK = 4096
+_PACKED = "id long, row long, copy long, piece int, size long, source string, cluster long, shard long, bin long, residual long"
 
 
 def best_fit(items: list[tuple[int, int, int]], capacity: int) -> list[tuple[int, int]]:
@@ -80,31 +82,41 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int) -> list[tuple[int
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = 2048, shard_docs: int = 4000) -> DataFrame:
-    """One row per piece: id, piece, start_word, size, source, cluster, shard, bin, residual.
+def pack(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = 2048, shard_docs: int = 4000, cluster_col: str | None = None
+) -> DataFrame:
+    """One row per piece: id, copy, piece, start_word, size, source, cluster, shard, bin, residual.
 
-    Sizes are words. A text of more than ``capacity`` words is cut into pieces of ``capacity`` and a rest, none of them dropped; a text
-    without words (or null) has one piece of size 0 and no bin. Documents are dealt to shards of about ``shard_docs``
-    by hash, and each shard is packed by itself, largest pieces first, then by id, so a shard's memory is bounded and
-    the number of tasks follows the input. ``bin`` is numbered within the shard. In a bin no two pieces have the same source (null
-    is one) or the same text but for case and white space (``cluster``: a hash of it). Rows that repeat an id are
-    packed as documents of their own. Other columns are not read.
+    Sizes are words. A text of more than ``capacity`` words, however long, is cut into pieces of ``capacity`` and a rest,
+    none of them dropped; a text without words (or null) has one piece of size 0 and no bin. Documents are dealt to
+    shards of about ``shard_docs`` by hash, and each shard is packed by itself, largest pieces first, then by id, so a
+    shard's memory is bounded and the number of tasks follows the input. ``bin`` is numbered within the shard. In a bin
+    no two pieces have the same source (null is one) or the same duplicate cluster: ``cluster_col`` (null: in none), or
+    else a hash of the text without case and white space, so that exact copies are kept apart.
+
+    What decides is content only (id, text, source, cluster), so the bins do not depend on files or partitions. Rows
+    that repeat all of it are documents of their own, numbered by ``copy``. An empty table gives no rows. Other columns,
+    whatever their names, are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    cluster = F.col(cluster_col).cast("long") if cluster_col else F.xxhash64(F.lower(F.regexp_replace(text, SPACE + "+", "")))
     light = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(source_col).cast("string").alias("source"),
-        word_count(text).alias("words"), F.xxhash64(F.lower(F.regexp_replace(text, SPACE + "+", ""))).alias("cluster"),
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("words"), cluster.alias("cluster")
     )
-    light = stored(light, "pieces")
-    shards = max(1, -(-light.count() // shard_docs))
+    alike = ["id", "row", "source", "words", "cluster"]
+    # equal rows are counted and numbered, in blocks that are dealt out anew, so that many of them are no single task
+    counts = stored(light.groupBy(*alike).agg(F.count("*").alias("n")), "documents")
+    shards = max(1, -(-(counts.agg(F.sum("n")).first()[0] or 0) // shard_docs))
+    blocks = counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))).alias("block")).repartition("row", "block")
+    copies = blocks.select(*alike, F.explode(F.sequence(F.col("block") * BLOCK, F.least(F.col("n"), (F.col("block") + 1) * BLOCK) - 1)).alias("copy"))
     whole = F.floor(F.greatest(F.col("words") - 1, F.lit(0)) / capacity)
-    pieces = light.select("*", F.explode(F.sequence(F.lit(0).cast("long"), whole)).alias("piece")).select(
-        "id", "row", F.col("piece").cast("int").alias("piece"), F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity).cast("long").alias("size"),
-        "source", "cluster", F.pmod(F.xxhash64("id", "row"), F.lit(shards)).alias("shard"),
+    pieces = copies.select("*", F.explode(F.sequence(F.lit(0).cast("long"), whole)).alias("piece")).select(
+        "id", "row", "copy", F.col("piece").cast("int").alias("piece"), F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity).cast("long").alias("size"),
+        "source", "cluster", F.pmod(F.xxhash64(*alike, "copy"), F.lit(shards)).alias("shard"),
     )
 
     def one(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["size", "id", "row", "piece"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+        shard = shard.sort_values(["size", "id", "row", "source", "cluster", "copy", "piece"], ascending=[False, *[True] * 6], kind="stable", ignore_index=True)
         sources = {s: k for k, s in enumerate(dict.fromkeys(shard["source"].where(shard["source"].notna(), None)))}
         # only clusters of two pieces or more can be in conflict, and have a bit
         met = shard["cluster"].value_counts(sort=False)
@@ -114,6 +126,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         )
         return shard.assign(bin=[b for b, _ in placed], residual=[r for _, r in placed])
 
+    pieces = stored(pieces, "pieces")
     empty = pieces.filter("size = 0").select("*", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("residual"))
     packed = pieces.filter("size > 0").groupBy("shard").applyInPandas(one, _PACKED).select(*empty.columns).union(empty)
-    return packed.select(F.col("id").alias(id_col), "piece", (F.col("piece").cast("long") * capacity).alias("start_word"), "size", F.col("source").alias(source_col), "cluster", "shard", "bin", "residual")
+    return packed.select(
+        F.col("id").alias(id_col), "copy", "piece", (F.col("piece").cast("long") * capacity).alias("start_word"), "size", F.col("source").alias(source_col), "cluster", "shard", "bin", "residual"
+    )
