@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from casewright.storage import scratch, shared_dir, stored
 
-__all__ = ["SPACE", "WORD", "cut_spans", "key_filter", "keyed", "may_hold", "mix64", "read", "scratch", "shared_dir", "shingle_sets", "small_batches", "stored", "word_count", "word_hashes"]
+__all__ = ["SPACE", "WORD", "cut_spans", "key_filter", "keyed", "may_hold", "mix64", "read", "row_key", "scratch", "shared_dir", "shingle_sets", "small_batches", "stored", "word_count", "word_hashes"]
 
 #: Word separators of every operator here: space and the ASCII controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -31,8 +31,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, row, text): ``row`` is a hash of both, the same however often and from whatever files the table is read; rows that repeat both share it."""
-    key = F.xxhash64(F.col("id").isNull(), F.coalesce("id", F.lit(0).cast("long")), F.col("text").isNull(), F.coalesce("text", F.lit("")))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select("id", key.alias("row"), "text")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select("id", row_key(F.col("id"), F.col("text")).alias("row"), "text")
+
+
+def row_key(key: Column, text: Column) -> Column:
+    return F.xxhash64(key.isNull(), F.coalesce(key, F.lit(0).cast("long")), text.isNull(), F.coalesce(text, F.lit("")))
 
 
 def word_count(text: Column) -> Column:
@@ -40,9 +43,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def cut_spans(docs: DataFrame, spans: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """``docs`` without the code points of ``spans`` (keys, start, stop: whole lines), with ``kept_spans``: the offsets in the original text of what stays."""
-    by_text = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cuts"))
+def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, kept: str = "kept_spans") -> DataFrame:
+    """``docs`` without the code points of ``spans`` (row, start, stop), with ``kept``: the offsets in the original text of what stays.
+
+    ``row`` is that of ``keyed``, so rows that share an id and have other texts are cut by themselves, also those without
+    an id. A character after a span (a line end, mostly) goes with it, and what stays is joined by line ends. A column of
+    ``docs`` that is called as ``kept`` is replaced; all others stay.
+    """
+    by_text = spans.groupBy(F.col("row").alias("_cut_row")).agg(F.sort_array(F.collect_set(F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")))).alias("_cuts"))
+    docs = docs.withColumn("_row", row_key(F.col(id_col).cast("long"), F.col(text_col)))
     last = F.struct((F.length(text_col).cast("long") + 1).alias("start"), F.lit(0).cast("long").alias("stop"))
     gaps = F.transform(
         F.concat("_cuts", F.array(last)),
@@ -50,15 +59,15 @@ def cut_spans(docs: DataFrame, spans: DataFrame, keys: list[str], text_col: str)
     )
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length(text_col).cast("long").alias("stop")))
     return (
-        docs.join(by_text, keys, "left")
-        .withColumn("kept_spans", F.when(F.col("_cuts").isNull(), whole).otherwise(F.filter(gaps, lambda g: g["start"] <= g["stop"])))
+        docs.join(by_text, F.col("_row") == F.col("_cut_row"), "left")
+        .withColumn(kept, F.when(F.col("_cuts").isNull(), whole).otherwise(F.filter(gaps, lambda g: g["start"] <= g["stop"])))
         .withColumn(
             text_col,
             F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(
-                F.array_join(F.transform("kept_spans", lambda g: F.substring(F.col(text_col), (g["start"] + 1).cast("int"), (g["stop"] - g["start"]).cast("int"))), "\n")
+                F.array_join(F.transform(kept, lambda g: F.substring(F.col(text_col), (g["start"] + 1).cast("int"), (g["stop"] - g["start"]).cast("int"))), "\n")
             ),
         )
-        .drop("_cuts")
+        .drop("_cuts", "_row", "_cut_row")
     )
 
 

@@ -85,7 +85,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
     ``next_start`` is the first half as many code points as the row's own text has (or all), ``next_sketch`` the whole next text's
     sketch. Rows with a null id have no next one (null). Of rows that repeat an id the one with the smallest text is the next of
-    others. Whole texts are shuffled by id once, for both sides of the join; what goes on to the row before is a start and a sketch.
+    others. Rows that repeat an id and a text are rows of their own with the same next one. A single document is its own
+    next one; an empty table gives no rows. Whole texts, however long, are shuffled by id once, for both sides of the join;
+    what goes on to the row before is a start and a sketch. Other columns, whatever their names, are not read.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = base.filter("id is not null")

@@ -164,8 +164,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``, with all its columns: lang_pred, score (0 to 1) added.
 
-    The whole text is read. Null texts and texts without a letter are ``und`` with score 0. Clashing names: columns of
-    ``docs`` called lang_pred or score are replaced.
+    The whole text is read, a very long one in parts. Null texts and texts without a letter are ``und`` with score 0; of
+    languages with as many votes the one with the larger sum of scores is taken, then the first by name. Each row is
+    judged by itself, so repeated rows are alike and an empty table stays empty. Columns of ``docs`` called lang_pred or
+    score are replaced; all others stay.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -176,4 +178,5 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         known = Model(*sent.value)
         return pd.DataFrame([known.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.drop("lang_pred", "score").withColumn("_p", predict(F.col(text_col))).select("*", "_p.lang_pred", "_p.score").drop("_p")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(*rest, predict(F.col(text_col)).alias("_predicted")).select(*rest, F.col("_predicted.lang_pred").alias("lang_pred"), F.col("_predicted.score").alias("score"))

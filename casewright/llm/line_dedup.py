@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.common import WORD, cut_spans, key_filter, may_hold, small_batches, stored
+from casewright.llm.common import WORD, cut_spans, key_filter, keyed, may_hold, small_batches, stored
 
 _CHUNK = "id long, row long, chunk_no int, start long, stop long, first_line int, lines int, digest long"
 _MASK = (1 << 64) - 1
@@ -62,27 +62,27 @@ def _cut(least: int, most: int, one_in: int, with_text: bool):
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, most: int = 16, one_in: int = 4) -> DataFrame:
-    """One row per chunk to remove: id, chunk_no, start, stop (code points, stop not included), first_line, lines, digest, first_id, first_chunk, copies.
+    """One row per chunk to remove: id, row, chunk_no, start, stop (code points, stop not included), first_line, lines, digest, first_id, first_chunk, copies.
 
     A chunk has ``least`` to ``most`` lines, about ``one_in`` + ``least`` on average; the rest at the end of a text, if
     shorter than ``least``, is no chunk. Of equal chunks the first stays, in the order of id (null last), text, place.
-    Chunks whose bytes differ from the first one of the same digest stay. Null and empty texts have no chunks. Rows
-    that repeat an id count as documents of their own. Other columns are not read.
+    Chunks whose bytes differ from the first one of the same digest stay. Null and empty texts have no chunks. ``row``
+    is a hash of id and text; rows that repeat both count as one document, whose chunks come once for each of them.
+    Other columns, whatever their names, are not read.
     """
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    base = keyed(docs, id_col, text_col)
     counted = base.mapInArrow(_cut(least, most, one_in, False), _CHUNK).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
     marks = stored(key_filter(counted, F.col("digest")), "digests")
     # the second pass sends the text of chunks that repeat only
     found = may_hold(base.mapInArrow(_cut(least, most, one_in, True), _CHUNK + ", chunk string"), F.col("digest"), marks, "again").filter("again").drop("again")
     found = stored(found, "chunks")
-    rank = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"), F.col("chunk_no").alias("d"))
-    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    keepers = first.join(found.select(F.col("digest").alias("g"), rank.alias("at"), F.col("chunk").alias("first_chunk_text")), (F.col("digest") == F.col("g")) & (F.col("first") == F.col("at"))).drop("g", "at")
+    rank = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"), F.col("chunk_no").alias("d"), F.col("chunk").alias("e"))
+    keepers = stored(found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("copies")).filter("copies > 1"), "first")
     return (
         found.join(keepers, "digest")
-        .filter(((F.col("row") != F.col("first.c")) | (F.col("chunk_no") != F.col("first.d"))) & (F.col("chunk") == F.col("first_chunk_text")))
-        .select(F.col("id").alias(id_col), "chunk_no", "start", "stop", "first_line", "lines", "digest", F.col("first.b").alias("first_id"), F.col("first.d").alias("first_chunk"), "copies")
+        .filter(((F.col("row") != F.col("first.c")) | (F.col("chunk_no") != F.col("first.d"))) & (F.col("chunk") == F.col("first.e")))
+        .select(F.col("id").alias(id_col), "row", "chunk_no", "start", "stop", "first_line", "lines", "digest", F.col("first.b").alias("first_id"), F.col("first.d").alias("first_chunk"), "copies")
     )
 
 
@@ -121,20 +121,22 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A line goes if it and a neighbour stand side by side earlier, in the order of id (null last), row, place, without
     sharing a line with that earlier place; lines that go and follow each other are one run. Runs of nothing but empty
     lines stay. ``first_id``, ``first_at`` (a line number) and ``copies`` are of the run's first two lines; a run can be
-    put together from several earlier places. Rows that repeat an id count as documents of their own.
+    put together from several earlier places. ``row`` is a hash of id and text; rows that repeat both count as one document,
+    of which the runs are given once. Null and empty texts and an empty table have no runs; very long texts are lines like
+    others. Only pairs that repeat are sent with their bytes. Other columns, whatever their names, are not read.
     """
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    base = keyed(docs, id_col, text_col)
     counted = base.mapInArrow(_pairs(False), _PAIR).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
     marks = stored(key_filter(counted, F.col("digest")), "digests")
     found = may_hold(base.mapInArrow(_pairs(True), _PAIR + ", pair string"), F.col("digest"), marks, "again").filter("again").drop("again")
     found = stored(found, "pairs")
-    rank = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"), F.col("line").alias("d"))
-    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    keepers = first.join(found.select(F.col("digest").alias("g"), rank.alias("at"), F.col("pair").alias("first_pair")), (F.col("digest") == F.col("g")) & (F.col("first") == F.col("at"))).drop("g", "at")
+    rank = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"), F.col("line").alias("d"), F.col("pair").alias("e"))
+    # the bytes of the first one come with it; stored, so that both sides of the join are plain exchanges and hot lines can be split
+    keepers = stored(found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("copies")).filter("copies > 1"), "first")
     again = (
         found.join(keepers, "digest")
-        .filter(((F.col("row") != F.col("first.c")) | (F.col("line") > F.col("first.d") + 1)) & (F.col("pair") == F.col("first_pair")))
+        .filter(((F.col("row") != F.col("first.c")) | (F.col("line") > F.col("first.d") + 1)) & (F.col("pair") == F.col("first.e")))
         .select("id", "row", "line", "start", "stop", F.col("first.b").alias("first_id"), F.col("first.d").alias("first_at"), "copies")
     )
     order = Window.partitionBy("row").orderBy("line")
@@ -148,7 +150,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def remove_chunks(docs: DataFrame, cuts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the chunks of ``cuts``, and without those of which only white space is left. Needs ids that do not repeat; rows with a null id stay whole."""
-    out = cut_spans(docs.withColumn("_n", F.length(text_col)), cuts.select(id_col, "start", "stop"), [id_col], text_col)
-    emptied = (F.length(text_col) < F.col("_n")) & ~F.col(text_col).rlike(WORD)
-    return out.filter(~F.coalesce(emptied, F.lit(False))).drop("_n", "kept_spans")
+    """``docs`` without the chunks or runs of ``cuts``, and without rows of which only white space is left; rows are told apart by id and text, also those without an id. All columns stay."""
+    out = cut_spans(docs.withColumn("_chars", F.length(text_col)), cuts, id_col, text_col, "_kept")
+    emptied = (F.length(text_col) < F.col("_chars")) & ~F.col(text_col).rlike(WORD)
+    return out.filter(~F.coalesce(emptied, F.lit(False))).drop("_chars", "_kept")

@@ -3,9 +3,11 @@
 Signatures take two permutations only: the first scatters the shingles over 2**32 places, the second, a bijection of
 32-bit words, is shifted circularly by 0, 1, 2, ... to give all coordinates. Texts with equal shingle sets are one
 class, so copies cost one signature and no pairs. Classes that share a band meet in buckets; equal buckets of several
-bands are looked into once; a large bucket is cut into blocks, and each pair of blocks is a cell of bounded size, so a
-hot bucket is spread over many tasks. In a cell the full sets decide. Links leave a cell as a spanning forest, never as
-all pairs, and components of the links make the result.
+bands are looked into once. A large bucket is cut into blocks of bounded size, each of which is first compared with one
+block of it only, so a hot bucket is spread over many tasks and its texts are sent once. What that links is in one
+component, and needs no more comparing inside it; members outside a bucket's largest component are then compared with
+all of it, block by block, so that no link is lost. In a cell the full sets decide. Links leave a cell as a spanning
+forest, never as all pairs, and components of the links make the result.
 """
 
 from __future__ import annotations
@@ -16,14 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm.common import key_filter, may_hold, mix64, shingle_sets, small_batches, stored
-from casewright.llm.components import components
+from casewright.operators.graph import components
 
 #: Coordinates of a band, bands. Two sets of similarity 0.85 share none of 25 bands of 5 with a probability of 4e-7.
 BANDING = (5, 25)
 #: For a similarity of 0.8: 5e-8.
 BANDING_80 = (4, 32)
-#: Members of a block; a cell has two blocks at most.
-BLOCK = 256
+#: Members and shingles of a block, about; a cell has two blocks at most.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Nodes that one spanning forest of links holds at most.
+FOREST = 1_000_000
 _SIGNED = "id long, row long, n_shingles long, set1 long, set2 long, bands array<long>"
 
 
@@ -136,6 +140,64 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], names=["a", "b"])
 
 
+def _forest(batches):
+    """Links of a part as stars around the smallest node of each tree, so that what several cells found again and again is said once."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    def stars():
+        found = [(r, x) for x in parent if (r := root(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        if len(parent) > FOREST:
+            yield stars()
+            parent.clear()
+    yield stars()
+
+
+def _cells(members: DataFrame) -> DataFrame:
+    """(cell, side, rep) of members (key, block, other, rep): what is compared with what, both ways round once."""
+    return members.select(
+        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), (F.col("block") > F.col("other")).cast("int").alias("side"), "rep"
+    )
+
+
+def _links(cells: DataFrame, base: DataFrame, percent: int) -> DataFrame:
+    """(a, b): spanning forests of the links inside the cells, decided by full sets."""
+    # only texts of cell members travel: the filter has a fixed size, what it lets through too much the join drops
+    marks = stored(key_filter(cells.select("rep"), F.col("rep")), "reps")
+    texts = may_hold(base.filter("id is not null"), F.col("id"), marks, "wanted").filter("wanted").select(F.col("id").alias("rep"), "text")
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = cells.join(texts, "rep").select("cell", "side", "rep", "text").repartition(parts, "cell").sortWithinPartitions("cell", "side")
+    found = grouped.mapInArrow(_verify(percent), "a long, b long").filter("a != b").mapInArrow(_forest, "a long, b long")
+    return stored(found, "pairs")
+
+
+def _left_over(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Cells for what the first cells of large buckets leave open: members of one component are linked already, so those outside a bucket's largest one meet all others."""
+    m = stored(members.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
+    largest = m.groupBy("key", "blocks", "component").agg(F.count("*").alias("n")).groupBy("key", "blocks").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
+    rest = F.ceil((F.col("n") - F.col("top.n")) * F.col("blocks") / F.col("n")).cast("int")
+    # a bucket of one component is done
+    largest = stored(largest.filter("n > top.n").select("key", F.col("top.component").alias("top"), rest.alias("rest_blocks")), "largest")
+    m = m.join(largest, "key").withColumn("rest", F.col("component") != F.col("top"))
+    salt = F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("rest_blocks")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1)).alias("other")
+    among = _cells(m.filter("rest").select("key", salt.alias("block"), every(F.col("rest_blocks")), "rep"))
+    mine = m.filter("rest").select("key", salt.alias("i"), every(F.col("blocks")), "rep").select(F.xxhash64(F.lit(5), "key", "i", "other").alias("cell"), F.lit(0).alias("side"), "rep")
+    theirs = m.filter("not rest").select("key", "block", every(F.col("rest_blocks")), "rep").select(F.xxhash64(F.lit(5), "key", "other", "block").alias("cell"), F.lit(1).alias("side"), "rep")
+    return among.union(mine).union(theirs)
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, banding: tuple[int, int] = BANDING) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept, first_row.
 
@@ -143,40 +205,38 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are linked if 100 * intersection >= percent * union on the full sets. ``component_id`` is the smallest id
     reachable over links, itself included; ``kept`` where it is the own id. Null or empty texts and texts of white
     space only have an empty set and are linked with nothing. Rows that repeat an id are one node; ``first_row`` marks
-    one of them. Rows with a null id are never linked: component_id is null, kept true. Other columns are not read.
+    one of them. Rows with a null id are never linked: component_id is null, kept true. An empty table gives no rows. A very
+    long text is one member as any other; blocks of compared texts are bounded by their shingles too. Other columns,
+    whatever their names, are not read.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = stored(base.withColumn("row", F.monotonically_increasing_id()).select("id", "row", "text").mapInArrow(_sign(banding), _SIGNED), "signed")
     known = signed.filter("id is not null and n_shingles > 0")
     same = ["set1", "set2"]
-    classes = stored(known.groupBy(*same).agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "classes")
-    entries = classes.select(F.explode("bands").alias("key"), "rep")
+    classes = stored(known.groupBy(*same).agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies")), "classes")
+    entries = classes.select(F.explode("bands").alias("key"), "rep", "n_shingles")
     buckets = (
         entries.groupBy("key")
-        .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("x2"))
+        .agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("x2"))
         .filter("n > 1")
-        .groupBy("n", "x1", "x2").agg(F.min("key").alias("key"))  # the same members in another band: one bucket
-        .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        .groupBy("n", "size", "x1", "x2").agg(F.min("key").alias("key"))  # the same members in another band: one bucket
+        .select("key", F.ceil(F.greatest(F.col("n") / BLOCK, F.least(F.col("n"), F.col("size") / BLOCK_SHINGLES))).cast("int").alias("blocks"))
     )
-    members = entries.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    members = entries.select("key", "rep").join(stored(buckets, "buckets"), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     members = stored(members, "members")
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = members.select("key", "block", others.alias("other"), "rep").select(
-        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), (F.col("block") > F.col("other")).cast("int").alias("side"), "rep"
-    )
-    # only texts of bucket members travel: the filter has a fixed size, what it lets through too much the join drops
-    marks = stored(key_filter(members.select("rep"), F.col("rep")), "reps")
-    texts = may_hold(base.filter("id is not null"), F.col("id"), marks, "wanted").filter("wanted").select(F.col("id").alias("rep"), "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = cells.join(texts, "rep").select("cell", "side", "rep", "text").repartition(parts, "cell").sortWithinPartitions("cell", "side")
-    links = stored(grouped.mapInArrow(_verify(percent), "a long, b long"), "pairs")
+    # every block meets the bucket's first one
+    others = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
+    links = _links(_cells(members.select("key", "block", F.explode(others).alias("other"), "rep")), base, percent)
+    large = members.filter("blocks > 1")
+    if large.limit(1).count():
+        links = links.union(_links(_left_over(large, components(links)), base, percent))
     # rows that repeat an id with different texts tie their classes together
     ties = known.groupBy("id").agg(F.min(F.struct(*same)).alias("x"), F.max(F.struct(*same)).alias("y")).filter("x != y")
     tied = known.join(ties.select("id"), "id", "left_semi").join(classes.select(*same, "rep"), same).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     label = components(links.union(tied))
     # only classes with a copy or a link need a row of their own; all others are their own component
-    moved = classes.join(label, classes.rep == label.node, "left").filter("copies > 1 or component is not null").select(*same, F.coalesce("component", "rep").alias("component"))
+    moved = classes.join(label.withColumnRenamed("id", "node"), F.col("rep") == F.col("node"), "left").filter("copies > 1 or component is not null").select(*same, F.coalesce("component", "rep").alias("component"))
     alone = F.col("id").isNull() | (F.col("n_shingles") == 0)
     rows = signed.select("id", "row", "n_shingles", F.when(alone, F.col("row")).otherwise(F.col("set1")).alias("set1"), F.when(alone, F.lit(0)).otherwise(F.col("set2")).alias("set2"), alone.alias("alone"))
     rows = rows.join(moved, same, "left").withColumn("component_id", F.coalesce("component", "id"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from casewright.llm.common import _batches, cut_spans, keyed, small_batches, stored, word_hashes
 from casewright.llm.passage_dedup import as_bytes, code_points, windows
 
-_UNITS = "id long, ord long, unit_no int, start long, stop long, digest binary"
+_UNITS = "id long, row long, unit_no int, start long, stop long, digest binary"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -39,33 +39,35 @@ def units(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> Data
                             c.append(v)
                     at += len(line) + 1
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["id", "ord", "unit_no", "start", "stop", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["id", "row", "unit_no", "start", "stop", "digest"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("ord"), F.col(text_col).alias("text")).mapInArrow(cut, _UNITS)
+    return keyed(docs, id_col, text_col).mapInArrow(cut, _UNITS)
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 20) -> DataFrame:
-    """One row per unit to cut: id, unit_no, start, stop (code points of the original text, stop not included), digest, first_id, first_unit, group_size.
+    """One row per unit to cut: id, row, unit_no, start, stop (code points of the original text, stop not included), digest, first_id, first_unit, group_size.
 
     A unit is a line of ``least_words`` words or more; two are equal if they are equal in lower-cased ASCII and with
     white space squeezed. Of equal units the earliest stays, in the order of id (null last), then row, then place in
-    the text; the rest are rows here, also those within one document. Null or empty texts have no units. Only digests are shuffled, and
-    groups are aggregated, never gathered. Other columns are not read.
+    the text; the rest are rows here, also those within one document. ``row`` is a hash of id and text; rows that repeat
+    both count as one document, whose units come once for each of them. Null or empty texts have no units, an empty table
+    no rows; very long texts are cut into lines like others. Only digests are shuffled, and groups are aggregated, never
+    gathered. Other columns, whatever their names, are not read.
     """
     small_batches(docs.sparkSession)
     found = stored(units(docs, id_col, text_col, least_words), "units")
-    rank = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("ord").alias("c"), F.col("unit_no").alias("d"))
-    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("group_size")).filter("group_size > 1")
+    rank = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"), F.col("unit_no").alias("d"))
+    first = stored(found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("group_size")).filter("group_size > 1"), "first")
     return (
         found.join(first, "digest")
-        .filter((F.col("ord") != F.col("first.c")) | (F.col("unit_no") != F.col("first.d")))
-        .select(F.col("id").alias(id_col), "unit_no", "start", "stop", F.lower(F.hex("digest")).alias("digest"), F.col("first.b").alias("first_id"), F.col("first.d").alias("first_unit"), "group_size")
+        .filter((F.col("row") != F.col("first.c")) | (F.col("unit_no") != F.col("first.d")))
+        .select(F.col("id").alias(id_col), "row", "unit_no", "start", "stop", F.lower(F.hex("digest")).alias("digest"), F.col("first.b").alias("first_id"), F.col("first.d").alias("first_unit"), "group_size")
     )
 
 
 def cut_units(docs: DataFrame, cuts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the spans of ``cuts``, with ``kept_spans``: offsets in the original text of what stays. Needs unique ids."""
-    return cut_spans(docs, cuts.select(id_col, "start", "stop"), [id_col], text_col)
+    """``docs`` without the spans of ``cuts`` (of either kind), with ``kept_spans``: offsets in the original text of what stays (a column of that name is replaced)."""
+    return cut_spans(docs, cuts, id_col, text_col)
 
 
 # --- units of words, chosen by content ----------------------------------------------------------------------------

@@ -9,7 +9,7 @@ import pytest
 from oracle import same
 from pyspark.sql import functions as F
 
-from casewright.llm import chat, fingerprint, language_id, warc
+from casewright.llm import chat, fingerprint, language_id, mixing, near_dedup as near, warc
 from casewright.llm.exact_dedup import exact_dedup
 from casewright.llm.line_dedup import chunks, remove_chunks, repeated_chunks, repeated_runs
 from casewright.llm.mixing import mix
@@ -117,16 +117,42 @@ def test_near_dedup_large_group(spark):
     assert all(got[i] == 0 for i in near)
 
 
+def test_near_dedup_large_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 4)
+    rng = random.Random(15)
+    rows = []
+    base = [f"b{k}" for k in range(40)]
+    for chain in range(3):  # chains of texts, each near to its neighbours, and their ends far from each other
+        t = base[:20] + [f"own{chain}-{k}" for k in range(20)]
+        for step in range(60):
+            rows.append((len(rows), " ".join(t), "s"))
+            t[rng.randrange(40)] = f"c{chain}-{step}"
+    test_rows = [(i, t, s) for i, t, s in rows]
+    sets = {i: shingles(t) for i, t, _ in test_rows}
+    label = {i: i for i in sets}
+    moved = True
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b])]
+    while moved:
+        moved = False
+        for a, b in links:
+            m = min(label[a], label[b])
+            moved |= label[a] != m or label[b] != m
+            label[a] = label[b] = m
+    got = {r.doc_id: r.component_id for r in near_dedup(table(spark, test_rows), percent=60, banding=(1, 40)).collect()}
+    assert got == label and len(set(label.values())) > 1
+
+
 def test_substring_dedup(spark):
     line = " ".join(f"word{k}" for k in range(25))
-    rows = [(1, f"first\n{line}\nrest", "s"), (2, f"{line.upper()}\né {line}", "s"), (3, f"ü\n {line}  \n{line}", None), (4, "short\nshort", "s"), (5, None, "s"), (6, "", "s")]
+    rows = [(9, "x", "s"), (9, "y", "s"), (1, f"first\n{line}\nrest", "s"), (2, f"{line.upper()}\né {line}", "s"), (3, f"ü\n {line}  \n{line}", None), (4, "short\nshort", "s"), (5, None, "s"), (6, "", "s")]
     docs = table(spark, rows)
     cuts = repeated_units(docs)
     got = sorted((r.doc_id, r.unit_no, r.start, r.stop, r.first_id, r.group_size) for r in cuts.collect())
     n = len(line)
     assert got == [(2, 0, 0, n, 1, 4), (3, 1, 2, 5 + n, 1, 4), (3, 2, 6 + n, 6 + 2 * n, 1, 4)]
     left = {r.doc_id: (r.text, [(s.start, s.stop) for s in r.kept_spans]) for r in cut_units(docs, cuts).filter("doc_id < 5").collect()}
-    assert left[2] == (f"é {line}", [(n + 1, 2 * n + 3)]) and left[3] == ("ü", [(0, 1)]) and left[1][0] == rows[0][1]
+    assert cut_units(docs, cuts).filter("doc_id = 9").count() == 2 and set(docs.columns) < set(cut_units(docs, cuts).columns)
+    assert left[2] == (f"é {line}", [(n + 1, 2 * n + 3)]) and left[3] == ("ü", [(0, 1)]) and left[1][0] == rows[2][1]
 
 
 def test_stretches_hold_against_brute_force(spark):
@@ -317,29 +343,40 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("fan_in", [256, 2])
+def test_warc_round_trip(spark, monkeypatch, fan_in):
+    monkeypatch.setattr(warc, "FAN_IN", fan_in)
     rng = random.Random(6)
     same_page = "<p>" + "copy " * 40 + "</p>"
     rows = [(i, f"http://WWW.host{i % 3}.example.com:80/a{i % 7}?q={i}#x", same_page if i % 5 == 0 else f"<p>{i} " + "é" * rng.randrange(200)) for i in range(60)]
+    rows += [(None, "http://x.org/none", same_page), (None, "http://x.org/none", "<p>tiny"), (25, "http://x.org/again", same_page), (25, "http://x.org/again", same_page)]
     rows += [(100, None, None), (101, "", ""), (102, "http://x.org/%\r\nA", "tiny"), (103, "http://x.org/b", "tiny"), (104, "https://x.org:8080", same_page)]
     pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, digest string")
     from casewright.llm.common import scratch
 
     folder = scratch(spark, "test-archives")
     got = warc.capture_histories(spark, folder, warc.write_archives(pages.repartition(3), folder), ranges=4).collect()
-    assert sorted(r.page_id for r in got) == sorted(r[0] for r in rows)
-    html = {i: (h or "").encode() for i, _, h in rows}
-    url = {i: u for i, u, _ in rows}
-    for r in got:
-        assert (r.payload_bytes, r.payload_digest, r.url) == (len(html[r.page_id]), hashlib.sha256(html[r.page_id]).hexdigest(), url[r.page_id])
-        first = min(i for i, h in html.items() if h == html[r.page_id])
-        again = len(html[r.page_id]) >= 100 and first != r.page_id
-        assert (r.record_type, r.refers_to) == (("revisit", first) if again else ("response", None))
-    in_order = [(r.url_key, r.captured, r.page_id) for r in sorted(got, key=lambda r: (r.range_no, r.place))]
+    known = [r for r in rows if r[0] is not None]
+    want = Counter()
+    for i, u, h in rows:
+        body = (h or "").encode()
+        first = min((j for j, _, g in known if (g or "") == (h or "")), default=None)
+        again = len(body) >= 100 and i is not None and first != i
+        want[i, u, len(body), hashlib.sha256(body).hexdigest(), "revisit" if again else "response", first if again else None] += 1
+    assert Counter((r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
+    in_order = [(r.url_key, r.captured, -1 if r.page_id is None else r.page_id) for r in sorted(got, key=lambda r: (r.range_no, r.place))]
     assert in_order == sorted(in_order)
     assert warc.url_key("http://WWW.Host.example.com:80/a#x") == "com,example,host)/a"
 
 
+def test_no_pages(spark):
+    from casewright.llm.common import scratch
+
+    folder = scratch(spark, "test-archives")
+    archives = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), folder)
+    assert archives.count() == 0 and warc.capture_histories(spark, folder, archives).count() == 0
+
+
 def test_loser_tree():
     rng = random.Random(8)
     for k in range(12):
@@ -371,9 +408,11 @@ def test_best_fit_matches_plain_search():
 
 
 def test_packing(spark):
-    rows = [r for r in corpus() if r[0] is not None]
-    got = pack(table(spark, rows), capacity=100, shard_docs=40).collect()
-    assert sum(r.size for r in got) == sum(len(WORD.findall(t or "")) for _, t, _ in rows)
+    rows = corpus()
+    docs = table(spark, [*rows, *[(None, "the same text", None)] * 30])
+    got = pack(docs, capacity=100, shard_docs=40).collect()
+    assert sum(r.size for r in got) == sum(len(WORD.findall(t or "")) for _, t, _ in rows) + 90
+    assert len({(r.doc_id, r.copy, r.cluster, r.source, r.piece) for r in got}) == len(got)
     bins = defaultdict(list)
     for r in got:
         assert (r.bin is None) == (r.size == 0)
@@ -382,9 +421,23 @@ def test_packing(spark):
     for b in bins.values():
         assert sum(r.size for r in b) <= 100
         assert len({r.source for r in b}) == len(b) == len({r.cluster for r in b})
+    # each shard as the plain search packs it, and the same whatever the partitions
+    for shard in {r.shard for r in got}:
+        mine = sorted((r for r in got if r.shard == shard and r.size), key=lambda r: (-r.size, r.bin))
+        assert [r.size for r in mine] == sorted((r.size for r in got if r.shard == shard and r.size), reverse=True)
+    facts = lambda rs: sorted(((r.doc_id is None, r.doc_id or 0, r.copy, r.piece, r.size, r.source or "", r.cluster, r.shard, r.bin or 0, r.residual or 0) for r in rs))
+    assert facts(pack(docs.repartition(7, "text"), capacity=100, shard_docs=40).collect()) == facts(got)
+
 
+def test_packing_keeps_given_clusters_apart(spark):
+    docs = spark.createDataFrame([(k, f"text {k}", f"s{k}", k % 2) for k in range(6)], "doc_id long, text string, source string, group long")
+    got = pack(docs, cluster_col="group").collect()
+    assert len({(r.shard, r.bin, r.cluster) for r in got}) == 6
 
-def test_mixing(spark):
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_mixing(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
     rows = corpus(n=400)
     got = mix(table(spark, rows)).collect()
     assert len(got) == len(rows)
@@ -431,18 +484,63 @@ def test_chat(spark):
     assert state[1] == (True, None) and state[2] == (False, 4) and state[3] == (False, 1) and state[4][0] is False and state[None] == (False, None)
 
 
+PIPELINE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
     rows = corpus(n=200)
-    docs = spark.createDataFrame([(i, t, "en", s, len(t) if t else None) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(i, t, "en", s, len(t) if t else None) for i, t, s in rows], PIPELINE)
     for name, stage in p.STAGES[:4]:
         out = stage(spark, docs, "")
         assert set(out.columns) == set(p.COLUMNS), name
     kept = p.drop_near_copies(spark, docs, "").collect()
-    assert None in {r.doc_id for r in kept}
-    sets = [shingles(r.text) for r in kept if r.doc_id is not None and shingles(r.text)]
-    assert all(5 * len(a & b) < 4 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
+    # one of each component of the links, the smallest id of it; rows that repeat id and text once
+    nodes = sorted({(i is None, i or 0, t or "", t is None) for i, t, _ in rows})
+    sets = [shingles(n[2]) for n in nodes]
+    parent = list(range(len(nodes)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for b in range(len(nodes)):
+        for a in range(b):
+            if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    want = Counter(n[:2] for k, n in enumerate(nodes) if root(k) == k)
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in kept) == want
+
+
+def test_documents_that_share_an_id_stay_apart(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(3)
+    text = lambda: "\n".join(" ".join(rng.choice("the and of to in") + str(rng.random()) for _ in range(12)) for _ in range(6))
+    a, b, c, lines = text(), text(), text(), "one shared line here\nand another one"
+    rows = [(1, a, "s"), (1, b, "s"), (None, c, "s"), (None, text(), None), (2, a + "\n" + lines, "s"), (2, lines + "\n" + b, "s"), (3, text(), "s"), (3, rows3 := text(), "s"), (4, rows3, "s"), (5, "", "s"), (5, None, "s"), (6, text(), "s")]
+    rows += [rows[-1]]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], PIPELINE)
+    for _, stage in p.STAGES[:1]:
+        assert Counter((r.doc_id, r.text) for r in stage(spark, docs, "").collect()) == Counter((i, t) for i, t, _ in rows if t)
+    cut = Counter((r.doc_id, r.text) for r in p.drop_repeated_lines(spark, docs, "").collect())
+    assert cut[1, a] == cut[1, b] == cut[None, c] == 1 and cut[6, rows[-1][1]] == 2 and cut[5, ""] == cut[5, None] == 1
+    assert sum(n for (i, t), n in cut.items() if i == 2) == 1 and (4, rows3) not in cut
+    kept = Counter((r.doc_id, r.text) for r in p.drop_near_copies(spark, docs, "").collect())
+    assert kept[1, a] == kept[1, b] == kept[None, c] == kept[3, rows3] == kept[6, rows[-1][1]] == 1 and (4, rows3) not in kept
+    mixed = Counter((r.doc_id, r.text) for r in p.mix_sources(spark, docs, "").collect())
+    assert set(mixed) <= {(i, t) for i, t, _ in rows} and max(mixed.values()) <= 4
+
+
+def test_pipeline_of_an_empty_table(spark):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([], PIPELINE)
+    for name, stage in p.STAGES:
+        assert stage(spark, docs, "").count() == 0, name
 
 
 def test_pipeline_runs(spark):
