@@ -178,10 +178,14 @@ def _links(cells: DataFrame, base: DataFrame, percent: int) -> DataFrame:
     texts = may_hold(base.filter("id is not null"), F.col("id"), marks, "wanted").filter("wanted").select(F.col("id").alias("rep"), "text")
     parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = cells.join(texts, "rep").select("cell", "side", "rep", "text").repartition(parts, "cell").sortWithinPartitions("cell", "side")
-    found = grouped.mapInArrow(_verify(percent), "a long, b long").filter("a != b").mapInArrow(_forest, "a long, b long")
+    found = grouped.mapInArrow(_verify(percent), "a long, b long").filter("a != b")
     return stored(found, "pairs")
 
 
+def _thinned(links: DataFrame) -> DataFrame:
+    return links.filter("a != b").mapInArrow(_forest, "a long, b long").distinct()
+
+
 def _left_over(members: DataFrame, label: DataFrame) -> DataFrame:
     """Cells for what the first cells of large buckets leave open: members of one component are linked already, so those outside a bucket's largest one meet all others."""
     m = stored(members.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
@@ -230,11 +234,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = _links(_cells(members.select("key", "block", F.explode(others).alias("other"), "rep")), base, percent)
     large = members.filter("blocks > 1")
     if large.limit(1).count():
-        links = links.union(_links(_left_over(large, components(links)), base, percent))
+        links = links.union(_links(_left_over(large, components(_thinned(links))), base, percent))
     # rows that repeat an id with different texts tie their classes together
     ties = known.groupBy("id").agg(F.min(F.struct(*same)).alias("x"), F.max(F.struct(*same)).alias("y")).filter("x != y")
     tied = known.join(ties.select("id"), "id", "left_semi").join(classes.select(*same, "rep"), same).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    label = components(links.union(tied))
+    label = components(_thinned(links.union(tied)))
     # only classes with a copy or a link need a row of their own; all others are their own component
     moved = classes.join(label.withColumnRenamed("id", "node"), F.col("rep") == F.col("node"), "left").filter("copies > 1 or component is not null").select(*same, F.coalesce("component", "rep").alias("component"))
     alone = F.col("id").isNull() | (F.col("n_shingles") == 0)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.common import _batches, cut_spans, keyed, small_batches, stored, word_hashes
+from casewright.llm.common import _batches, cut_spans, keyed, mix64, small_batches, stored, word_hashes
 from casewright.llm.passage_dedup import as_bytes, code_points, windows
 
 _UNITS = "id long, row long, unit_no int, start long, stop long, digest binary"
@@ -75,20 +75,53 @@ def cut_units(docs: DataFrame, cuts: DataFrame, id_col: str = "doc_id", text_col
 UNIT = 25
 #: Words that are looked at beyond either end of a run of repeated units.
 REACH = 50
-_CHOSEN = "id long, row long, pos int, digest long"
+_CHOSEN = "id long, row long, a int, b int, start int, stop int, digest long"
 _EDGES = "row long, place long, words array<int>, edges array<int>"
 
 
-def _chosen(unit: int):
+def _chosen(unit: int, reach: int):
+    """Units (digest, first word a), each once a text, and, without a digest, the stretches of a text that stand earlier in itself."""
+
+    def own_repeats(words, doc, begin, at, first_at):
+        """(a, b) of words that units cover which stand ``unit`` words or more earlier in the text, grown at both ends by what is the same there, not into what they repeat."""
+        late = np.flatnonzero(at >= first_at + unit)
+        if not len(late):
+            return []
+        r, shift = at[late], (at - first_at)[late]
+        edge = np.flatnonzero((np.diff(r) > unit) | np.diff(doc[r]).astype(bool)) + 1
+        out = []
+        for lo, hi in zip([0, *edge], [*edge, len(r)], strict=True):
+            a, b, back, on = int(r[lo]), int(r[hi - 1]) + unit, int(shift[lo]), int(shift[hi - 1])
+            size, low, high = b - a, int(begin[a]), int(np.searchsorted(doc, doc[a], side="right"))
+            n = min(reach, max(0, back - size), a - back - low)
+            same = words[a - n : a] == words[a - n - back : a - back]
+            a -= n if same.all() else int(same[::-1].argmin())
+            n = min(reach, max(0, on - (b - a)), high - b)
+            same = words[b : b + n] == words[b - on : b + n - on]
+            b += n if same.all() else int(same.argmin())
+            out.append((a, b))
+        return out
+
     def choose(batches):
         for batch in batches:
             ids, rows, texts = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), as_bytes(batch.column(2))
             for lo, hi in _batches(texts):
-                if (made := windows(texts[lo:hi], 2 * unit)) is not None:
-                    _, doc, begin, parts, _, at = made
-                    at = np.unique(at)
-                    columns = (rows[lo:hi][doc[at]], (at - begin[at]).astype(np.int32), parts[at].view(np.int64))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[at] + lo)), *map(pa.array, columns)], names=["id", "row", "pos", "digest"])
+                if (made := windows(texts[lo:hi], 2 * unit)) is None:
+                    continue
+                words, doc, begin, parts, _, at = made
+                at = np.unique(at)
+                _, first, kind = np.unique(mix64(parts[at] + doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True)
+                spans = own_repeats(words, doc, begin, at, at[first][kind])
+                start, stop = code_points(texts[lo:hi]) if spans else (None, None)
+                at = at[np.sort(first)]
+                none = [None] * len(at)
+                a = np.concatenate([at, np.array([x for x, _ in spans], dtype=at.dtype)])
+                columns = (
+                    [*(at - begin[at]), *(x - begin[x] for x, _ in spans)], [*none, *(y - begin[x] for x, y in spans)], [*none, *(start[x] for x, _ in spans)],
+                    [*none, *(stop[y - 1] for _, y in spans)], [*parts[at].view(np.int64), *([None] * len(spans))],
+                )
+                types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[a] + lo)), pa.array(rows[lo:hi][doc[a]]), *map(pa.array, columns, types)], names=["id", "row", "a", "b", "start", "stop", "digest"])
 
     return choose
 
@@ -131,8 +164,8 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one is cut, with those that follow it in the same order after the same earlier place, and with the words at either
     end that stand there too (up to ``reach``). So every run of ``2 * unit`` words that stands earlier is hit,
     wherever in a line it starts, and nothing shorter than ``unit`` words is cut; a stretch can be put together from
-    several earlier places (``first_id`` is that of its first words). A repeat within a document does not reach into
-    the place that it repeats.
+    several earlier places (``first_id`` is that of its first words). A document's repeats of itself are found where it
+    is read, and do not reach into what they repeat, so a text of one sentence over and over sends that sentence only.
 
     ``row`` is a hash of id and text: rows that repeat both are one document, of which the stretches are given once.
     Null, empty and short texts have no units; an empty table has no rows. Very long texts are taken a few at a time,
@@ -140,11 +173,12 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     small_batches(docs.sparkSession)
     base = keyed(docs, id_col, text_col)
-    chosen = stored(base.mapInArrow(_chosen(unit), _CHOSEN), "chosen")
+    chosen = stored(base.mapInArrow(_chosen(unit, reach), _CHOSEN), "chosen")
+    units = chosen.filter("digest is not null").select("id", "row", F.col("a").alias("pos"), "digest")
     rank = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"), F.col("pos").alias("d"))
     # stored, so that both sides of the join are plain exchanges and a unit of very many documents can be split
-    first = stored(chosen.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"), "first")
-    again = chosen.join(first, "digest").filter((F.col("row") != F.col("first.c")) | (F.col("pos") >= F.col("first.d") + unit)).select(
+    first = stored(units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"), "first")
+    again = units.join(first, "digest").filter(F.col("row") != F.col("first.c")).select(
         "id", "row", "pos", F.col("first.b").alias("first_id"), F.col("first.c").alias("first_row"), (F.col("pos") - F.col("first.d")).alias("shift")
     )
     order = Window.partitionBy("row").orderBy("pos")
@@ -161,17 +195,15 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     seen = stored(seen.groupBy("row", "place").agg(F.first("words").alias("words"), F.first("edges").alias("edges")), "edges")
     there = seen.select(F.col("row").alias("first_row"), F.col("place").alias("first_place"), F.col("words").alias("there"))
     differs = F.array_position(F.zip_with("words", "there", lambda x, y: F.coalesce(x == y, F.lit(False))), False)
-    # in one document, what is between the run and the place that it repeats bounds both ends together
-    free = F.greatest(F.lit(0), F.col("shift") - (F.col("b") - F.col("a")))
-    left = F.least(free, F.col("a") - F.col("shift"))
-    most = F.when(F.col("row") != F.col("first_row"), reach).when(F.col("side") == 0, left).otherwise(free - left)
-    more = F.least(F.when(differs == 0, F.size("words")).otherwise(differs - 1), most).cast("int")
+    more = F.when(differs == 0, F.size("words")).otherwise(differs - 1).cast("int")
     held = ends.join(seen, ["row", "place"]).join(there, ["first_row", "first_place"]).withColumn("more", more)
     grown = held.groupBy("row", "run").agg(
         F.first("id").alias("id"), F.first("first_id").alias("first_id"),
         F.max(F.when(F.col("side") == 0, F.col("a") - F.col("more"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("b") + F.col("more"))).alias("b"),
         F.max(F.when(F.col("side") == 0, F.get("edges", "more"))).alias("start"), F.max(F.when(F.col("side") == 1, F.get("edges", "more"))).alias("stop"),
     )
+    within = chosen.filter("digest is null").select("row", F.lit(None).cast("long").alias("run"), "id", F.col("id").alias("first_id"), "a", "b", "start", "stop")
+    grown = grown.unionByName(within)
     order = Window.partitionBy("row").orderBy("a", "b")
     apart = F.coalesce(F.col("a") > F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     made = grown.withColumn("new", apart.cast("int")).withColumn("stretch", F.sum("new").over(order)).groupBy("row", "stretch").agg(
