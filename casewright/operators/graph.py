@@ -1,13 +1,14 @@
 """Graph operators on link tables (a, b, weight), a < b, one row a pair.
 
-Iterations are joins and aggregations of tables that are stored every few rounds. Brandes' betweenness, modularity
-communities and articulation points run in one task for each connected component, in compiled order of sorted ids.
+Iterations are joins and aggregations of tables that are stored every few rounds. Betweenness takes a task for a batch of
+sources of a connected component; modularity communities and articulation points one for each component.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import defaultdict
 from functools import reduce
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -45,7 +46,13 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _power(rounds: int, alpha: float | None):
+def _nodes(links: DataFrame, vertices: DataFrame | None) -> DataFrame:
+    """(id): the ends of the links, and the vertices that have none."""
+    ends = links.select(F.col("a").alias("id")).union(links.select("b"))
+    return (ends if vertices is None else ends.union(vertices.select("id"))).distinct()
+
+
+def _power(rounds: int, tolerance: float, alpha: float | None):
     """Scores of the nodes of a small graph: PageRank with ``alpha``, else the eigenvector of length 1."""
 
     def iterate(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -53,63 +60,91 @@ def _power(rounds: int, alpha: float | None):
         a, b = ends[: len(p)], ends[len(p) :]
         src, dst, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([p["weight"], p["weight"]])
         n = len(ids)
-        if alpha is not None:
-            w = w / np.bincount(src, w, n)[src]
         x = np.full(n, 1.0 / n)
+        if alpha is not None:
+            out = np.bincount(src, w, n)
+            w = w / np.where(out > 0, out, 1)[src]
         for _ in range(rounds):
-            x = np.bincount(dst, x[src] * w, n)
-            x = x / np.sqrt((x * x).sum()) if alpha is None else (1 - alpha) / n + alpha * x
+            last = x
+            if alpha is None:
+                x = last + np.bincount(dst, last[src] * w, n)  # shifted, so that it does not swing between the sides of a bipartite graph
+                x = x / np.sqrt((x * x).sum())
+            else:
+                x = (1 - alpha + alpha * last[out == 0].sum()) / n + alpha * np.bincount(dst, last[src] * w, n)
+            if np.abs(x - last).sum() < tolerance:
+                break
         return ids, x
 
     return iterate
 
 
-def _in_one_task(links: DataFrame, name: str, iterate) -> DataFrame:
-    w = F.col("weight").cast("double") if "weight" in links.columns else F.lit(1.0)
-
+def _in_one_task(links: DataFrame, nodes: DataFrame, name: str, iterate) -> DataFrame:
     def work(p: pd.DataFrame) -> pd.DataFrame:
         ids, x = iterate(p)
         return pd.DataFrame({"id": ids, name: x})
 
-    return links.select("a", "b", w.alias("weight")).groupBy().applyInPandas(work, f"id long, {name} double")
+    alone = nodes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("weight"))
+    return links.select("a", "b", F.col("weight").cast("double").alias("weight")).union(alone).groupBy().applyInPandas(work, f"id long, {name} double")
+
 
+def _moved(x: DataFrame, last: DataFrame) -> float:
+    """Sum of the changes of a score."""
+    return x.join(last.withColumnRenamed("x", "was"), "id").agg(F.sum(F.abs(F.col("x") - F.col("was")))).first()[0] or 0.0
 
-def pagerank(links: DataFrame, rounds: int = 20, alpha: float = 0.85) -> DataFrame:
-    """(id, pagerank): power iteration with weights; every end of a link has an out-weight, so nothing dangles."""
-    if links.count() <= LOCAL_LINKS:
-        return _in_one_task(links, "pagerank", _power(rounds, alpha))
+
+def _weighted(links: DataFrame) -> DataFrame:
+    return links.select("a", "b", (F.col("weight").cast("double") if "weight" in links.columns else F.lit(1.0)).alias("weight"))
+
+
+def pagerank(links: DataFrame, vertices: DataFrame | None = None, rounds: int = 100, alpha: float = 0.85, tolerance: float = 1e-10) -> DataFrame:
+    """(id, pagerank): weighted power iteration until the ranks move by less than ``tolerance`` together. The rank of nodes without links is dealt to all."""
+    links = stored(_weighted(links), "links")
+    nodes = stored(_nodes(links, vertices), "nodes")
+    if links.count() <= LOCAL_LINKS and nodes.count() <= LOCAL_LINKS:
+        return _in_one_task(links, nodes, "pagerank", _power(rounds, tolerance, alpha))
     e = both_ways(links)
-    out = e.groupBy("src").agg(F.sum("weight").alias("total"))
+    out = stored(e.groupBy("src").agg(F.sum("weight").alias("total")), "out")
     e = stored(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "shares")
-    n = out.count()
-    x = out.select(F.col("src").alias("id"), F.lit(1.0 / n).alias("x"))
+    n = nodes.count()
+    x = stored(nodes.join(out.select(F.col("src").alias("id"), F.lit(True).alias("linked")), "id", "left").select("id", F.col("linked").isNull().alias("alone"), F.lit(1.0 / n).alias("x")), "ranks")
     for k in range(1, rounds + 1):
-        x = e.join(x, e.src == x.id).groupBy(F.col("dst").alias("id")).agg((F.lit((1 - alpha) / n) + alpha * F.sum(F.col("x") * F.col("share"))).alias("x"))
-        if k % _EVERY == 0:
-            x = stored(x, "ranks")
-    return x.withColumnRenamed("x", "pagerank")
-
-
-def eigenvector(links: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, eigenvector): power iteration with weights, scaled to length 1 at the end."""
-    if links.count() <= LOCAL_LINKS:
-        return _in_one_task(links, "eigenvector", _power(rounds, None))
+        last = x
+        lost = F.broadcast(last.agg(F.coalesce(F.sum(F.when(F.col("alone"), F.col("x"))), F.lit(0.0)).alias("lost")))  # one row
+        came = e.join(last, e.src == last.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("share")).alias("came"))
+        x = last.select("id", "alone").join(came, "id", "left").join(lost).select("id", "alone", ((1 - alpha + alpha * F.col("lost")) / n + alpha * F.coalesce("came", F.lit(0.0))).alias("x"))
+        if k % _EVERY == 0 or k == rounds:
+            x, last = stored(x, "ranks"), last
+            if _moved(x.select("id", "x"), last.select("id", "x")) < tolerance:
+                break
+    return x.select("id", F.col("x").alias("pagerank"))
+
+
+def eigenvector(links: DataFrame, vertices: DataFrame | None = None, rounds: int = 1000, tolerance: float = 1e-10) -> DataFrame:
+    """(id, eigenvector): weighted power iteration of length 1, shifted by the identity, until it moves by less than ``tolerance``; 0 in the limit for nodes outside the component that dominates."""
+    links = stored(_weighted(links), "links")
+    nodes = stored(_nodes(links, vertices), "nodes")
+    if links.count() <= LOCAL_LINKS and nodes.count() <= LOCAL_LINKS:
+        return _in_one_task(links, nodes, "eigenvector", _power(rounds, tolerance, None))
     e = stored(both_ways(links), "links")
-    x = e.select(F.col("src").alias("id")).distinct().withColumn("x", F.lit(1.0))
+    x = nodes.withColumn("x", F.lit(1.0 / max(1, nodes.count())))
     for k in range(1, rounds + 1):
-        x = e.join(x, e.src == x.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("weight")).alias("x"))
+        came = e.join(x, e.src == x.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("weight")).alias("came"))
+        last, x = x, x.join(came, "id", "left").select("id", (F.col("x") + F.coalesce("came", F.lit(0.0))).alias("x"))
+        norm = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))  # one row
+        x = x.join(F.broadcast(norm)).select("id", (F.col("x") / F.col("norm")).alias("x"))
         if k % _EVERY == 0 or k == rounds:
             x = stored(x, "vector")
-            norm = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))  # one row
-            x = x.join(F.broadcast(norm)).select("id", (F.col("x") / F.col("norm")).alias("x"))
+            if _moved(x, last) < tolerance:
+                break
+        elif k % _EVERY == _EVERY - 1:
+            x = stored(x, "vector")
     return x.withColumnRenamed("x", "eigenvector")
 
 
-def by_component(links: DataFrame, work, schema: str, extra: list[str] = []) -> DataFrame:  # noqa: B006
+def by_component(links: DataFrame, work, schema: str) -> DataFrame:
     """``work`` on the links (a, b, weight) of each connected component."""
     label = components(links)
-    cols = ["a", "b", F.col("weight") if "weight" in links.columns else F.lit(1.0).alias("weight"), *extra]
-    grouped = links.select(*cols).join(label.withColumnRenamed("id", "a"), "a").groupBy("component")
+    grouped = _weighted(links).join(label.withColumnRenamed("id", "a"), "a").groupBy("component")
     return grouped.applyInPandas(lambda p: work(p), schema)
 
 
@@ -121,45 +156,58 @@ def _neighbours(p: pd.DataFrame) -> dict[int, list[int]]:
     return {v: sorted(near[v]) for v in sorted(near)}
 
 
+#: Sources of shortest paths that one task takes.
+SOURCES = 256
+
+
 def _betweenness(p: pd.DataFrame) -> pd.DataFrame:
-    near = _neighbours(p)
-    score = dict.fromkeys(near, 0.0)
-    for s in near:
-        dist, paths, before, order = {s: 0}, defaultdict(float, {s: 1.0}), defaultdict(list), []
-        queue = deque([s])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for w in near[v]:
-                if w not in dist:
-                    dist[w] = dist[v] + 1
-                    queue.append(w)
-                if dist[w] == dist[v] + 1:
-                    paths[w] += paths[v]
-                    before[w].append(v)
-        depend = dict.fromkeys(order, 0.0)
-        for w in reversed(order):
-            for v in before[w]:
-                depend[v] += paths[v] / paths[w] * (1 + depend[w])
-            if w != s:
-                score[w] += depend[w]
-    return pd.DataFrame({"id": list(score), "raw": list(score.values())})
-
-
-def betweenness(links: DataFrame) -> DataFrame:
-    """(id, betweenness): share of shortest paths through a node, links count 1, scaled by (n - 1)(n - 2) of all nodes."""
-    raw = by_component(links, _betweenness, "id long, raw double")
-    n = both_ways(links).select("src").distinct().count()
-    return raw.select("id", (F.col("raw") / float(max(1, (n - 1) * (n - 2)))).alias("betweenness"))
+    """Dependencies of the nodes on the sources of one batch: breadth-first levels as array operations, counts forward, shares backward."""
+    ids, ends = np.unique(np.concatenate([p["a"], p["b"]]), return_inverse=True)
+    src, dst = np.concatenate([ends[: len(p)], ends[len(p) :]]), np.concatenate([ends[len(p) :], ends[: len(p)]])
+    n, batch, batches = len(ids), int(p["batch"].iloc[0]), int(p["batches"].iloc[0])
+    score = np.zeros(n)
+    for s in range(batch, n, batches):
+        level, paths, steps = np.full(n, -1), np.zeros(n), []
+        level[s], paths[s], depth = 0, 1.0, 0
+        while True:
+            along = np.flatnonzero((level[src] == depth) & (level[dst] < 0))
+            if not len(along):
+                break
+            depth += 1
+            level[dst[along]] = depth
+            paths += np.bincount(dst[along], paths[src[along]], n)
+            steps.append(along)
+        share = np.zeros(n)
+        for along in reversed(steps):
+            v, w = src[along], dst[along]
+            share += np.bincount(v, paths[v] / paths[w] * (1 + share[w]), n)
+        share[s] = 0
+        score += share
+    return pd.DataFrame({"id": ids, "raw": score})
+
+
+def betweenness(links: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+    """(id, betweenness): share of shortest paths through a node, links count 1, scaled by (n - 1)(n - 2) of all nodes.
+
+    A component's sources are dealt to tasks in batches, each with the component's links; nodes without links have 0.
+    """
+    links = stored(links.select("a", "b"), "links")
+    nodes = stored(_nodes(links, vertices), "nodes")
+    label = components(links)
+    batches = label.groupBy("component").agg(F.ceil(F.count("*") / SOURCES).cast("int").alias("batches"))
+    dealt = links.join(label.withColumnRenamed("id", "a"), "a").join(batches, "component").withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)))
+    raw = dealt.groupBy("component", "batch").applyInPandas(lambda p: _betweenness(p), "id long, raw double").groupBy("id").agg(F.sum("raw").alias("raw"))
+    n = nodes.count()
+    return nodes.join(raw, "id", "left").select("id", (F.coalesce("raw", F.lit(0.0)) / float(max(1, (n - 1) * (n - 2)))).alias("betweenness"))
 
 
 def _articulation(p: pd.DataFrame) -> pd.DataFrame:
     near = _neighbours(p)
-    out, seen = [], {}
+    out, seen = [], set()
     for root in near:
         if root in seen:
             continue
-        low, depth, parent, children, cut = {}, {root: 0}, {root: None}, defaultdict(int), set()
+        low, depth, parent, children, cut = {}, {root: 0}, {root: None}, defaultdict(int), defaultdict(int)
         stack = [(root, iter(near[root]))]
         low[root] = 0
         while stack:
@@ -179,50 +227,63 @@ def _articulation(p: pd.DataFrame) -> pd.DataFrame:
                 if u is not None:
                     low[u] = min(low[u], low[v])
                     if u != root and low[v] >= depth[u]:
-                        cut.add(u)
+                        cut[u] += 1
         if children[root] > 1:
-            cut.add(root)
+            cut[root] = children[root] - 1
         seen.update(depth)
-        out += sorted(cut)
-    return pd.DataFrame({"id": pd.Series(out, dtype="int64")})
+        out += sorted(cut.items())
+    return pd.DataFrame({"id": pd.Series([v for v, _ in out], dtype="int64"), "impact": pd.Series([k for _, k in out], dtype="int64")})
 
 
 def articulation_points(links: DataFrame) -> DataFrame:
-    """(id) of nodes whose removal splits their component."""
-    return by_component(links, _articulation, "id long")
-
-
-def _communities(p: pd.DataFrame) -> pd.DataFrame:
-    """Greedy modularity: the pair of communities with the largest gain is merged, ties by smaller ids, while it gains."""
-    nodes = sorted({*map(int, p["a"]), *map(int, p["b"])})
-    total = float(p["weight"].sum())
-    share: dict[int, dict[int, float]] = {v: defaultdict(float) for v in nodes}
-    weight = dict.fromkeys(nodes, 0.0)
-    for a, b, w in zip(p["a"].astype(int), p["b"].astype(int), p["weight"], strict=True):
-        share[a][b] += w / total
-        share[b][a] += w / total
-        weight[a] += w / (2 * total)
-        weight[b] += w / (2 * total)
-    members = {v: [v] for v in nodes}
-    while True:
-        best = max(((share[a][b] - 2 * weight[a] * weight[b], -a, -b) for a in share for b in share[a] if a < b), default=(0.0, 0, 0))
-        if best[0] <= 1e-12:
-            break
-        a, b = -best[1], -best[2]
-        for c, w in share.pop(b).items():
-            del share[c][b]
-            if c != a:
-                share[a][c] += w
-                share[c][a] += w
-        weight[a] += weight.pop(b)
-        members[a] += members.pop(b)
-    rows = [(v, min(group)) for group in members.values() for v in group]
-    return pd.DataFrame(rows, columns=["id", "community"])
-
-
-def communities(links: DataFrame) -> DataFrame:
-    """(id, community): greedy modularity within each component; community is its smallest id."""
-    return by_component(links, _communities, "id long, community long")
+    """(id, impact) of nodes whose removal splits their component, and by how many components the count grows: the branches below a node that reach nothing above it."""
+    return by_component(links, _articulation, "id long, impact long")
+
+
+def _communities(total: float):
+    """Greedy modularity of one component in a graph of weight ``total``: the pair of communities with the largest gain is merged, ties by smaller ids, while it gains."""
+
+    def merge(p: pd.DataFrame) -> pd.DataFrame:
+        share: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
+        weight: dict[int, float] = defaultdict(float)
+        for a, b, w in zip(p["a"].astype(int), p["b"].astype(int), p["weight"], strict=True):
+            share[a][b] += w / total
+            share[b][a] += w / total
+            weight[a] += w / (2 * total)
+            weight[b] += w / (2 * total)
+        members, version = {v: [v] for v in share}, dict.fromkeys(share, 0)
+        entry = lambda a, b: (round(2 * weight[a] * weight[b] - share[a][b], 15), a, b, version[a], version[b])
+        heap = [entry(a, b) for a in share for b in share[a] if a < b]
+        heapify(heap)
+        while heap:
+            loss, a, b, va, vb = heappop(heap)
+            if version.get(a) != va or version.get(b) != vb:
+                continue  # one of the two has grown or is gone since
+            if loss >= -1e-12:
+                break
+            for c, w in share.pop(b).items():
+                del share[c][b]
+                if c != a:
+                    share[a][c] += w
+                    share[c][a] += w
+            weight[a] += weight.pop(b)
+            members[a] += members.pop(b)
+            del version[b]
+            version[a] += 1
+            for c in share[a]:
+                heappush(heap, entry(min(a, c), max(a, c)))
+        rows = [(v, min(group)) for group in members.values() for v in group]
+        return pd.DataFrame(rows, columns=["id", "community"])
+
+    return merge
+
+
+def communities(links: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+    """(id, community): greedy modularity of the whole graph; no merge across components gains, so each is a task of its own. community is its smallest id; nodes without links are their own."""
+    links = stored(_weighted(links), "links")
+    total = links.agg(F.sum("weight")).first()[0] or 1.0
+    found = by_component(links, _communities(float(total)), "id long, community long")
+    return _nodes(links, vertices).join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
 def modularity(links: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -239,15 +300,17 @@ def foreign_communities(links: DataFrame, assigned: DataFrame) -> DataFrame:
     return e.groupBy(F.col("src").alias("id")).agg(F.countDistinct(F.when(F.col("cs") != F.col("cd"), F.col("cd"))).alias("bridging"))
 
 
-def influence(links: DataFrame, prior: DataFrame, assigned: DataFrame) -> DataFrame:
+def influence(links: DataFrame, prior: DataFrame, assigned: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """(id, score, baseline, phi_<part> for each part, driver, place): weighted sum of six scaled parts, and its exact attribution.
 
     ``prior`` is (id, prior), ``assigned`` is (id, community). phi = weight * (part - mean part), so baseline + sum of phi = score.
     """
+    links = stored(_weighted(links), "links")
+    nodes = stored(_nodes(links, vertices), "nodes")
     degree = both_ways(links).groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("degree"))
-    tables = [betweenness(links), pagerank(links), eigenvector(links), foreign_communities(links, assigned)]
-    parts = reduce(lambda x, y: x.join(y, "id"), tables, degree).join(prior, "id", "left").withColumn("prior", F.coalesce(F.col("prior").cast("double"), F.lit(0.0)))
-    parts = stored(parts.withColumn("bridging", F.col("bridging").cast("double")), "parts")
+    tables = [betweenness(links, nodes), pagerank(links, nodes), eigenvector(links, nodes), foreign_communities(links, assigned), degree, prior.select("id", F.col("prior").cast("double").alias("prior"))]
+    parts = reduce(lambda x, y: x.join(y, "id", "left"), tables, nodes)
+    parts = stored(parts.select("id", *[F.coalesce(F.col(k).cast("double"), F.lit(0.0)).alias(k) for k in config.INFLUENCE_WEIGHTS]), "parts")
     w = config.INFLUENCE_WEIGHTS
     x = stored(min_max(parts, list(w)), "scaled")
     means = x.agg(*[F.avg(k).alias(f"mean_{k}") for k in w])  # one row
@@ -272,25 +335,39 @@ def neighbourhood(links: DataFrame, start: Column, hops: int) -> DataFrame:
 
 
 def simple_paths(links: DataFrame, source: int, target: int, cutoff: int, confidence: str | None = None) -> DataFrame:
-    """(path, hops, confidence): all paths without a repeated node of ``cutoff`` links at most, with the product of the links' confidences."""
+    """(path, hops, confidence): all paths without a repeated node of ``cutoff`` links at most, with the product of the links' confidences. Only steps that can still reach the target in time are taken."""
     c = F.col(confidence) if confidence else F.lit(1.0)
     e = links.select("a", "b", c.alias("c"))
     e = stored(e.toDF("src", "dst", "c").unionAll(e.select("b", "a", "c")), "links")
-    open_ = e.filter(F.col("src") == source).select(F.array("src", "dst").alias("path"), F.col("dst").alias("at"), F.col("c").alias("confidence"))
+    left = stored(neighbourhood(links, F.col("id") == target, cutoff - 1).select(F.col("id").alias("dst"), F.col("distance").alias("left")), "left")
+    e = stored(e.join(left, "dst"), "near")
+    open_ = e.filter((F.col("src") == source) & (F.col("left") <= cutoff - 1)).select(F.array("src", "dst").alias("path"), F.col("dst").alias("at"), F.col("c").alias("confidence"))
     done = open_.filter(F.col("at") == target)
-    for _ in range(cutoff - 1):
+    for k in range(2, cutoff + 1):
         front = open_.filter(F.col("at") != target)
-        open_ = e.join(front, e.src == front["at"]).filter(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"), (F.col("confidence") * F.col("c")).alias("confidence"))
-        open_ = stored(open_, "paths")
+        step = e.filter(F.col("left") <= cutoff - k).join(front, e.src == front["at"]).filter(~F.array_contains("path", F.col("dst")))
+        open_ = stored(step.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"), (F.col("confidence") * F.col("c")).alias("confidence")), "paths")
         done = done.unionByName(open_.filter(F.col("at") == target))
     return done.select("path", (F.size("path") - 1).alias("hops"), "confidence")
 
 
 def shortest_paths(links: DataFrame, source: int, target: int, depth: int) -> DataFrame:
-    """The paths of least length, if that is ``depth`` at most."""
-    p = simple_paths(links, source, target, depth)
-    least = p.agg(F.min("hops").alias("least"))  # one row
-    return p.join(F.broadcast(least), F.col("hops") == F.col("least")).drop("least")
+    """(path, hops): the paths of least length, if that is ``depth`` at most: a breadth-first frontier with the links into it, up to the level that holds the target, then back along those links."""
+    e = stored(both_ways(links).select("src", "dst").distinct(), "links")
+    known = e.select(F.col("src").alias("id")).filter(F.col("id") == source).distinct()
+    into: list[DataFrame] = []
+    front = known
+    while len(into) < depth:
+        step = stored(e.join(front.withColumnRenamed("id", "src"), "src").join(known.withColumnRenamed("id", "dst"), "dst", "left_anti"), "into")
+        into.append(step)
+        front = step.select(F.col("dst").alias("id")).distinct()
+        known = known.union(front)
+        if source == target or step.filter(F.col("dst") == target).limit(1).count() or not step.limit(1).count():
+            break
+    paths = into[-1].filter(F.col("dst") == target).select(F.array("src", "dst").alias("path"))
+    for step in reversed(into[:-1]):
+        paths = paths.join(step, F.element_at("path", 1) == F.col("dst")).select(F.concat(F.array("src"), "path").alias("path"))
+    return paths.select("path", (F.size("path") - 1).alias("hops"))
 
 
 def clustering(links: DataFrame) -> DataFrame:
@@ -324,23 +401,16 @@ def cycles(edges: DataFrame, least: float, longest: int = 5) -> DataFrame:
 
 
 def impact_of_removal(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, impact): by how many components the count grows if a node (id) goes. The links of its component are relabelled without it, all nodes in one table of (removed, node)."""
-    label = components(links)
-    own = nodes.join(label, "id").select(F.col("id").alias("gone"), "component")
-    parts = links.select("a", "b").join(label.withColumnRenamed("id", "a"), "a").join(own, "component").filter("a != gone and b != gone")
-    pair = lambda c: F.struct("gone", F.col(c).alias("node"))
-    rest = components(parts.select(pair("a").alias("a"), pair("b").alias("b")))
-    inside = label.join(own, "component").filter("id != gone").select("gone", F.col("id").alias("node"))
-    known = rest.select("id.gone", "id.node", F.col("component.node").alias("part"))
-    n = inside.join(known, ["gone", "node"], "left").groupBy(F.col("gone").alias("id")).agg(F.countDistinct(F.coalesce("part", "node")).alias("parts"))
-    return n.select("id", (F.col("parts") - 1).alias("impact"))
+    """(id, impact): by how many components the count grows if a node (id) goes; 0 for nodes that split nothing."""
+    return nodes.select("id").join(articulation_points(links), "id", "left").select("id", F.coalesce("impact", F.lit(0).cast("long")).alias("impact"))
 
 
-def bridge_scores(links: DataFrame, reach: DataFrame) -> DataFrame:
+def bridge_scores(links: DataFrame, reach: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """(id, score): nodes of degree 2 or more by betweenness, impact of removal and reach (id, reach) of the merged graph, each scaled."""
     degree = both_ways(links).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")).filter("degree >= 2")
-    impact = impact_of_removal(links, articulation_points(links))
-    x = degree.join(betweenness(links), "id").join(impact, "id", "left").join(reach, "id", "left").select("id", "degree", "betweenness", F.coalesce("impact", F.lit(0)).alias("impact"), F.coalesce("reach", F.lit(1)).alias("reach"))
+    links = stored(links, "links")
+    impact = articulation_points(links)
+    x = degree.join(betweenness(links, vertices), "id").join(impact, "id", "left").join(reach, "id", "left").select("id", "degree", "betweenness", F.coalesce("impact", F.lit(0)).alias("impact"), F.coalesce("reach", F.lit(1)).alias("reach"))
     x = stored(x, "bridges")
     most = x.agg(*[F.max(c).alias(f"max_{c}") for c in ("betweenness", "impact", "reach")])  # one row
     part = lambda c, less=0: F.when(F.col(f"max_{c}") > less, (F.col(c) - less) / (F.col(f"max_{c}") - less)).otherwise(0.0)
@@ -349,10 +419,11 @@ def bridge_scores(links: DataFrame, reach: DataFrame) -> DataFrame:
     return x.join(F.broadcast(most)).select("id", "degree", score.alias("score")).filter(F.col("score") >= config.BRIDGE_LEAST)
 
 
-def within_hops(links: DataFrame, hops: int) -> DataFrame:
-    """(s, v, d): every node within ``hops`` of every node, itself left out. As large as the neighbourhoods are; meant for case graphs."""
+def within_hops(links: DataFrame, hops: int, starts: DataFrame | None = None) -> DataFrame:
+    """(s, v, d): every node within ``hops`` of every node, or of the ids in ``starts``, itself left out. As large as those neighbourhoods are."""
     e = stored(both_ways(links).select("src", "dst"), "links")
-    known = front = e.select(F.col("src").alias("s"), F.col("src").alias("v")).distinct().withColumn("d", F.lit(0))
+    ids = (e.select(F.col("src").alias("id")) if starts is None else starts.select("id")).distinct()
+    known = front = ids.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"))
     for k in range(1, hops + 1):
         front = front.join(e, front["v"] == e["src"]).select("s", F.col("dst").alias("v")).distinct().join(known.select("s", "v"), ["s", "v"], "left_anti").withColumn("d", F.lit(k))
         front = stored(front, "frontier")

@@ -1,4 +1,4 @@
-"""Graph operators over whole tables (GR). The nation graph has every nation as a node and its three largest outflows."""
+"""Graph operators over whole tables (GR). Scores and clusters are over the pairs of entities, with entities that have none; paths and cycles over nations and their three largest outflows."""
 
 from __future__ import annotations
 
@@ -8,28 +8,28 @@ from pyspark.sql import functions as F
 from casewright.operators import aggregates as g
 from casewright.operators import graph as gr
 from casewright.operators import joins as j
+from casewright.operators.sequences import ranked
 from casewright.plans.joins import _INDIRECT
 from casewright.plans.registry import query
 from casewright.plans.standin import Tables
+from casewright.storage import stored
 
 _BOTH = "u as (select a as src, b as dst, weight from link union all select b, a, weight from link)"
 
 
-def _ranks(rounds: int) -> str:
-    out = [_BOTH, "o as (select src, sum(weight) as total from u group by 1)", "p0 as (select src as id, 1.0 / (select count(*) from o) as x from o)"]
-    for k in range(1, rounds + 1):
-        out.append(f"p{k} as materialized (select dst as id, .15 / (select count(*) from o) + .85 * sum(x * weight / total) as x from u join o using (src) join p{k - 1} on u.src = p{k - 1}.id group by 1)")
-    return ", ".join(out)
-
-
-def _vector(rounds: int) -> str:
-    out = ["v0 as (select distinct src as id, 1.0::double as x from u)"]
-    for k in range(1, rounds + 1):
-        out.append(f"v{k} as materialized (select dst as id, sum(x * weight) / 100 as x from u join v{k - 1} on u.src = v{k - 1}.id group by 1)")
-    return ", ".join(out)
+_WEB = _BOTH.replace("link", "web") + ", v as (select id from entity), n as (select count(*) as n from entity), o as (select src, sum(weight) as total from u group by 1)"
+#: Power iterations over entities, those without links too, until nothing moves any more.
+_RANKS = (
+    _WEB + ", arc as (select u.src, u.dst, weight / total as share from u join o using (src) union all select v.id, z.id, 1.0 / n.n from v cross join v z cross join n where v.id not in (select src from o)), "
+    "p as (select 0 as k, id, 1.0::double / n.n as x from v cross join n union all select p.k + 1, arc.dst, .15 / any_value(n.n) + .85 * sum(p.x * arc.share) from p join arc on p.id = arc.src cross join n where p.k < 120 group by p.k, arc.dst)"
+)
+_VECTOR = (
+    "sa as (select src, dst, weight from u union all select id, id, 1.0 from v), q as (select 0 as k, id, 1.0::double / n.n as x from v cross join n "
+    "union all select k + 1, id, y / sqrt(sum(y * y) over ()) from (select q.k, sa.dst as id, sum(q.x * sa.weight) as y from q join sa on q.id = sa.src where q.k < 1000 group by q.k, sa.dst))"
+)
 
 
-_LEVELS = 7
+_LEVELS = 9
 _SHORT = ", ".join(
     ["l0 as (select distinct src as s, src as v, 0 as d, 1.0::double as paths from u)", "k0 as (select s, v, d, paths from l0)"]
     + [
@@ -37,78 +37,81 @@ _SHORT = ", ".join(
         for k in range(1, _LEVELS + 1)
     ]
 )
-_BETWEEN = f"{_SHORT}, nn as (select count(distinct src) as n from u), bt as (select i.v as id, sum(i.paths * o.paths / t.paths) as raw from k{_LEVELS} i join k{_LEVELS} o on i.v = o.s join k{_LEVELS} t on t.s = i.s and t.v = o.v and t.d = i.d + o.d where i.v <> i.s and i.v <> o.v and i.s <> o.v group by 1), bw as (select distinct u.src as id, coalesce(raw, 0) / ((n - 1) * (n - 2)) as betweenness from u cross join nn left join bt on bt.id = u.src)"
+_BETWEEN = f"{_SHORT}, bt as (select i.v as id, sum(i.paths * o.paths / t.paths) as raw from k{_LEVELS} i join k{_LEVELS} o on i.v = o.s join k{_LEVELS} t on t.s = i.s and t.v = o.v and t.d = i.d + o.d where i.v <> i.s and i.v <> o.v and i.s <> o.v group by 1), bw as (select v.id, coalesce(raw, 0) / ((n - 1) * (n - 2)) as betweenness from v cross join n left join bt on bt.id = v.id)"
 
 
-@query("gr01_weighted_degree", f"with {_BOTH} select src as id, sum(weight) as degree from u group by 1")
-def _(t: Tables) -> DataFrame:
-    return gr.both_ways(t.link).groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("degree"))
+def _bridging(t: Tables) -> DataFrame:
+    return gr.foreign_communities(t.web, _nations(t))
 
 
-@query("gr02_pagerank", f"with {_ranks(20)} select id, x as pagerank from p20")
-def _(t: Tables) -> DataFrame:
-    return gr.pagerank(t.link)
+def _nations(t: Tables) -> DataFrame:
+    return t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("community"))
 
 
-@query("gr03_eigenvector", f"with {_BOTH}, {_vector(20)} select id, x / sqrt(sum(x * x) over ()) as eigenvector from v20")
+_BY_NATION = "w as (select u.*, a.c_nationkey as cs, b.c_nationkey as cd from u join customer a on u.src = a.c_custkey join customer b on u.dst = b.c_custkey)"
+
+
+@query("gr01_weighted_degree", f"with {_WEB} select v.id, coalesce(total, 0) as degree from v left join o on v.id = o.src")
 def _(t: Tables) -> DataFrame:
-    return gr.eigenvector(t.link)
+    degree = gr.both_ways(t.web).groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("degree"))
+    return t.entity.select("id").join(degree, "id", "left").select("id", F.coalesce("degree", F.lit(0.0)).alias("degree"))
 
 
-@query("gr04_betweenness", f"with {_BOTH}, {_BETWEEN} select id, betweenness from bw")
+@query("gr02_pagerank", f"with {_RANKS} select id, round(x, 7) as pagerank from p where k = 120")
 def _(t: Tables) -> DataFrame:
-    return gr.betweenness(t.link)
+    return gr.pagerank(t.web, t.entity).select("id", F.round("pagerank", 7).alias("pagerank"))
 
 
-@query("gr05_communities")
+@query("gr03_eigenvector", f"with {_WEB}, {_VECTOR} select id, round(x, 5) as eigenvector from q where k = 1000")
 def _(t: Tables) -> DataFrame:
-    return gr.communities(t.link)
+    return gr.eigenvector(t.web, t.entity).select("id", F.round("eigenvector", 5).alias("eigenvector"))
 
 
-def _regions(t: Tables) -> DataFrame:
-    return t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("community"))
+@query("gr04_betweenness", f"with {_WEB}, {_BETWEEN} select id, round(betweenness, 9) as betweenness from bw")
+def _(t: Tables) -> DataFrame:
+    return gr.betweenness(t.web, t.entity).select("id", F.round("betweenness", 9).alias("betweenness"))
 
 
-_BY_REGION = "w as (select u.*, a.n_regionkey as cs, b.n_regionkey as cd from u join nation a on u.src = a.n_nationkey join nation b on u.dst = b.n_nationkey)"
+@query("gr05_communities")
+def _(t: Tables) -> DataFrame:
+    return gr.communities(t.web, t.entity)
 
 
-@query("gr06_modularity", f"with {_BOTH}, {_BY_REGION}, m as (select sum(weight) as m2 from w) select cs as community, sum(case when cs = cd then weight else 0 end) / m2 - pow(sum(weight) / m2, 2) as part from w cross join m group by cs, m2")
+@query("gr06_modularity", f"with {_WEB}, {_BY_NATION}, m as (select sum(weight) as m2 from w) select cs as community, sum(case when cs = cd then weight else 0 end) / m2 - pow(sum(weight) / m2, 2) as part from w cross join m group by cs, m2")
 def _(t: Tables) -> DataFrame:
-    return gr.modularity(t.link, _regions(t))
+    return gr.modularity(t.web, _nations(t))
 
 
+_PARTS = ("betweenness", "pagerank", "degree", "eigenvector", "prior", "bridging")
 _INFLUENCE = (
-    f"{_ranks(20)}, {_vector(20)}, {_BETWEEN}, {_BY_REGION}, "
-    "f as (select src as id, count(distinct cd) filter (cs <> cd)::double as bridging from w group by 1), pr as (select nation as id, sum(prior_cases)::double as prior from person group by 1), "
-    "dg as (select src as id, sum(weight) as degree from u group by 1), ev2 as (select id, x / sqrt(sum(x * x) over ()) as eigenvector from v20), "
-    "al as (select dg.id, betweenness, p20.x as pagerank, degree, eigenvector, coalesce(prior, 0) as prior, bridging from dg join bw using (id) join p20 using (id) join ev2 using (id) join f using (id) left join pr using (id)), "
+    f"{_RANKS}, {_VECTOR}, {_BETWEEN}, {_BY_NATION}, f as (select src as id, count(distinct cd) filter (cs <> cd)::double as bridging from w group by 1), "
+    "al as (select v.id, betweenness, p.x as pagerank, coalesce(total, 0)::double as degree, q.x as eigenvector, coalesce(prior_cases, 0)::double as prior, coalesce(bridging, 0) as bridging "
+    "from v join bw using (id) join p on p.id = v.id and p.k = 120 join q on q.id = v.id and q.k = 1000 left join o on o.src = v.id left join f on f.id = v.id left join person pr on pr.id = v.id), "
     "sc as (select id, "
-    + ", ".join(f"case when max({c}) over () - min({c}) over () <= 1e-9 * greatest(abs(max({c}) over ()), abs(min({c}) over ())) then 0.0 else ({c} - min({c}) over ()) / (max({c}) over () - min({c}) over ()) end as {c}" for c in ("betweenness", "pagerank", "degree", "eigenvector", "prior", "bridging"))
+    + ", ".join(f"case when max({c}) over () - min({c}) over () <= 1e-9 * greatest(abs(max({c}) over ()), abs(min({c}) over ())) then 0.0 else ({c} - min({c}) over ()) / (max({c}) over () - min({c}) over ()) end as {c}" for c in _PARTS)
     + " from al), ph as (select id, .30 * betweenness + .25 * pagerank + .15 * degree + .15 * eigenvector + .10 * prior + .05 * bridging as score, "
-    + ", ".join(f"{w} * ({c} - avg({c}) over ()) as phi_{c}" for c, w in (("betweenness", 0.30), ("pagerank", 0.25), ("degree", 0.15), ("eigenvector", 0.15), ("prior", 0.10), ("bridging", 0.05)))
+    + ", ".join(f"{w} * ({c} - avg({c}) over ()) as phi_{c}" for c, w in zip(_PARTS, (0.30, 0.25, 0.15, 0.15, 0.10, 0.05), strict=True))
     + ", .30 * avg(betweenness) over () + .25 * avg(pagerank) over () + .15 * avg(degree) over () + .15 * avg(eigenvector) over () + .10 * avg(prior) over () + .05 * avg(bridging) over () as baseline from sc)"
 )
 
 
 def _influence(t: Tables) -> DataFrame:
-    prior = t.person.groupBy(F.col("nation").alias("id")).agg(F.sum("prior_cases").alias("prior"))
-    return gr.influence(t.link, prior, _regions(t))
+    return gr.influence(t.web, t.person.select("id", F.col("prior_cases").alias("prior")), _nations(t), t.entity)
 
 
-@query("gr07_influence", f"with {_INFLUENCE} select id, round(score, 6) as score, row_number() over (order by round(score, 6) desc, id) as place from ph")
+@query("gr07_influence", f"with {_INFLUENCE} select id, round(score, 4) as score from ph")
 def _(t: Tables) -> DataFrame:
-    return _influence(t).select("id", F.round("score", 6).alias("score"), "place")
+    return _influence(t).select("id", F.round("score", 4).alias("score"))
 
 
-@query("gr08_shapley", f"with {_INFLUENCE} select id, " + ", ".join(f"round({c}, 6) as {c}" for c in ("baseline", "phi_betweenness", "phi_pagerank", "phi_degree", "phi_eigenvector", "phi_prior", "phi_bridging")) + " from ph")
+@query("gr08_shapley", f"with {_INFLUENCE} select id, " + ", ".join(f"round({c}, 4) as {c}" for c in ("baseline", *(f"phi_{p}" for p in _PARTS))) + " from ph")
 def _(t: Tables) -> DataFrame:
-    names = ["baseline", "phi_betweenness", "phi_pagerank", "phi_degree", "phi_eigenvector", "phi_prior", "phi_bridging"]
-    return _influence(t).select("id", *[F.round(c, 6).alias(c) for c in names])
+    return _influence(t).select("id", *[F.round(c, 4).alias(c) for c in ("baseline", *(f"phi_{p}" for p in _PARTS))])
 
 
-@query("gr09_bridging", f"with {_BOTH}, {_BY_REGION} select src as id, count(distinct cd) filter (cs <> cd) as bridging from w group by 1")
+@query("gr09_bridging", f"with {_WEB}, {_BY_NATION} select src as id, count(distinct cd) filter (cs <> cd) as bridging from w group by 1")
 def _(t: Tables) -> DataFrame:
-    return gr.foreign_communities(t.link, _regions(t))
+    return _bridging(t)
 
 
 _WALK = "with recursive e as (select a as src, b as dst from link union all select b, a from link), p as (select [0, dst] as path, dst as pos from e where src = 0 union all select list_append(path, dst), dst from p join e on p.pos = e.src where pos <> {target} and len(path) <= {cutoff} and not list_contains(path, dst))"
@@ -159,33 +162,86 @@ def _(t: Tables) -> DataFrame:
     return gr.components(t.pair)
 
 
-@query("gr16_articulation_points")
+#: For each node gone: what is left of its component, by reachability without it.
+_GONE = (
+    _REACH + ", rr as (select g.id as gone, z.id, z.id as pos from cc g join cc z on g.component = z.component and g.id <> z.id union select rr.gone, rr.id, e.dst from rr join e on rr.pos = e.src where e.dst <> rr.gone), "
+    "im as (select gone as id, count(distinct part) - 1 as impact from (select gone, id, min(pos) as part from rr group by 1, 2) group by 1 having count(distinct part) > 1)"
+)
+
+
+@query("gr16_articulation_points", _GONE + " select id from im")
 def _(t: Tables) -> DataFrame:
-    return gr.articulation_points(t.pair)
+    return gr.articulation_points(t.pair).select("id")
 
 
-@query("gr17_connectivity_impact")
+@query("gr17_connectivity_impact", _GONE + " select id, impact from im")
 def _(t: Tables) -> DataFrame:
-    return gr.impact_of_removal(t.pair, gr.articulation_points(t.pair))
+    return gr.articulation_points(t.pair)
+
+
+_REACHED = (
+    "dg as (select id, count(*) as degree, sum(1 + n) as strength from (select a as id, n from pair union all select b, n from pair) group by 1), "
+    "mr as (select e.id, m.reach from entity e join (select entity_type, lower(name) as key, count(distinct case_id) as reach from entity group by 1, 2) m on e.entity_type = m.entity_type and lower(e.name) = m.key)"
+)
+
+
+def _merged_reach(t: Tables) -> DataFrame:
+    from casewright.functions.text import normalize_name
+
+    e = t.entity.withColumn("key", normalize_name(F.col("name")))
+    return e.join(e.groupBy("entity_type", "key").agg(F.countDistinct("case_id").alias("reach")), ["entity_type", "key"]).select("id", "reach")
+
+
+_SCORED = (
+    _GONE + ", " + _WEB + f", {_BETWEEN}, {_REACHED}, x as (select dg.id, degree, betweenness, coalesce(impact, 0) as impact, reach from dg join bw on bw.id = dg.id left join im on im.id = dg.id join mr on mr.id = dg.id where degree >= 2), "
+    "mx as (select max(betweenness) as b, max(impact) as i, max(reach) as r from x), "
+    "bs as (select id, degree, round(.45 * case when b > 0 then betweenness / b else 0 end + .35 * case when i > 0 then impact / i else 0 end + .20 * case when r > 1 then (reach - 1) / (r - 1) else 0 end, 3) as score from x cross join mx)"
+)
 
 
-@query("gr18_bridge_scores")
+@query("gr18_bridge_scores", _SCORED + " select id, degree, score from bs where score >= .25 order by score desc, degree desc, id limit 10")
 def _(t: Tables) -> DataFrame:
-    reach = t.relation.select(F.col("src").alias("id"), F.col("kind")).groupBy("id").agg(F.countDistinct("kind").alias("reach"))
-    return gr.bridge_scores(t.pair, reach).orderBy(F.desc("score"), F.desc("degree"), "id").limit(10)
+    return gr.bridge_scores(t.pair, _merged_reach(t), t.entity).orderBy(F.desc("score"), F.desc("degree"), "id").limit(10)
 
 
-@query("gr19_clusters", _REACH + " select component, count(*) as size, count(*) filter (entity_type = 'PERSON') as persons from cc join entity using (id) group by 1 having count(*) >= 2")
+@query(
+    "gr19_clusters",
+    _SCORED + ", kb as (select component, arg_min(id, (-score, -degree, id)) as key_bridge from bs join cc using (id) where score >= .25 group by 1) select cc.component, count(*) as size, count(*) filter (entity_type = 'PERSON') as persons, "
+    "count(*) filter (entity_type = 'ORGANIZATION') as organizations, count(*) filter (entity_type = 'VEHICLE') as vehicles, any_value(key_bridge) as key_bridge from cc join entity using (id) left join kb on kb.component = cc.component group by 1 having count(*) >= 2",
+)
 def _(t: Tables) -> DataFrame:
-    c = gr.components(t.pair).join(t.entity.select("id", "entity_type"), "id")
-    return c.groupBy("component").agg(F.count("*").alias("size"), F.count_if(F.col("entity_type") == "PERSON").alias("persons")).filter("size >= 2")
+    c = stored(gr.components(t.pair), "components")
+    best = gr.bridge_scores(t.pair, _merged_reach(t), t.entity).join(c, "id").groupBy("component").agg(F.min(F.struct(-F.col("score"), -F.col("degree"), "id"))["id"].alias("key_bridge"))
+    kinds = [F.count_if(F.col("entity_type") == k).alias(n) for k, n in (("PERSON", "persons"), ("ORGANIZATION", "organizations"), ("VEHICLE", "vehicles"))]
+    sizes = c.join(t.entity.select("id", "entity_type"), "id").groupBy("component").agg(F.count("*").alias("size"), *kinds).filter("size >= 2")
+    return sizes.join(best, "component", "left")
 
 
-@query("gr20_metrics", _REACH + ", d as (select id, count(*) as degree, sum(1 + n) as strength from (select a as id, n from pair union all select b, n from pair) group by 1), z as (select component, count(*) as size from cc group by 1) select d.id, degree, strength::bigint as strength, size from d join cc using (id) join z using (component)")
+@query("gr19_subgroups")
 def _(t: Tables) -> DataFrame:
+    """Communities of three or more inside components of eight or more, where there are two of them at least."""
     c = gr.components(t.pair)
+    inside = gr.communities(t.web).join(c, "id").groupBy("component", "community").agg(F.count("*").alias("members")).filter("members >= 3")
+    large = c.groupBy("component").agg(F.count("*").alias("size")).filter("size >= 8")
+    several = inside.groupBy("component").agg(F.count("*").alias("groups")).filter("groups >= 2")
+    return inside.join(large, "component").join(several.select("component"), "component")
+
+
+@query(
+    "gr20_metrics",
+    _REACH + ", " + _WEB + f", {_BETWEEN}, {_REACHED}, z as (select component, count(*) as size from cc group by 1), "
+    "nt as (select src as id, count(*) filter (entity_type = 'PERSON') as persons, count(*) filter (entity_type = 'ORGANIZATION') as organizations, count(*) filter (entity_type = 'VEHICLE') as vehicles from u join entity on entity.id = dst group by 1) "
+    "select dg.id, degree, strength::bigint as strength, size, round(betweenness, 9) as betweenness, reach, persons, organizations, vehicles from dg join cc using (id) join z using (component) join bw on bw.id = dg.id join mr on mr.id = dg.id join nt on nt.id = dg.id",
+)
+def _(t: Tables) -> DataFrame:
+    c = stored(gr.components(t.pair), "components")
     size = c.groupBy("component").agg(F.count("*").alias("size"))
-    return g.degrees(t.pair, F.sum(1 + F.col("n")).alias("strength")).join(c, "id").join(size, "component").select("id", "degree", "strength", "size")
+    near = gr.both_ways(t.pair).join(t.entity.select(F.col("id").alias("dst"), "entity_type"), "dst").groupBy(F.col("src").alias("id")).agg(
+        *[F.count_if(F.col("entity_type") == k).alias(n) for k, n in (("PERSON", "persons"), ("ORGANIZATION", "organizations"), ("VEHICLE", "vehicles"))]
+    )
+    between = gr.betweenness(t.pair, t.entity).select("id", F.round("betweenness", 9).alias("betweenness"))
+    rows = g.degrees(t.pair, F.sum(1 + F.col("n")).alias("strength")).join(c, "id").join(size, "component").join(between, "id").join(_merged_reach(t), "id").join(near, "id")
+    return rows.drop("component")
 
 
 @query("gr21_high_connectivity", "select id, count(*) as degree from (select a as id from pair union all select b from pair) group by 1 having count(*) >= 3 order by 2 desc, 1 limit 5")
@@ -218,13 +274,23 @@ def _(t: Tables) -> DataFrame:
     return e.join(m, ["entity_type", "key"]).select("id", "reach")
 
 
-@query("gr25_cross_case", "with s as (select a.id as a, b.id as b from entity a join entity b on a.entity_type = b.entity_type and lower(a.name) = lower(b.name) and a.case_id < b.case_id) select a, b from s order by a, b limit 12")
+@query(
+    "gr25_cross_case",
+    "with e as (select a as src, b as dst from pair union all select b, a from pair), s as (select a.id as a, b.id as b, a.case_id as case_a, b.case_id as case_b, a.entity_type as kind, lower(a.name) as key from entity a join entity b on a.entity_type = b.entity_type and lower(a.name) = lower(b.name) and a.case_id < b.case_id), "
+    "t as (select *, row_number() over (order by case_a, case_b, kind, key, a, b) as place from s), n as (select src, min(dst) as near from e group by 1) "
+    "select place, a, b, case_a, case_b, case when x.near is null then '' else x.near || '-' end || a || '=' || b || case when y.near is null then '' else '-' || y.near end as path from t left join n x on x.src = a left join n y on y.src = b where place <= 12",
+)
 def _(t: Tables) -> DataFrame:
+    """Identities of two cases, the first twelve, each with an example path from a neighbour in one case over the shared identity to one in the other."""
     from casewright.functions.text import normalize_name
 
     e = t.entity.select("entity_type", normalize_name(F.col("name")).alias("key"), "id", "case_id")
-    pairs = e.toDF("entity_type", "key", "a", "ca").join(e.toDF("entity_type", "key", "b", "cb"), ["entity_type", "key"]).filter("ca < cb")
-    return pairs.select("a", "b").orderBy("a", "b").limit(12)
+    same = e.toDF("kind", "key", "a", "case_a").join(e.toDF("kind", "key", "b", "case_b"), ["kind", "key"]).filter("case_a < case_b")
+    first = same.orderBy("case_a", "case_b", "kind", "key", "a", "b").limit(12)
+    near = gr.both_ways(t.pair).groupBy("src").agg(F.min("dst").alias("near"))
+    first = first.join(near.toDF("a", "x"), "a", "left").join(near.toDF("b", "y"), "b", "left")
+    path = F.concat(F.coalesce(F.concat(F.col("x"), F.lit("-")), F.lit("")), "a", F.lit("="), "b", F.coalesce(F.concat(F.lit("-"), F.col("y")), F.lit("")))
+    return ranked(first, [F.col(c) for c in ("case_a", "case_b", "kind", "key", "a", "b")], "place").select(F.col("place").cast("long").alias("place"), "a", "b", "case_a", "case_b", path.alias("path"))
 
 
 @query("gr26_cycles", "with recursive w as (select src as first, [src, dst] as nodes, dst as pos, amount as total from flow where dst > src union all select first, list_append(nodes, dst), dst, total + amount from w join flow f on w.pos = f.src where dst > first and not list_contains(nodes, dst) and len(nodes) < 5), c as (select list_sort(nodes) as nodes, total + amount as total from w join flow f on w.pos = f.src and f.dst = w.first where len(nodes) >= 3) select array_to_string(nodes, '-') as nodes, max(total) as total from c group by 1 having max(total) >= 1000000")
@@ -232,24 +298,45 @@ def _(t: Tables) -> DataFrame:
     return gr.cycles(t.flow, 1_000_000).select(F.array_join("nodes", "-").alias("nodes"), "total")
 
 
-@query("gr27_insulated_actors", f"with {_INFLUENCE}, pl as (select *, row_number() over (order by round(score, 6) desc, id) as place, count(*) over () as n from ph) select id, place from pl where place <= ceil(n * .25) and greatest(phi_betweenness, phi_eigenvector) >= greatest(phi_pagerank, phi_degree, phi_prior, phi_bridging)")
-def _(t: Tables) -> DataFrame:
-    x = _influence(t)
-    n = x.count()
-    return x.filter((F.col("place") <= F.ceil(F.lit(n * 0.25))) & F.col("driver").isin("betweenness", "eigenvector")).select("id", "place")
+_DRIVEN = "greatest(round(phi_betweenness, 6), round(phi_eigenvector, 6)) >= greatest(round(phi_pagerank, 6), round(phi_degree, 6), round(phi_prior, 6), round(phi_bridging, 6))"
+_UNDER_DEGREE = " + ".join(f"(round(phi_{p}, 6) < round(phi_degree, 6))::int" for p in _PARTS)
 
 
-@query("gr28_clean_skin_bridges", f"with {_BOTH}, {_SHORT}, pr as (select nation as id, min(prior_cases) as low, max(prior_cases) as high from person group by 1) select k.s as id, max(y.high) as worst, count(*) as reached from k3 k join pr x on x.id = k.s join pr y on y.id = k.v where k.d > 0 and x.low = 0 and y.high >= 3 group by 1")
+@query(
+    "gr27_insulated_actors",
+    f"with {_INFLUENCE}, pl as (select *, row_number() over (order by round(score, 4) desc, id) as place, count(*) over () as n from ph), hs as (select user_id as id, count(distinct k) as handsets from ev group by 1) "
+    f"select pl.id, case when coalesce(handsets, 0) >= 2 then 'handsets' else 'priors' end as reason from pl left join hs on hs.id = pl.id left join person on person.id = pl.id where n >= 6 and place <= ceil(n * .25) and {_DRIVEN} and {_UNDER_DEGREE} <= 1 and (coalesce(handsets, 0) >= 2 or coalesce(prior_cases, 0) >= 3)",
+)
 def _(t: Tables) -> DataFrame:
-    pr = t.person.groupBy(F.col("nation").alias("id")).agg(F.min("prior_cases").alias("low"), F.max("prior_cases").alias("high"))
-    near = gr.within_hops(t.link, 3)
-    x, y = pr.select(F.col("id").alias("s"), "low"), pr.select(F.col("id").alias("v"), "high")
-    return near.join(x, "s").join(y, "v").filter("low = 0 and high >= 3").groupBy(F.col("s").alias("id")).agg(F.max("high").alias("worst"), F.count("*").alias("reached"))
+    """Of six people or more those of the top quarter whose score comes from brokerage, whose degree is among their two lowest parts, and who hold two handsets or three prior cases."""
+    x = stored(ranked(_influence(t), [F.desc(F.round("score", 4)), F.asc("id")], "rank"), "influence")
+    n = x.count()
+    phi = {p: F.round(f"phi_{p}", 6) for p in _PARTS}
+    driven = F.greatest(phi["betweenness"], phi["eigenvector"]) >= F.greatest(*[phi[p] for p in ("pagerank", "degree", "prior", "bridging")])
+    under = sum((phi[p] < phi["degree"]).cast("int") for p in _PARTS)
+    handsets = t.ev.groupBy(F.col("user_id").alias("id")).agg(F.countDistinct("k").alias("handsets"))
+    kept = x.filter((F.lit(n) >= 6) & (F.col("rank") <= F.ceil(F.lit(n * 0.25))) & driven & (under <= 1)).join(handsets, "id", "left").join(t.person.select("id", "prior_cases"), "id", "left")
+    many = F.coalesce("handsets", F.lit(0)) >= 2
+    return kept.filter(many | (F.coalesce("prior_cases", F.lit(0)) >= 3)).select("id", F.when(many, "handsets").otherwise("priors").alias("reason"))
+
+
+@query(
+    "gr28_clean_skin_bridges",
+    f"with {_WEB}, {_SHORT} select z.s as id, max(y.prior_cases) as worst, count(*) as reached, case when max(y.prior_cases) >= 4 or max(case when z.d = 1 then y.prior_cases end) >= 2 then 'high' else 'medium' end as severity "
+    "from k3 z join person x on x.id = z.s join person y on y.id = z.v where z.d > 0 and x.prior_cases = 0 and (y.prior_cases >= 3 or z.d = 1 and y.prior_cases >= 2) group by 1 having max(y.prior_cases) >= 3",
+)
+def _(t: Tables) -> DataFrame:
+    """People without a prior case who reach one with three or more in three steps; high with a direct neighbour of two or more, or a worst of four or more."""
+    pr = t.person.select("id", "prior_cases").filter("prior_cases is not null")
+    near = gr.within_hops(t.web, 3, pr.filter("prior_cases = 0").select("id")).join(pr.toDF("v", "prior"), "v").filter("prior >= 3 or d = 1 and prior >= 2")
+    direct = F.coalesce(F.max(F.when(F.col("d") == 1, F.col("prior"))) >= 2, F.lit(False))
+    found = near.groupBy(F.col("s").alias("id")).agg(F.max("prior").alias("worst"), F.count("*").alias("reached"), direct.alias("direct")).filter("worst >= 3")
+    return found.select("id", "worst", "reached", F.when((F.col("worst") >= 4) | F.col("direct"), "high").otherwise("medium").alias("severity"))
 
 
-@query("gr29_brokers", f"with {_BOTH}, {_BY_REGION} select src as id, count(distinct cd) filter (cs <> cd) as bridging from w group by 1 having count(distinct cd) filter (cs <> cd) >= 2")
+@query("gr29_brokers", f"with {_WEB}, {_BY_NATION} select src as id, count(distinct cd) filter (cs <> cd) as bridging from w group by 1 having count(distinct cd) filter (cs <> cd) >= 2")
 def _(t: Tables) -> DataFrame:
-    return gr.foreign_communities(t.link, _regions(t)).filter("bridging >= 2")
+    return _bridging(t).filter("bridging >= 2")
 
 
 @query("gr30_identifier_clusters", "with recursive e as (select distinct a.p_partkey as src, b.p_partkey as dst from (select p_partkey, p_brand || p_name as k from part) a join (select p_partkey, p_brand || p_name as k from part) b on a.k = b.k and a.p_partkey <> b.p_partkey), r as (select src as id, src as pos from e union select r.id, e.dst from r join e on r.pos = e.src) select id, min(pos) as component from r group by 1")
@@ -267,6 +354,12 @@ def _(t: Tables) -> DataFrame:
     return t.entity.groupBy("entity_type", normalize_name(F.col("name")).alias("key")).agg(F.max(rank)["name"].alias("canonical"), F.min("id").alias("root"))
 
 
+@query("gr32_bridges", "with u as (select a as src, b as dst from pair union all select b, a from pair), d as (select src as id, count(*) as degree from u group by 1), t as (select x.src as id, count(*) as closed from u x join u y on x.src = y.src and x.dst < y.dst join pair p on p.a = x.dst and p.b = y.dst group by 1) select id, degree, coalesce(closed, 0) as closed from d left join t using (id) where degree >= 3 and coalesce(closed, 0) <= .2 * degree * (degree - 1) / 2")
+def _(t: Tables) -> DataFrame:
+    """Nodes of degree 3 or more of whose pairs of neighbours a fifth at most are linked."""
+    return gr.clustering(t.pair).filter((F.col("degree") >= 3) & (F.col("closed") <= 0.2 * F.col("degree") * (F.col("degree") - 1) / 2)).select("id", "degree", "closed")
+
+
 @query("gr32_clustering", "with u as (select a as src, b as dst from pair union all select b, a from pair), d as (select src as id, count(*) as degree from u group by 1), t as (select x.src as id, count(*) as closed from u x join u y on x.src = y.src and x.dst < y.dst join pair p on p.a = x.dst and p.b = y.dst group by 1) select id, degree, coalesce(closed, 0) as closed from d left join t using (id)")
 def _(t: Tables) -> DataFrame:
     return gr.clustering(t.pair).select("id", "degree", "closed")

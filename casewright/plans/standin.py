@@ -37,6 +37,7 @@ VIEWS: dict[str, str] = {
   from orders where o_orderstatus = 'F') where dst in (select c_custkey from customer)""",
     "evidence": """select o_orderkey * 10 as id, o_custkey % 5 as case_id, case when o_orderkey % 3 = 0 then o_orderkey end as document_id, 'candidate:' || cast(o_orderkey as varchar) as source_reference,
   case o_orderkey % 3 when 0 then 'DOCUMENT' when 1 then 'CALL_RECORD' else 'SURVEILLANCE' end as evidence_type from orders where o_orderstatus <> 'P'""",
+    "web": "select a, b, n::double as weight from pair",
     "place": """select n_nationkey as id, n_regionkey as case_id, n_name as name, -60.0 + 5 * n_nationkey as lat, case when n_nationkey % 7 <> 6 then -180.0 + 14 * n_nationkey end as lon from nation""",
     "pair": """select least(src, dst) as a, greatest(src, dst) as b, count(*) as n, max(confidence) as confidence, count(distinct kind) as kinds, min(id) as first_id from relation where src <> dst group by 1, 2""",
 }
@@ -122,6 +123,10 @@ class Tables:
             F.when(key % 3 == 0, "DOCUMENT").when(key % 3 == 1, "CALL_RECORD").otherwise("SURVEILLANCE").alias("evidence_type"),
         )
 
+    @cached_property
+    def web(self) -> DataFrame:
+        return self.pair.select("a", "b", F.col("n").cast("double").alias("weight"))
+
     @cached_property
     def place(self) -> DataFrame:
         key = F.col("n_nationkey")
