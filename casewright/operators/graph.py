@@ -1,6 +1,6 @@
 """Graph operators on link tables (a, b, weight), a < b, one row a pair.
 
-Iterations are joins and aggregations of tables that are stored every few rounds. Betweenness takes a task for a batch of
+Iterations are joins and aggregations, a stored table a round. Betweenness takes a task for a batch of
 sources of a connected component; modularity communities and articulation points one for each component.
 """
 
@@ -19,7 +19,7 @@ from casewright import config
 from casewright.operators.sequences import min_max, ranked
 from casewright.storage import stored
 
-#: Rounds between stored tables.
+#: Rounds between looks at how far scores still move.
 _EVERY = 10
 #: Up to so many links, counted first, a power iteration runs in one task; beyond, each round is a join.
 LOCAL_LINKS = 200_000
@@ -112,10 +112,9 @@ def pagerank(links: DataFrame, vertices: DataFrame | None = None, rounds: int =
         lost = F.broadcast(last.agg(F.coalesce(F.sum(F.when(F.col("alone"), F.col("x"))), F.lit(0.0)).alias("lost")))  # one row
         came = e.join(last, e.src == last.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("share")).alias("came"))
         x = last.select("id", "alone").join(came, "id", "left").join(lost).select("id", "alone", ((1 - alpha + alpha * F.col("lost")) / n + alpha * F.coalesce("came", F.lit(0.0))).alias("x"))
-        if k % _EVERY == 0 or k == rounds:
-            x, last = stored(x, "ranks"), last
-            if _moved(x.select("id", "x"), last.select("id", "x")) < tolerance:
-                break
+        x = stored(x, "ranks")  # read several times in the next round
+        if k % _EVERY == 0 and _moved(x.select("id", "x"), last.select("id", "x")) < tolerance:
+            break
     return x.select("id", F.col("x").alias("pagerank"))
 
 
@@ -129,15 +128,10 @@ def eigenvector(links: DataFrame, vertices: DataFrame | None = None, rounds: int
     x = nodes.withColumn("x", F.lit(1.0 / max(1, nodes.count())))
     for k in range(1, rounds + 1):
         came = e.join(x, e.src == x.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("weight")).alias("came"))
-        last, x = x, x.join(came, "id", "left").select("id", (F.col("x") + F.coalesce("came", F.lit(0.0))).alias("x"))
-        norm = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))  # one row
-        x = x.join(F.broadcast(norm)).select("id", (F.col("x") / F.col("norm")).alias("x"))
-        if k % _EVERY == 0 or k == rounds:
-            x = stored(x, "vector")
-            if _moved(x, last) < tolerance:
-                break
-        elif k % _EVERY == _EVERY - 1:
-            x = stored(x, "vector")
+        last, x = x, stored(x.join(came, "id", "left").select("id", (F.col("x") + F.coalesce("came", F.lit(0.0))).alias("x")), "vector")
+        x = x.select("id", (F.col("x") / F.lit(x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0)).alias("x"))
+        if k % _EVERY == 0 and _moved(x, last) < tolerance:
+            break
     return x.withColumnRenamed("x", "eigenvector")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casewright.plans import aggregates, detection, filters, free, graphs, io, joins, scalars, sequences, streams  # noqa: F401
+from casewright.plans import aggregates, detection, extraction, filters, free, graphs, io, joins, scalars, sequences, streams  # noqa: F401
 from casewright.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -169,46 +169,6 @@ def _(t: Tables) -> DataFrame:
     return e.gazetteer(t.documents, "doc_id", "text", ["License", "The", "Von", "Los", "Le"])
 
 
-@query("ex05_overlap_resolution")
-def _(t: Tables) -> DataFrame:
-    return e.spans(t.documents, "doc_id", "text", e.PATTERNS, ["ACCOUNT", "PHONE", "IPV4"])
-
-
-@query("ex07_relation_cues", r"select doc_id, unnest(regexp_extract_all(text, '([A-Z][a-z]+) and the ([a-z]+)', 1)) as a, unnest(regexp_extract_all(text, '([A-Z][a-z]+) and the ([a-z]+)', 2)) as b, 'ASSOCIATE_OF' as relation from documents")
-def _(t: Tables) -> DataFrame:
-    return e.connected(t.documents, "doc_id", "text", "([A-Z][a-z]+) and the ([a-z]+)", "ASSOCIATE_OF")
-
-
-@query("ex09_text_rules", r"select doc_id, 'LICENCE' as kind, unnest(regexp_extract_all(text, '[Ll]icen[sc]ed under (?:the )?[A-Z][A-Za-z0-9 .-]*')) as value from documents union all select doc_id, 'TOKEN', unnest(regexp_extract_all(text, '(?:token|password|secret) = [^ \n]+')) from documents")
-def _(t: Tables) -> DataFrame:
-    return e.mentions(t.documents, "doc_id", "text", {"LICENCE": "[Ll]icen[sc]ed under (?:the )?[A-Z][A-Za-z0-9 .-]*", "TOKEN": "(?:token|password|secret) = [^ \n]+"})
-
-
-@query("ex10_connectives", r"select conv_id, turn, unnest(regexp_extract_all(text, '(\w+) from the (\w+)', 1)) as a, unnest(regexp_extract_all(text, '(\w+) from the (\w+)', 2)) as b from conversations where regexp_matches(text, '^[ -~\n]*$')")
-def _(t: Tables) -> DataFrame:
-    plain = t.conversations.filter(F.col("text").rlike(r"^[ -~\n]*$")).withColumn("key", F.struct("conv_id", "turn"))
-    return e.connected(plain, "key", "text", r"(\w+) from the (\w+)", "FROM").select("key.conv_id", "key.turn", "a", "b")
-
-
-@query("ex11_nearest_person")
-def _(t: Tables) -> DataFrame:
-    marks = e.spans(t.documents, "doc_id", "text", e.PATTERNS | {"NAME": r"\b[A-Z][a-z]{5,}\b"}, ["EMAIL", "ACCOUNT", "PHONE"])
-    return e.nearest_before(marks, "doc_id", "EMAIL", "NAME", 80)
-
-
-@query("ex12_csv_roles", "select s_suppkey as id, 'label' as role, s_name as value from supplier union all select s_suppkey, 'nation', s_nationkey::varchar from supplier")
-def _(t: Tables) -> DataFrame:
-    wide = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"), F.col("s_nationkey").cast("string").alias("nation"))
-    return wide.unpivot("id", ["label", "nation"], "role", "value")
-
-
-@query("ex14_claims", "select event_id, user_id as subject, event_type as predicate, k as object, ts from ev where k is not null")
-def _(t: Tables) -> DataFrame:
-    said = t.ev.select("event_id", F.format_string("%d was %s at %d on %s", "user_id", "event_type", "k", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("s"))
-    part = lambda n: F.regexp_extract("s", r"^(\d+) was (\w+) at (\d+) on (.+)$", n)
-    return said.select("event_id", part(1).cast("long").alias("subject"), part(2).alias("predicate"), part(3).cast("int").alias("object"), any_timestamp(part(4), ["yyyy-MM-dd HH:mm:ss.SSSSSS"]).cast("timestamp_ntz").alias("ts"))
-
-
 @query("ex17_match_or_create", "select k.name, min(k.id) as id, least(95, 45 + 12 * count(*)) as strength from (select lower(name) as name, id from entity) k group by 1")
 def _(t: Tables) -> DataFrame:
     return t.entity.groupBy(F.lower("name").alias("name")).agg(F.min("id").alias("id"), F.least(F.lit(95), 45 + 12 * F.count("*")).alias("strength"))

@@ -15,7 +15,32 @@ from casewright.functions.measures import micros
 
 _BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+_LETTERS = "'0123456789', 'aeioukmnrt'"
+
+
+def person_name(key: str) -> str:
+    """SQL of a two-word name made of a key's digits: 5 x 20 first names, 7 last ones."""
+    return f"'P' || translate(lpad(cast({key} % 100 as string), 3, '0'), {_LETTERS}) || ' S' || translate(lpad(cast({key} % 7 as string), 3, '0'), {_LETTERS})"
+
+
+#: Last names of the stand-in people, as a lexicon.
+LAST_NAMES = ["s" + "".join("aeioukmnrt"[int(d)] for d in f"{k:03d}") for k in range(7)]
+_A, _B, _TEL = person_name("c_custkey"), person_name("(c_custkey * 7 + 3)"), "'9' || lpad(cast(c_custkey as string), 9, '0')"
+_SAYINGS = [
+    f"{_A} || ' acted on instructions of ' || {_B} || ', near the gate.'", f"{_A} || ' is reportedly working under ' || {_B} || '.'", f"{_A} || ' said it was handed over to him by ' || {_B} || ' at night.'",
+    f"{_A} || ' was procuring the material from ' || {_B} || ', daily.'", f"'Police suspect involvement of ' || {_B} || ' in a case with ' || {_A} || '.'",
+    f"'The director of Acme Traders is recorded as ' || {_B} || ', says ' || {_A} || '. FIR 12/2024'", f"{_A} || ' controls collection in the market after dark, IMEI ' || lpad(cast(c_custkey as string), 15, '1')",
+    f"{_A} || ' (mob. ' || {_TEL} || ') was seen with ' || {_B}", f"'SIM issued to ' || {_A} || ' at mobile ' || {_TEL} || ' on 01/02/2024'", f"'Contact number of accused ' || {_A} || ' is ' || {_TEL}",
+    f"{_A} || ' was heard. Mobile number ' || {_TEL} || ' was used to make threatening calls'", f"{_A} || ' called ' || {_B} || ' from the known number ' || {_TEL}",
+    f"'Vehicle MH12AB' || cast(1000 + c_custkey % 9000 as string) || ' is owned by ' || {_A} || ', says ' || {_B}", f"{_A} || ' arrived in a vehicle MH12AB' || cast(1000 + c_custkey % 9000 as string) || ' at Harbour Road'",
+    f"'Amount Rs 25,000 transferred from ACABC' || cast(1000 + c_custkey % 9000 as string) || ' to ACXYZ5678 by ' || {_A} || ' near Harbour Road'",
+    f"'पकस तलम के कहने पर ' || {_A} || ' गया (विकरम सठ).'",
+]
+#: SQL of a case note for each customer, in words that both engines read; each kind of sentence once in sixteen.
+NOTE = "case c_custkey % 16 " + " ".join(f"when {k} then {v}" for k, v in enumerate(_SAYINGS)) + " end"
+
 VIEWS: dict[str, str] = {
+    "note": f"select c_custkey as note_id, {NOTE} as text from customer",
     "pay": """select l_orderkey * 10 + l_linenumber as txn_id, o_custkey as src, l_suppkey as dst, c_nationkey as src_nation, s_nationkey as dst_nation,
   l_extendedprice * (1 - l_discount) as amount, l_extendedprice as gross, l_returnflag as mode, l_shipdate as ts
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey""",
@@ -123,6 +148,10 @@ class Tables:
             F.when(key % 3 == 0, "DOCUMENT").when(key % 3 == 1, "CALL_RECORD").otherwise("SURVEILLANCE").alias("evidence_type"),
         )
 
+    @cached_property
+    def note(self) -> DataFrame:
+        return self.customer.select(F.col("c_custkey").alias("note_id"), F.expr(NOTE).alias("text"))
+
     @cached_property
     def web(self) -> DataFrame:
         return self.pair.select("a", "b", F.col("n").cast("double").alias("weight"))
