@@ -9,6 +9,7 @@ from casewright.functions import measures as m
 from casewright.functions import text as x
 from casewright.operators import joins as j
 from casewright.plans.registry import query
+from casewright.plans.scalars import _skeleton_sql
 from casewright.plans.standin import Tables
 
 _MIN = 60_000_000
@@ -28,11 +29,20 @@ def _(t: Tables) -> DataFrame:
     return j.with_fallback(t.orders, F.col("o_orderkey"), first, F.col("o_custkey"), second, "party").select("o_orderkey", "party")
 
 
-@query("jn03_resolve_name", r"with u as (select lower(name) as k, min(id) as v from entity group by 1 having count(distinct id) = 1), x as (select id, lower(name) as k, split_part(lower(name), ' ', 1) || entity_type as p from entity), y as (select p as k, min(id) as v from x group by 1 having count(distinct id) = 1) select x.id, coalesce(u.v, y.v) as resolved from x left join u on x.k = u.k left join y on x.p = y.k")
+def _said(t: Tables) -> DataFrame:
+    """Names as they are written down: two of three with another spelling of the same sound."""
+    return t.entity.select("id", F.when(F.col("id") % 3 == 0, F.col("name")).otherwise(F.replace(F.col("name"), F.lit("I"), F.lit("EE"))).alias("said"))
+
+
+_SOUNDS = f"sk as (select id, name, lower(name) as exact, w from entity, unnest(string_split(lower(name), ' ')) u(w)), kk as (select id, any_value(exact) as exact, string_agg({_skeleton_sql('w')}, ' ' order by {_skeleton_sql('w')}) filter ({_skeleton_sql('w')} <> '') as sound from sk group by 1)"
+
+
+@query("jn03_resolve_name", f"with {_SOUNDS}, u as (select exact as k, min(id) as v from kk group by 1 having count(distinct id) = 1), y as (select sound as k, min(id) as v from kk group by 1 having count(distinct id) = 1), s as (select e.id, case when e.id % 3 = 0 then lower(name) else replace(lower(name), 'i', 'ee') end as said, sound from entity e join kk using (id)) select s.id, coalesce(u.v, y.v) as resolved from s left join u on s.said = u.k left join y on s.sound = y.k")
 def _(t: Tables) -> DataFrame:
-    exact = x.normalize_name(F.col("name"))
-    loose = F.concat(F.split_part(exact, F.lit(" "), F.lit(1)), F.col("entity_type"))
-    return j.with_fallback(t.entity, exact, j.unique_keys(t.entity, exact), loose, j.unique_keys(t.entity, loose), "resolved").select("id", "resolved")
+    """Exact name, else the sounds of its words if exactly one owner has them."""
+    exact, sound = x.normalize_name(F.col("name")), x.name_key(F.col("name"))
+    said = _said(t)
+    return j.with_fallback(said, x.normalize_name(F.col("said")), j.unique_keys(t.entity, exact), x.name_key(F.col("said")), j.unique_keys(t.entity, sound), "resolved").select("id", "resolved")
 
 
 @query("jn04_shared_device", "with d as (select distinct imei, caller from call where imei is not null) select a.caller as a, b.caller as b, count(*) as devices from d a join d b on a.imei = b.imei and a.caller < b.caller group by 1, 2")
@@ -77,9 +87,11 @@ def _(t: Tables) -> DataFrame:
     return t.ev.join(held, "user_id").filter(F.col("us").between(F.col("since"), F.coalesce("until", F.lit(9_000_000_000_000_000)))).select("event_id", "user_id")
 
 
-@query("jn10_blocking_pairs", "with k as (select id, unnest(string_split(lower(name), ' ')) as block from entity where entity_type = 'PERSON'), p as (select distinct a.id as a, b.id as b from k a join k b on a.block = b.block and a.id < b.id and length(a.block) >= 3) select a, count(*) as n from p group by 1")
+@query("jn10_blocking_pairs", f"with k as (select distinct id, {_skeleton_sql('w')} as block from entity, unnest(string_split(lower(name), ' ')) u(w) where entity_type = 'PERSON'), p as (select distinct a.id as a, b.id as b from k a join k b on a.block = b.block and a.id < b.id and length(a.block) >= 3) select a, count(*) as n from p group by 1")
 def _(t: Tables) -> DataFrame:
-    k = t.entity.filter("entity_type = 'PERSON'").select("id", F.explode(F.split(F.lower("name"), " ")).alias("block")).filter("length(block) >= 3")
+    """Pairs that share the sound of a word, counted by their first."""
+    sounds = F.array_distinct(F.transform(F.split(F.lower("name"), " "), x.skeleton))
+    k = t.entity.filter("entity_type = 'PERSON'").select("id", F.explode(sounds).alias("block")).filter("length(block) >= 3")
     p = k.withColumnRenamed("id", "a").join(k.withColumnRenamed("id", "b"), "block").filter("a < b").select("a", "b").distinct()
     return p.groupBy("a").agg(F.count("*").alias("n"))
 
@@ -96,10 +108,13 @@ def _(t: Tables) -> DataFrame:
     return t.evidence.join(t.documents.select("doc_id", "source", "n_chars"), F.col("document_id") == F.col("doc_id"), "left").select("id", "source", "n_chars")
 
 
-@query("jn13_location_entities", r"select p.id, e.r_regionkey as entity from place p left join region e on p.case_id = e.r_regionkey and length(trim(lower(p.name))) % 2 = e.r_regionkey % 2")
+@query("jn13_location_entities", "with le as (select n_nationkey + 100 as entity, n_regionkey as case_id, lower(n_name) as k from nation where n_nationkey % 3 <> 0) select p.id, le.entity, le.entity is null as unmatched from place p left join le on p.case_id = le.case_id and trim(lower(p.name)) = le.k")
 def _(t: Tables) -> DataFrame:
-    p = t.place.withColumn("key", F.length(x.normalize_name(F.col("name"))) % 2)
-    return p.join(t.region, (F.col("case_id") == F.col("r_regionkey")) & (F.col("key") == F.col("r_regionkey") % 2), "left").select("id", F.col("r_regionkey").alias("entity"))
+    """Places with the location entity of their case and normalised name; those without one are marked."""
+    key = F.col("n_nationkey")
+    named = t.nation.filter(key % 3 != 0).select((key + 100).alias("entity"), F.col("n_regionkey").alias("case_id"), x.normalize_name(F.concat(F.lit("  "), F.lower("n_name"), F.lit(" "))).alias("k"))
+    p = t.place.select("id", "case_id", x.normalize_name(F.col("name")).alias("k"))
+    return p.join(named, ["case_id", "k"], "left").select("id", "entity", F.col("entity").isNull().alias("unmatched"))
 
 
 @query("jn14_events_with_places", "select e.case_id, count(*) as events, count(p.lon) as placed, count(*) - count(p.lon) as missing from ev e left join place p on e.k % 25 = p.id group by 1")
