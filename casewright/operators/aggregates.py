@@ -64,3 +64,18 @@ def type_counts(vertices: DataFrame, edges: DataFrame, kind: str, types: str) ->
 def degrees(links: DataFrame, *measures: Column) -> DataFrame:
     """(id, degree, ...) with parallel links counted; ``links`` is (a, b, ...)."""
     return links.select("*", F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"), *measures)
+
+
+def zero_filled(counts: DataFrame, label: str, labels: list, n: str) -> DataFrame:
+    """(label, n) for each of ``labels`` in the list, 0 where ``counts`` has no row; other labels are left out."""
+    every = counts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in labels])).alias(label))
+    return every.join(counts, label, "left").select(label, F.coalesce(n, F.lit(0).cast("long")).alias(n))
+
+
+def weekly(events: DataFrame, ts: str, series: dict[str, Column]) -> DataFrame:
+    """(week, a count for each of ``series``) from the first week of the events to the last, weeks from Monday; 0 in weeks without an event."""
+    week = F.date_trunc("week", ts).cast("date").alias("week")
+    n = events.groupBy(week).agg(*[F.count_if(test).alias(name) for name, test in series.items()])
+    span = n.agg(F.min("week").alias("lo"), F.max("week").alias("hi"))  # one row
+    every = span.filter("lo is not null").select(F.explode(F.sequence("lo", "hi", F.expr("interval 7 days"))).alias("week"))
+    return every.join(n, "week", "left").na.fill(0, list(series))

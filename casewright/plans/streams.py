@@ -39,3 +39,25 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     n = bursts.finished(_arriving(t).groupBy((F.col("user_id") % 10).alias("case_id")).agg(F.count("*").alias("done")), "complete", "jobs")
     return n
+
+
+@query("stream03_sliding_counts", "select event_type, cast(cast(ts as date) - i::int as date) as day, count(*) as n from events cross join (select unnest(range(7)) as i) group by 1, 2")
+def _(t: Tables) -> DataFrame:
+    return bursts.finished(bursts.sliding_counts(_arriving(t)), "complete", "sliding")
+
+
+@query(
+    "stream04_sessions",
+    "with x as (select user_id, event_id, us, case when us - lag(us) over w < 21600000000 then 0 else 1 end as new from ev window w as (partition by user_id order by us, event_id)), y as (select *, sum(new) over (partition by user_id order by us, event_id rows unbounded preceding) as session from x) "
+    "select user_id, min(event_id) as first_id, count(*) as n, (max(us) - min(us)) / 1e6 as seconds from y group by user_id, session",
+)
+def _(t: Tables) -> DataFrame:
+    return bursts.finished(bursts.sessions(_arriving(t), "user_id", "event_id", "6 hours"), "complete", "sessions")
+
+
+@query(
+    "stream05_day_bursts",
+    "with d as (select user_id, cast(ts as date) as day, count(*) as n from events group by 1, 2), s as (select *, avg(n) over w as m, coalesce(nullif(stddev_pop(n) over w, 0), 1) as sd, count(*) over w as days from d window w as (partition by user_id)) select user_id, day, n from s where days >= 5 and (n - m) / sd >= 1.4321 and n >= 2",
+)
+def _(t: Tables) -> DataFrame:
+    return bursts.latest(bursts.finished(bursts.day_bursts(_arriving(t), "user_id", 1.4321, 2), "update", "baseline"), "user_id")
