@@ -270,3 +270,44 @@ def test_power_iterations_agree(spark, monkeypatch):
     far = [ids(f(e, alone, rounds=6), "id", c) for f, c in ((gr.pagerank, "pagerank"), (gr.eigenvector, "eigenvector"))]
     for x, y in zip(near, far, strict=True):
         assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-12 for a, b in zip(x, y, strict=True))
+
+
+def test_removal_of_evidence(spark):
+    from casewright.operators import whatif
+
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (5, 6), (7, 8), (8, 9)], "a long, b long")
+    nodes = spark.range(1, 11).select("id")
+    m = whatif.removal_metrics(links, spark.createDataFrame([(2, 3), (5, 6)], "a long, b long"), nodes)
+    got = {r["id"]: r for r in m.collect()}
+    assert [got[k]["component_after"] for k in range(1, 11)] == [1, 1, 3, 3, 5, 6, 7, 7, 7, 10]
+    assert sorted(k for k in got if got[k]["isolated"]) == [5, 6]
+    assert got[2]["betweenness"] > 0 and got[2]["betweenness_after"] == 0 and got[8]["betweenness_after"] == got[8]["betweenness"] > 0
+    assert [tuple(r) for r in whatif.disconnected_pairs(m).collect()] == [(1, 3), (1, 4), (2, 3), (2, 4), (5, 6)]
+    assert [tuple(r) for r in whatif.disconnected_pairs(m, 3).collect()] == [(1, 3), (1, 4), (2, 3)]
+    assert tuple(whatif.removal_summary(m).first()) == (4, 6, 2, 4, 5)
+    none = whatif.removal_metrics(links, links.limit(0), nodes)
+    assert none.filter("degree != degree_after or component != component_after or isolated").count() == 0 and whatif.disconnected_pairs(none).count() == 0
+
+
+def test_second_run_without_records(spark):
+    from pyspark.sql import functions as F
+
+    from casewright.operators import whatif
+
+    rows = spark.createDataFrame([(1, "x", "a"), (1, "y", "b"), (2, "x", "a"), (3, "x", None), (4, "y", "b")], "id long, v string, source string")
+    count = lambda t: t["rows"].groupBy("id").agg(F.count("*").alias("n"))
+    got = whatif.counterfactual({"rows": rows}, {"rows": F.col("source") == "b"}, count, ["id"], ["n"])
+    assert {r["id"]: r["status"] for r in got.collect()} == {1: "changed", 2: "same", 3: "same", 4: "removed"}
+
+
+def test_filled_counts(spark):
+    from pyspark.sql import functions as F
+
+    from casewright.operators import aggregates as g
+
+    e = spark.createDataFrame([("2024-01-03 10:00:00", "a"), ("2024-01-24 10:00:00", "b")], "ts string, kind string").withColumn("ts", F.to_timestamp_ntz("ts"))
+    got = [(str(r["week"]), r["a"], r["b"]) for r in g.weekly(e, "ts", {"a": F.col("kind") == "a", "b": F.col("kind") == "b"}).orderBy("week").collect()]
+    assert got == [("2024-01-01", 1, 0), ("2024-01-08", 0, 0), ("2024-01-15", 0, 0), ("2024-01-22", 0, 1)]
+    assert g.weekly(e.limit(0), "ts", {"a": F.col("kind") == "a"}).count() == 0
+    n = spark.createDataFrame([("x", 2), ("z", 1)], "label string, n long")
+    assert {tuple(r) for r in g.zero_filled(n, "label", ["x", "y"], "n").collect()} == {("x", 2), ("y", 0)}
