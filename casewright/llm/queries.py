@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import chat, fingerprint, language_id, warc
+from casewright.llm import bpe, chat, fingerprint, importance, language_id, warc
 from casewright.llm.common import SPACE, read, scratch
 from casewright.llm.exact_dedup import exact_dedup
 from casewright.llm.line_dedup import repeated_runs
@@ -16,6 +16,7 @@ from casewright.llm.near_dedup import near_dedup
 from casewright.llm.packing import pack
 from casewright.llm.passage_dedup import repeated_passages
 from casewright.llm.substring_dedup import repeated_stretches, repeated_units
+from casewright.llm.whitening import whiten
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +94,28 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    codec = bpe.Codec(spark, vocabulary)
+    made = read(spark, sf_dir, "documents").select("doc_id", codec.encode(F.col("text")).alias("ids"))
+    back = made.select("doc_id", "ids", codec.decode(F.col("ids")).alias("decoded"))
+    return back.select("doc_id", bpe.token_count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op1_lines, op1_passages, op2_fingerprints, op3_near_dedup, op4_exact_dedup, op5_language_id, op6_line_dedup, op7_warc, op8_best_fit_packing, op9_mixing, op10_chat_format)
+    for f in (op1_substring_dedup, op1_lines, op1_passages, op2_fingerprints, op3_near_dedup, op4_exact_dedup, op5_language_id, op6_line_dedup, op7_warc, op8_best_fit_packing, op9_mixing, op10_chat_format, op11_whitening, op12_importance, op13_bpe)
 }
 
 _BLANK = r"[\x20\x09-\x0D]"
