@@ -11,10 +11,10 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.common import small_batches
+from casewright.llm.common import small_batches, stored
 
 #: Families of well-known language codes; any other code is a family of its own.
 FAMILIES = {
@@ -139,26 +139,24 @@ def held_out(id_col: str) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", each: int = 300, most_chars: int = 20_000, least_chars: int = 40) -> Model:
     """A model of about ``each`` documents a language, of ``least_chars`` to ``most_chars`` characters, whole texts, none of them held out.
 
-    The sample is bounded: by hash of the id a share of ``each`` / (documents of the language), so that its size does
-    not follow the input. A language without documents in that range of lengths is learned from its shortest ones.
+    The sample is bounded: by hash of the id a share of ``each`` / (documents of the language), ``2 * each`` a language at
+    most, so that its size does not follow the input. A language without documents in that range of lengths is learned
+    from its ``each`` shortest ones. Null texts and null languages teach nothing; rows that share an id go into the
+    sample together, and a table without usable rows gives a model that knows nothing. Languages are what ``lang_col``
+    holds, as it is spelled: the model has a weight row for each family and each pair of languages in one, so ``lang_col``
+    should hold codes and not free text.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(11), F.col(id_col)).alias("h"), F.length(text_col).alias("n")
     )
-    usable = known.filter(F.col("n").between(least_chars, most_chars))
-    counts = {r["lang"]: (r["usable"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("n").between(least_chars, most_chars)).alias("usable")).collect()}
-    sample: list[tuple[str, str]] = []
-    share = F.lit(0.0)
-    for lang, (n, _) in counts.items():
-        if n:
-            share = F.when(F.col("lang") == lang, F.lit(1.2 * each / n)).otherwise(share)
-    picked = usable.filter((F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(1 << 30)) < share).select("lang", "text").limit(max(1, 2 * each * len(counts)))
-    for r in picked.collect():
-        sample.append((r["lang"], r["text"]))
-    for lang, (_, n) in counts.items():
-        if not n or lang not in {a for a, _ in sample}:
-            sample += [(lang, r["text"]) for r in known.filter(F.col("lang") == lang).orderBy("n", "h").limit(each).select("text").collect()]
-    return train(sample)
+    fits = F.col("n").between(least_chars, most_chars)
+    shares = stored(known.groupBy("lang").agg(F.count_if(fits).alias("usable")), "languages")  # a row a language
+    dealt = known.filter(fits).join(shares, "lang").filter((F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(1 << 30)) * F.col("usable") < 1.2 * each)
+    nearest = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
+    picked = stored(dealt.select("lang", "text", F.row_number().over(nearest).alias("place")).filter(F.col("place") <= 2 * each).drop("place"), "sample")
+    shortest = Window.partitionBy("lang").orderBy("n", "h", F.xxhash64("text"))
+    short = known.join(picked.select("lang").distinct(), "lang", "left_anti").withColumn("place", F.row_number().over(shortest)).filter(F.col("place") <= each)
+    return train([(r["lang"], r["text"]) for r in picked.unionByName(short.select("lang", "text")).collect()])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,9 +7,9 @@ there is one, else a bin is opened.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,20 +115,22 @@ def pack(
         "source", "cluster", F.pmod(F.xxhash64(*alike, "copy"), F.lit(shards)).alias("shard"),
     )
 
-    def one(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["size", "id", "row", "source", "cluster", "copy", "piece"], ascending=[False, *[True] * 6], kind="stable", ignore_index=True)
-        sources = {s: k for k, s in enumerate(dict.fromkeys(shard["source"].where(shard["source"].notna(), None)))}
+    def one(shard: pa.Table) -> pa.Table:
+        # Arrow, not pandas, which would make doubles of ids and clusters where some are null
+        shard = shard.sort_by([("size", "descending"), *[(c, "ascending") for c in ("id", "row", "source", "cluster", "copy", "piece")]])
+        of, groups = shard["source"].to_pylist(), shard["cluster"].to_pylist()
+        sources = {s: k for k, s in enumerate(dict.fromkeys(of))}
         # only clusters of two pieces or more can be in conflict, and have a bit
-        met = shard["cluster"].value_counts(sort=False)
-        clusters = {c: k for k, c in enumerate(met.index[met > 1])}
-        placed = best_fit(
-            [(int(n), sources[s if isinstance(s, str) else None], clusters.get(c, -1)) for n, s, c in zip(shard["size"], shard["source"], shard["cluster"], strict=True)], capacity
-        )
-        return shard.assign(bin=[b for b, _ in placed], residual=[r for _, r in placed])
+        met = Counter(c for c in groups if c is not None)
+        clusters = {c: k for k, c in enumerate(c for c, n in met.items() if n > 1)}
+        placed = best_fit([(n, sources[s], clusters.get(c, -1)) for n, s, c in zip(shard["size"].to_pylist(), of, groups, strict=True)], capacity)
+        for name, k in (("bin", 0), ("residual", 1)):
+            shard = shard.append_column(name, pa.array([p[k] for p in placed], pa.int64()))
+        return shard
 
     pieces = stored(pieces, "pieces")
     empty = pieces.filter("size = 0").select("*", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("residual"))
-    packed = pieces.filter("size > 0").groupBy("shard").applyInPandas(one, _PACKED).select(*empty.columns).union(empty)
+    packed = pieces.filter("size > 0").groupBy("shard").applyInArrow(one, _PACKED).select(*empty.columns).union(empty)
     return packed.select(
         F.col("id").alias(id_col), "copy", "piece", (F.col("piece").cast("long") * capacity).alias("start_word"), "size", F.col("source").alias(source_col), "cluster", "shard", "bin", "residual"
     )

@@ -75,12 +75,20 @@ def cut_units(docs: DataFrame, cuts: DataFrame, id_col: str = "doc_id", text_col
 UNIT = 25
 #: Words that are looked at beyond either end of a run of repeated units.
 REACH = 50
-_CHOSEN = "id long, row long, a int, b int, start int, stop int, digest long"
-_EDGES = "row long, place long, words array<int>, edges array<int>"
+_CHOSEN = "id long, row long, a int, b int, start int, stop int, digest long, check long"
+_EDGES = "row long, place long, words array<long>, edges array<int>"
+
+
+def second_digest(words: np.ndarray, at: np.ndarray, unit: int) -> np.ndarray:
+    """Another 64 bits of the units that begin at ``at``, made of the words in another way, so that a unit is known by 128 bits."""
+    out = np.zeros(len(at), dtype=np.uint64)
+    for j in range(unit):
+        out = mix64(out + words[at + j])
+    return out
 
 
 def _chosen(unit: int, reach: int):
-    """Units (digest, first word a), each once a text, and, without a digest, the stretches of a text that stand earlier in itself."""
+    """Units (digest, check, first word a), each once a text, and, without a digest, the stretches of a text that stand earlier in itself."""
 
     def own_repeats(words, doc, begin, at, first_at):
         """(a, b) of words that units cover which stand ``unit`` words or more earlier in the text, grown at both ends by what is the same there, not into what they repeat."""
@@ -118,10 +126,10 @@ def _chosen(unit: int, reach: int):
                 a = np.concatenate([at, np.array([x for x, _ in spans], dtype=at.dtype)])
                 columns = (
                     [*(at - begin[at]), *(x - begin[x] for x, _ in spans)], [*none, *(y - begin[x] for x, y in spans)], [*none, *(start[x] for x, _ in spans)],
-                    [*none, *(stop[y - 1] for _, y in spans)], [*parts[at].view(np.int64), *([None] * len(spans))],
+                    [*none, *(stop[y - 1] for _, y in spans)], *([*d.view(np.int64), *([None] * len(spans))] for d in (parts[at], second_digest(words, at, unit))),
                 )
-                types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[a] + lo)), pa.array(rows[lo:hi][doc[a]]), *map(pa.array, columns, types)], names=["id", "row", "a", "b", "start", "stop", "digest"])
+                types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[a] + lo)), pa.array(rows[lo:hi][doc[a]]), *map(pa.array, columns, types)], names=["id", "row", "a", "b", "start", "stop", "digest", "check"])
 
     return choose
 
@@ -135,12 +143,11 @@ def _edges(reach: int):
             out: tuple[list, ...] = ([], [], [], [])
             for lo, hi in _batches(texts):
                 words, counts = word_hashes(texts[lo:hi])
-                short = (words >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 start, stop = code_points(texts[lo:hi])
                 first = np.cumsum(counts) - counts
                 for k in range(lo, hi):
                     a, n = first[k - lo], counts[k - lo]
-                    w, starts, stops = short[a : a + n], start[a : a + n], stop[a : a + n]
+                    w, starts, stops = words[a : a + n].view(np.int64), start[a : a + n], stop[a : a + n]
                     for place in places[k]:
                         at = place // 2
                         if place % 2:
@@ -149,8 +156,8 @@ def _edges(reach: int):
                             near, edge = w[max(0, at - reach) : at][::-1], starts[max(0, at - reach) : at + 1][::-1]
                         for c, v in zip(out, (rows[k], place, near, edge), strict=True):
                             c.append(v)
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], ints), pa.array(out[3], ints)], names=["row", "place", "words", "edges"])
+            lists = [pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *lists], names=["row", "place", "words", "edges"])
 
     return look
 
@@ -160,7 +167,7 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A unit is a run of ``unit`` words in lower-cased ASCII, whatever white space and line ends are between them; which
     runs are units is decided by their content: of every ``2 * unit`` words in a row the run with the smallest hash.
-    Units are grouped by digest globally and the earliest stays, in the order of id (null last), row, place. A later
+    Units are grouped by a digest of 128 bits globally and the earliest stays, in the order of id (null last), row, place. A later
     one is cut, with those that follow it in the same order after the same earlier place, and with the words at either
     end that stand there too (up to ``reach``). So every run of ``2 * unit`` words that stands earlier is hit,
     wherever in a line it starts, and nothing shorter than ``unit`` words is cut; a stretch can be put together from
@@ -174,11 +181,11 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession)
     base = keyed(docs, id_col, text_col)
     chosen = stored(base.mapInArrow(_chosen(unit, reach), _CHOSEN), "chosen")
-    units = chosen.filter("digest is not null").select("id", "row", F.col("a").alias("pos"), "digest")
+    units = chosen.filter("digest is not null").select("id", "row", F.col("a").alias("pos"), "digest", "check")
     rank = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"), F.col("pos").alias("d"))
     # stored, so that both sides of the join are plain exchanges and a unit of very many documents can be split
-    first = stored(units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"), "first")
-    again = units.join(first, "digest").filter(F.col("row") != F.col("first.c")).select(
+    first = stored(units.groupBy("digest", "check").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "check", "first"), "first")
+    again = units.join(first, ["digest", "check"]).filter(F.col("row") != F.col("first.c")).select(
         "id", "row", "pos", F.col("first.b").alias("first_id"), F.col("first.c").alias("first_row"), (F.col("pos") - F.col("first.d")).alias("shift")
     )
     order = Window.partitionBy("row").orderBy("pos")

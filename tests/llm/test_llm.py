@@ -1,5 +1,6 @@
 """Training-data operators against brute force, with nulls, empty and long texts, ties, repeats and empty tables."""
 
+import binascii
 import hashlib
 import random
 import re
@@ -327,6 +328,17 @@ def test_sketches_merge(spark):
     assert r.m == r.w and len(r.w) == fingerprint.K
 
 
+def test_language_model_of_very_many_languages(spark):
+    rng = random.Random(5)
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 1200)]
+    rows = [(i, "".join(rng.choice(alphabet[3 * (i % 400) : 3 * (i % 400) + 3]) for _ in range(50 if i % 400 else 10)), f"x{i % 400}") for i in range(800)]
+    docs = spark.createDataFrame([(i, t, "s", None, g) for i, t, g in rows], "doc_id long, text string, source string, n_chars long, lang string")
+    model = language_id.fit(docs)
+    taught = {g for i, _, g in rows if binascii.crc32(str(i).encode()) % 4 != 2}
+    assert {x for f in model.families for x in f} == taught and len(taught) > 300
+    assert sum(model.predict(t)[0] == g for _, t, g in rows[:60] if g in taught) > 40
+
+
 def test_language(spark):
     alphabet = {"en": "the and of ing tion", "de": "der und ung keit sch", "fr": "le et ment eux que", "es": "los que ción ado ez"}
     rng = random.Random(4)
@@ -435,6 +447,15 @@ def test_packing_keeps_given_clusters_apart(spark):
     assert len({(r.shard, r.bin, r.cluster) for r in got}) == 6
 
 
+def test_packing_keeps_large_ids_and_clusters_next_to_nulls(spark):
+    big = 1 << 53
+    rows = [(None, "a b", "s", 1 << 62), (big + 1, "c d", "t", (1 << 62) + 1), (big + 3, "e f", "t", (1 << 62) + 1), (big + 5, "g h", "u", (1 << 62) + 3), (7, "i j", None, None)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string, source string, group long"), cluster_col="group").collect()
+    assert {(r.doc_id, r.source, r.cluster) for r in got} == {(i, s, g) for i, _, s, g in rows}
+    where = {r.doc_id: (r.shard, r.bin) for r in got}
+    assert where[big + 1] != where[big + 3] and where[big + 1] == where[None] == where[big + 5] == where[7]
+
+
 @pytest.mark.parametrize("few", [100_000, 0])
 def test_mixing(spark, monkeypatch, few):
     monkeypatch.setattr(mixing, "FEW_SOURCES", few)
