@@ -294,15 +294,15 @@ def foreign_communities(links: DataFrame, assigned: DataFrame) -> DataFrame:
     return e.groupBy(F.col("src").alias("id")).agg(F.countDistinct(F.when(F.col("cs") != F.col("cd"), F.col("cd"))).alias("bridging"))
 
 
-def influence(links: DataFrame, prior: DataFrame, assigned: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+def influence(links: DataFrame, prior: DataFrame, assigned: DataFrame, vertices: DataFrame | None = None, between: DataFrame | None = None) -> DataFrame:
     """(id, score, baseline, phi_<part> for each part, driver, place): weighted sum of six scaled parts, and its exact attribution.
 
-    ``prior`` is (id, prior), ``assigned`` is (id, community). phi = weight * (part - mean part), so baseline + sum of phi = score.
+    ``prior`` is (id, prior), ``assigned`` is (id, community), ``between`` (id, betweenness) if that is known. phi = weight * (part - mean part), so baseline + sum of phi = score.
     """
     links = stored(_weighted(links), "links")
     nodes = stored(_nodes(links, vertices), "nodes")
     degree = both_ways(links).groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("degree"))
-    tables = [betweenness(links, nodes), pagerank(links, nodes), eigenvector(links, nodes), foreign_communities(links, assigned), degree, prior.select("id", F.col("prior").cast("double").alias("prior"))]
+    tables = [betweenness(links, nodes) if between is None else between, pagerank(links, nodes), eigenvector(links, nodes), foreign_communities(links, assigned), degree, prior.select("id", F.col("prior").cast("double").alias("prior"))]
     parts = reduce(lambda x, y: x.join(y, "id", "left"), tables, nodes)
     parts = stored(parts.select("id", *[F.coalesce(F.col(k).cast("double"), F.lit(0.0)).alias(k) for k in config.INFLUENCE_WEIGHTS]), "parts")
     w = config.INFLUENCE_WEIGHTS

@@ -39,7 +39,17 @@ _SAYINGS = [
 #: SQL of a case note for each customer, in words that both engines read; each kind of sentence once in sixteen.
 NOTE = "case c_custkey % 16 " + " ".join(f"when {k} then {v}" for k, v in enumerate(_SAYINGS)) + " end"
 
+_FIRST, _LAST = "cast(floor(c_custkey / 7) as bigint) % 10", "c_custkey % 7"
+_part = lambda words, at: f"split_part('{words}', ',', cast(1 + {at} as int))"
+_F, _L = _part("Vikram,Rajesh,Devendra,Farid,Mohan,Lalit,Nikhil,Tarun,Gopal,Harish", _FIRST), _part("Sethi,Kumar,Patil,Bhosale,Qureshi,Jadhav,Chauhan", _LAST)
+_FD, _LD = _part("विक्रम,राजेश,देवेन्द्र,फरीद,मोहन,ललित,निखिल,तरुन,गोपाल,हरीश", _FIRST), _part("सेठी,कुमार,पाटिल,भोसले,क़ुरेशी,जाधव,चौहान", _LAST)
+#: How an observed name is written: as it is, turned round, with an initial, with a middle initial, in Devanagari.
+OBSERVED_FORM = "cast(floor(c_custkey / 11) as bigint) % 5"
+OBSERVED_NAME = f"case {OBSERVED_FORM} when 0 then {_F} || ' ' || {_L} when 1 then {_L} || ' ' || {_F} when 2 then substr({_F}, 1, 1) || '. ' || {_L} when 3 then {_F} || ' Z. ' || {_L} else {_FD} || ' ' || {_LD} end"
+OBSERVED_TEL = "case when c_custkey % 90 = 0 then 'tel' || cast(c_custkey % 720 as string) end"
+
 VIEWS: dict[str, str] = {
+    "observed": f"select c_custkey as obs, {OBSERVED_NAME} as name, {OBSERVED_TEL} as ident, c_custkey % 50 as record, {_FIRST} as f, {_LAST} as l, {OBSERVED_FORM} as form from customer",
     "note": f"select c_custkey as note_id, {NOTE} as text from customer",
     "pay": """select l_orderkey * 10 + l_linenumber as txn_id, o_custkey as src, l_suppkey as dst, c_nationkey as src_nation, s_nationkey as dst_nation,
   l_extendedprice * (1 - l_discount) as amount, l_extendedprice as gross, l_returnflag as mode, l_shipdate as ts
@@ -148,6 +158,10 @@ class Tables:
             F.when(key % 3 == 0, "DOCUMENT").when(key % 3 == 1, "CALL_RECORD").otherwise("SURVEILLANCE").alias("evidence_type"),
         )
 
+    @cached_property
+    def observed(self) -> DataFrame:
+        return self.customer.select(F.col("c_custkey").alias("obs"), F.expr(OBSERVED_NAME).alias("name"), F.expr(OBSERVED_TEL).alias("ident"), (F.col("c_custkey") % 50).alias("record"))
+
     @cached_property
     def note(self) -> DataFrame:
         return self.customer.select(F.col("c_custkey").alias("note_id"), F.expr(NOTE).alias("text"))
