@@ -11,7 +11,6 @@ import hashlib
 import heapq
 import json
 import re
-import struct
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -58,7 +57,7 @@ class Vocabulary:
 
     tokens: tuple[bytes, ...]
     merges: dict[int, int]
-    wholes: list[int]
+    wholes: np.ndarray
     special: dict[bytes, int]
 
     def __post_init__(self):
@@ -73,29 +72,62 @@ class Vocabulary:
         text_cut[[*range(9, 14), *range(28, 33)]] = False  # how white space splits depends on what follows
         alone = {t: k for k, t in enumerate(self.tokens) if len(t) == 1}
         known = {
-            "forced": ~inside.ravel(), "text_cut": text_cut.ravel(), "single": [alone[bytes([b])] for b in range(256)],
+            "forced": ~inside.ravel(), "text_cut": text_cut.ravel(), "singles": np.array([alone[bytes([b])] for b in range(256)], dtype=np.int32),
+            "pair_keys": np.array([*(keys := sorted(self.merges)), 1 << 62]), "pair_places": np.array([*(self.merges[k] for k in keys), 0], dtype=np.int32),
             "ends": re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None,
         }
         self.__dict__.update(known)
 
-    def merge(self, part: bytes) -> list[int]:
-        """Ids of bytes: the earliest merge first, the leftmost of equal ones. Each merge looks at all pairs, so ``part`` should be short."""
-        ids, of, wholes = [self.single[b] for b in part], self.merges.get, self.wholes
-        none = len(wholes)
-        pairs = [of(a << 32 | b, none) for a, b in zip(ids, ids[1:])]  # noqa: B905
-        while pairs and (best := min(pairs)) < none:
-            i = pairs.index(best)
-            ids[i] = wholes[best]
-            del ids[i + 1], pairs[i]
-            if i:
-                pairs[i - 1] = of(ids[i - 1] << 32 | ids[i], none)
-            if i < len(pairs):
-                pairs[i] = of(ids[i] << 32 | ids[i + 1], none)
-        return ids
+    def _places(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Places in the order of merges of pairs of ids; the number of merges for pairs that are none."""
+        key = first.astype(np.int64) << 32 | second
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_places[at], np.int32(len(self.wholes)))
+
+    def merge_short(self, parts: list[bytes]) -> list[bytes]:
+        """Packed ids of parts of KEPT_BYTES at most: in each round every part makes its earliest merge, the leftmost of equal ones."""
+        size = np.array([len(p) for p in parts])
+        out: list[bytes] = [b""] * len(parts)
+        for low, high in ((0, 8), (8, 12), (12, 20), (20, KEPT_BYTES)):
+            of = np.flatnonzero((size > low) & (size <= high))
+            for lo in range(0, len(of), 1 << 14):
+                rows = of[lo : lo + (1 << 14)]
+                packed, ends = self._merged([parts[k] for k in rows], size[rows], high)
+                for k, a, b in zip(rows.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    out[k] = packed[a:b]
+        return out
+
+    def _merged(self, parts: list[bytes], size: np.ndarray, width: int) -> tuple[bytes, np.ndarray]:
+        none, columns = np.int32(len(self.wholes)), np.arange(width)
+        ids = np.full((len(parts), width + 1), -1, dtype=np.int32)
+        ids[:, :width][columns < size[:, None]] = self.singles[np.frombuffer(b"".join(parts), dtype=np.uint8)]
+        places = np.where(columns < size[:, None] - 1, self._places(ids[:, :-1], ids[:, 1:]), none)  # of each id with the next one
+        done, left = np.full((len(parts), width), -1, dtype=np.int32), np.arange(len(parts))
+        while len(left):
+            best = places.argmin(axis=1)
+            place = places[np.arange(len(left)), best]
+            ended = place == none
+            if ended.any():
+                done[left[ended]] = ids[ended, :width]
+                on = ~ended
+                left, ids, places, best, place = left[on], ids[on], places[on], best[on], place[on]
+            row = np.arange(len(left))
+            ids[row, best] = self.wholes[place]
+            # what stands behind the second of the two moves up
+            ids[:, :width] = np.take_along_axis(ids, columns + (columns > best[:, None]), axis=1)
+            ids[:, width] = -1
+            places[:, :-1] = np.take_along_axis(places, columns[:-1] + (columns[:-1] > best[:, None]), axis=1)
+            places[:, -1] = none
+            places[row, best] = np.where(ids[row, best + 1] >= 0, self._places(ids[row, best], np.maximum(ids[row, best + 1], 0)), none)
+            before = np.flatnonzero(best > 0)
+            at = best[before] - 1
+            places[before, at] = self._places(ids[before, at], ids[before, at + 1])
+        held = done >= 0
+        return done[held].astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(4 * held.sum(axis=1))])
 
     def merge_long(self, part: bytes) -> list[int]:
-        """The same in n log n, for runs of any length: pairs in a heap, neighbours in lists of links."""
-        ids, n = [self.single[b] for b in part], len(part)
+        """Ids of a run of any length, in n log n: pairs in a heap, neighbours in lists of links."""
+        ids, n = self.singles[np.frombuffer(part, dtype=np.uint8)].tolist(), len(part)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := self.merges.get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
@@ -104,7 +136,7 @@ class Vocabulary:
             j = after[i]
             if ids[i] != left or j >= n or ids[j] != right:
                 continue  # one of the two was merged meanwhile
-            ids[i], ids[j] = self.wholes[place], -1
+            ids[i], ids[j] = int(self.wholes[place]), -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
@@ -113,35 +145,55 @@ class Vocabulary:
                     heapq.heappush(heap, (m, a, ids[a], ids[b]))
         return [k for k in ids if k >= 0]
 
-    def fragment(self, data: bytes) -> bytes:
-        """Packed ids of a fragment of a text."""
-        if len(data) <= KEPT_BYTES and _LATIN.fullmatch(data):
-            out = self.merge(data)
-            return struct.pack(f"<{len(out)}I", *out)
-        out = []
-        for word, _ in _SPLIT.pre_tokenize_str(data.decode()):
-            part = bytes([_SHOWN[c] for c in word])
-            if len(part) <= KEPT_BYTES:
-                out += self.merge(part)
-                continue
-            lo = 0
-            for hi in (*_cuts(part, self.forced).tolist(), len(part)):
-                out += (self.merge if hi - lo <= KEPT_BYTES else self.merge_long)(part[lo:hi])
-                lo = hi
-        return struct.pack(f"<{len(out)}I", *out)
-
-    def encode(self, text: bytes, known: dict[bytes, bytes]) -> bytes:
-        """Packed ids of a text in UTF-8; ``known`` gives those of a fragment."""
-        out = bytearray()
-        for part in self.ends.split(text) if self.ends else (text,):
-            if part in self.special:
-                out += self.special[part].to_bytes(4, "little")
-            elif part:
-                cuts = [0, *self._text_cuts(part), len(part)]
-                for at in range(0, len(cuts) - 1, 1 << 16):  # so that a very long text is not all in fragments at once
-                    some = cuts[at : at + (1 << 16) + 1]
-                    out += b"".join([known[part[lo:hi]] for lo, hi in zip(some, some[1:])])  # noqa: B905
-        return bytes(out)
+    def fragments(self, some: list[bytes]) -> list[bytes]:
+        """Packed ids of fragments of texts: each is split into words, long words at forced boundaries, and the parts are merged together."""
+        parts, ends = [], [0]
+        for data in some:
+            if len(data) <= KEPT_BYTES and _LATIN.fullmatch(data):
+                parts.append(data)
+            else:
+                for word, _ in _SPLIT.pre_tokenize_str(data.decode()):
+                    word = bytes([_SHOWN[c] for c in word])
+                    cuts = [0, *(_cuts(word, self.forced).tolist() if len(word) > KEPT_BYTES else ()), len(word)]
+                    parts += [word[a:b] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+            ends.append(len(parts))
+        made = self.merge_short([p if len(p) <= KEPT_BYTES else b"" for p in parts])
+        for k, p in enumerate(parts):
+            if len(p) > KEPT_BYTES:
+                made[k] = np.array(self.merge_long(p), dtype="<u4").tobytes()
+        return [made[a] if b == a + 1 else b"".join(made[a:b]) for a, b in zip(ends, ends[1:])]  # noqa: B905
+
+    def encode(self, texts: list[bytes], known: Known) -> list[bytes]:
+        """Packed ids of texts in UTF-8. Fragments are looked up some 2^17 at a time, and those not known are encoded together."""
+        out = [bytearray() for _ in texts]
+        waiting: list[tuple[int, list[bytes]]] = []
+        held = 0
+
+        def flush() -> None:
+            nonlocal held
+            codes = known.codes([f for _, some in waiting for f in some])
+            at = 0
+            for k, some in waiting:
+                out[k] += b"".join(codes[at : at + len(some)])
+                at += len(some)
+            waiting.clear()
+            held = 0
+
+        for k, text in enumerate(texts):
+            for part in self.ends.split(text) if self.ends else (text,):
+                if part in self.special:
+                    flush()
+                    out[k] += self.special[part].to_bytes(4, "little")
+                elif part:
+                    cuts = [0, *self._text_cuts(part), len(part)]
+                    for at in range(0, len(cuts) - 1, 1 << 17):  # so that a very long text is not all in fragments at once
+                        ends = cuts[at : at + (1 << 17) + 1]
+                        waiting.append((k, [part[lo:hi] for lo, hi in zip(ends, ends[1:])]))  # noqa: B905
+                        held += len(ends) - 1
+                        if held >= 1 << 17:
+                            flush()
+        flush()
+        return [bytes(b) for b in out]
 
     def _text_cuts(self, part: bytes) -> list[int]:
         cuts = _cuts(part, self.text_cut)
@@ -160,21 +212,30 @@ def _cuts(part: bytes, table: np.ndarray) -> np.ndarray:
     return np.flatnonzero(table[b[:-1] << np.uint16(8) | b[1:]]) + 1
 
 
-class _Known(dict):
-    """Packed ids by fragment, made when asked for and kept if short. When KEPT are held they become the older ones, from which those still in use come back."""
+class Known:
+    """Packed ids of fragments that were encoded before, if short. When KEPT are held they become the older ones, from which those still in use come back."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary, self.older = vocabulary, {}
-
-    def __missing__(self, data: bytes) -> bytes:
-        out = self.older.get(data) or self.vocabulary.fragment(data)
-        if len(data) <= KEPT_BYTES:
-            if len(self) >= KEPT:
-                self.older = dict(self)
-                self.clear()
-            self[data] = out
-        return out
+        self.vocabulary, self.now, self.older = vocabulary, {}, {}
+
+    def codes(self, some: list[bytes]) -> list[bytes]:
+        """Packed ids of fragments, in their order."""
+        found = list(map(self.now.get, some))
+        lacking = [k for k, v in enumerate(found) if v is None]
+        if lacking:
+            fresh = dict.fromkeys(some[k] for k in lacking)
+            new = []
+            for f in fresh:
+                if (code := self.older.get(f)) is None:
+                    new.append(f)
+                fresh[f] = code
+            fresh.update(zip(new, self.vocabulary.fragments(new), strict=True))
+            for k in lacking:
+                found[k] = fresh[some[k]]
+            if len(self.now) + len(fresh) > KEPT:
+                self.now, self.older = {}, self.now
+            self.now.update((f, code) for f, code in fresh.items() if len(f) <= KEPT_BYTES)
+        return found
 
 
 def parsed(content: bytes) -> Vocabulary:
@@ -199,19 +260,19 @@ def parsed(content: bytes) -> Vocabulary:
         a, b = (bytes(_SHOWN[c] for c in x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
         merges.setdefault(ids[a] << 32 | ids[b], place)
         wholes.append(ids[a + b])
-    return Vocabulary(tuple(tokens.get(k, b"") for k in range(max(tokens) + 1)), merges, wholes, special)
+    return Vocabulary(tuple(tokens.get(k, b"") for k in range(max(tokens) + 1)), merges, np.array(wholes, dtype=np.int32), special)
 
 
-_loaded: dict[bytes, tuple[Vocabulary, _Known]] = {}
+_loaded: dict[bytes, tuple[Vocabulary, Known]] = {}
 
 
-def _of(content: bytes) -> tuple[Vocabulary, _Known]:
+def _of(content: bytes) -> tuple[Vocabulary, Known]:
     """The vocabulary of this worker, read once."""
     key = hashlib.sha256(content).digest()
     if key not in _loaded:
         _loaded.clear()
         vocabulary = parsed(content)
-        _loaded[key] = vocabulary, _Known(vocabulary)
+        _loaded[key] = vocabulary, Known(vocabulary)
     return _loaded[key]
 
 
@@ -237,7 +298,7 @@ class Codec:
         @F.arrow_udf("binary")
         def ids(texts: pa.Array) -> pa.Array:
             vocabulary, known = _of(sent.value)
-            return pa.array([vocabulary.encode(t or b"", known) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+            return pa.array(vocabulary.encode([t or b"" for t in texts.cast(pa.binary()).to_pylist()], known), pa.binary())
 
         return ids(text)
 
