@@ -25,7 +25,9 @@ from casewright.llm.common import small_batches
 #: Largest vocabulary file that is sent to the workers, bytes.
 MOST_BYTES = 64 << 20
 #: Fragments a worker keeps, and bytes of the longest one that is kept.
-KEPT, KEPT_BYTES = 1 << 17, 64
+KEPT, KEPT_BYTES = 1 << 18, 64
+#: Bytes of texts that are cut and looked up together.
+BLOCK = 1 << 19
 # Contractions that byte-level vocabularies of this kind split off before merging.
 CONTRACTIONS = (b"'s", b"'t", b"'re", b"'ve", b"'m", b"'ll", b"'d")
 #: Splits a fragment into words as those vocabularies do (letters, digits, other characters, white space).
@@ -51,6 +53,11 @@ def _shown_bytes() -> dict[str, int]:
 _SHOWN = _shown_bytes()
 
 
+def _slot(key: np.ndarray, size: int) -> np.ndarray:
+    mixed = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - (size.bit_length() - 1))).astype(np.int64)
+
+
 @dataclass(frozen=True, eq=False)
 class Vocabulary:
     """``tokens`` by id; ``merges``: place in the order of merges of each pair of ids (first << 32 | second); ``wholes``: id that each merge makes; ``special``: ids of texts that are tokens as they stand."""
@@ -73,16 +80,37 @@ class Vocabulary:
         alone = {t: k for k, t in enumerate(self.tokens) if len(t) == 1}
         known = {
             "forced": ~inside.ravel(), "text_cut": text_cut.ravel(), "singles": np.array([alone[bytes([b])] for b in range(256)], dtype=np.int32),
-            "pair_keys": np.array([*(keys := sorted(self.merges)), 1 << 62]), "pair_places": np.array([*(self.merges[k] for k in keys), 0], dtype=np.int32),
+            "token_sizes": (sizes := np.array([len(t) for t in self.tokens], dtype=np.int64)), "token_starts": np.cumsum(sizes) - sizes, "token_bytes": np.frombuffer(b"".join(self.tokens), dtype=np.uint8),
             "ends": re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None,
         }
         self.__dict__.update(known)
+        self.__dict__.update(zip(("slot_keys", "slot_places"), self._slots(), strict=True))
+
+    def _slots(self) -> tuple[np.ndarray, np.ndarray]:
+        """Merges by pair in a table of slots, a fifth of them full or less; a pair is in the first free slot from its own on."""
+        size = 1 << max(10, (5 * len(self.merges)).bit_length())
+        keys, places = np.full(size, -1, dtype=np.int64), np.full(size, len(self.wholes), dtype=np.int32)
+        for key, slot, place in zip(self.merges, _slot(np.array(list(self.merges), dtype=np.int64), size).tolist(), self.merges.values(), strict=True):
+            while keys[slot] >= 0:
+                slot = (slot + 1) & (size - 1)
+            keys[slot], places[slot] = key, place
+        return keys, places
 
     def _places(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Places in the order of merges of pairs of ids; the number of merges for pairs that are none."""
-        key = first.astype(np.int64) << 32 | second
-        at = np.searchsorted(self.pair_keys, key)
-        return np.where(self.pair_keys[at] == key, self.pair_places[at], np.int32(len(self.wholes)))
+        key = (first.astype(np.int64) << 32 | second).ravel()
+        size = len(self.slot_keys)
+        slot = _slot(key, size)
+        held = self.slot_keys[slot]
+        out = np.where(held == key, self.slot_places[slot], np.int32(len(self.wholes)))
+        on = np.flatnonzero((held != key) & (held >= 0))  # another pair is in the slot
+        while len(on):
+            slot[on] = (slot[on] + 1) & (size - 1)
+            held = self.slot_keys[slot[on]]
+            hit = held == key[on]
+            out[on[hit]] = self.slot_places[slot[on[hit]]]
+            on = on[~hit & (held >= 0)]
+        return out.reshape(first.shape)
 
     def merge_short(self, parts: list[bytes]) -> list[bytes]:
         """Packed ids of parts of KEPT_BYTES at most: in each round every part makes its earliest merge, the leftmost of equal ones."""
@@ -164,47 +192,82 @@ class Vocabulary:
         return [made[a] if b == a + 1 else b"".join(made[a:b]) for a, b in zip(ends, ends[1:])]  # noqa: B905
 
     def encode(self, texts: list[bytes], known: Known) -> list[bytes]:
-        """Packed ids of texts in UTF-8. Fragments are looked up some 2^17 at a time, and those not known are encoded together."""
+        """Packed ids of texts in UTF-8. Texts are cut and looked up some BLOCK bytes at a time; fragments that are not known are encoded together."""
         out = [bytearray() for _ in texts]
-        waiting: list[tuple[int, list[bytes]]] = []
+        waiting: list[tuple[int, bytes]] = []
         held = 0
 
         def flush() -> None:
             nonlocal held
-            codes = known.codes([f for _, some in waiting for f in some])
-            at = 0
-            for k, some in waiting:
-                out[k] += b"".join(codes[at : at + len(some)])
-                at += len(some)
+            ends = np.cumsum([len(p) for _, p in waiting])
+            data = b"".join([p for _, p in waiting])
+            cut = np.zeros(len(data) + 1, dtype=bool)
+            cut[self._text_cuts(data)] = True
+            cut[0] = True
+            cut[ends] = True
+            cuts = np.flatnonzero(cut)
+            places = cuts.tolist()
+            codes = known.codes([data[lo:hi] for lo, hi in zip(places, places[1:])])  # noqa: B905
+            upto = np.searchsorted(cuts, ends).tolist()
+            for (k, _), lo, hi in zip(waiting, [0, *upto[:-1]], upto, strict=True):
+                out[k] += b"".join(codes[lo:hi])
             waiting.clear()
             held = 0
 
         for k, text in enumerate(texts):
             for part in self.ends.split(text) if self.ends else (text,):
                 if part in self.special:
-                    flush()
+                    if waiting:
+                        flush()
                     out[k] += self.special[part].to_bytes(4, "little")
-                elif part:
-                    cuts = [0, *self._text_cuts(part), len(part)]
-                    for at in range(0, len(cuts) - 1, 1 << 17):  # so that a very long text is not all in fragments at once
-                        ends = cuts[at : at + (1 << 17) + 1]
-                        waiting.append((k, [part[lo:hi] for lo, hi in zip(ends, ends[1:])]))  # noqa: B905
-                        held += len(ends) - 1
-                        if held >= 1 << 17:
-                            flush()
-        flush()
+                    continue
+                for piece in self._pieces(part):
+                    waiting.append((k, piece))
+                    held += len(piece)
+                    if held >= BLOCK:
+                        flush()
+        if waiting:
+            flush()
         return [bytes(b) for b in out]
 
-    def _text_cuts(self, part: bytes) -> list[int]:
-        cuts = _cuts(part, self.text_cut)
-        if len(cuts) and not part.isascii():
-            b = np.frombuffer(part, dtype=np.uint8)
-            last, middle, first = b[cuts - 1], b[cuts - 2], b[cuts - 3]  # of the three bytes before a cut; those of an earlier place at the start only keep a cut from being made
+    def _pieces(self, part: bytes):
+        """A long text in pieces of some BLOCK bytes that end at cuts, so that a very long one is not all in fragments at once."""
+        at, size = 0, BLOCK
+        while len(part) - at > size:
+            cuts = self._text_cuts(part[at : at + size])
+            if len(cuts):
+                yield part[at : at + int(cuts[-1])]
+                at, size = at + int(cuts[-1]), BLOCK
+            else:
+                size *= 2
+        if at < len(part):
+            yield part[at:]
+
+    def _text_cuts(self, data: bytes) -> np.ndarray:
+        """Places at which a text can be cut before it is split into words. Bytes of another text in front can only keep a cut from being made."""
+        cuts = _cuts(data, self.text_cut)
+        if len(cuts) and not data.isascii():
+            b = np.frombuffer(data, dtype=np.uint8)
+            last, middle, first = b[cuts - 1], b[cuts - 2], b[cuts - 3]
             blank = (middle == 0xC2) & ((last == 0x85) | (last == 0xA0))
             for lead, seconds in _WIDE_BLANKS:
                 blank |= (first == lead) & np.isin(middle, seconds)
             cuts = cuts[~blank]
-        return cuts.tolist()
+        return cuts
+
+    def decode(self, packed: list[bytes | None]) -> tuple[bytes, np.ndarray]:
+        """Bytes of all texts, one after the other, and where each ends; an id that is not in the vocabulary is an error."""
+        ids = np.frombuffer(b"".join([p or b"" for p in packed]), dtype="<u4").astype(np.int64)
+        if len(ids) and ids.max() >= len(self.tokens):
+            raise ValueError("an id is not in the vocabulary")
+        size = self.token_sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = np.empty(int(ends[-1]), dtype=np.uint8)
+        for lo in range(0, len(ids), 1 << 18):  # so that places are held for some tokens only
+            hi = min(lo + (1 << 18), len(ids))
+            a, b = int(ends[lo]), int(ends[hi])
+            data[a:b] = self.token_bytes[np.arange(a, b) + np.repeat(self.token_starts[ids[lo:hi]] - ends[lo:hi], size[lo:hi])]
+        return data.tobytes(), ends[np.cumsum([0] + [len(p or b"") // 4 for p in packed])]
 
 
 def _cuts(part: bytes, table: np.ndarray) -> np.ndarray:
@@ -308,8 +371,8 @@ class Codec:
 
         @F.arrow_udf("string")
         def texts(packed: pa.Array) -> pa.Array:
-            tokens = _of(sent.value)[0].tokens
-            return pa.array([None if p is None else b"".join([tokens[k] for k in np.frombuffer(p, dtype="<u4").tolist()]).decode("utf-8", "replace") for p in packed.to_pylist()], pa.string())
+            data, ends = _of(sent.value)[0].decode(given := packed.to_pylist())
+            return pa.array([None if p is None else data[a:b].decode("utf-8", "replace") for p, a, b in zip(given, ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
 
         return texts(ids)
 

@@ -198,9 +198,9 @@ def test_bpe_query_digests(spark):
 def test_forced_cuts_are_never_inside_a_token():
     vocabulary = bpe.parsed(open(PATH, "rb").read())
     rng = random.Random(8)
-    for t in texts()[:500]:
+    for t in texts()[:150]:
         b = t.encode()
-        cuts = vocabulary._text_cuts(b)
+        cuts = vocabulary._text_cuts(b).tolist()
         for at in rng.sample(cuts, min(3, len(cuts))):
             assert not any(b[at - 1 : at + 1] in token for token in vocabulary.tokens[:50256])
 
