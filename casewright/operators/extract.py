@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewright.functions.text import normalize_digits
+
 # Patterns of the mention types.
 PATTERNS = {
     "PHONE": r"(?<![0-9])[6-9][0-9]{9}(?![0-9])",
@@ -117,8 +119,8 @@ def spoken(run: Column) -> Column:
 
 
 def cue_relations(texts: DataFrame, key: str, text: str, people: Column) -> DataFrame:
-    """(key, a, b, relation, confidence) of the relation cues: from the alphabetically first of ``people`` (an array of names) to the cue's last group."""
-    first = F.array_min(people)
+    """(key, a, b, relation, confidence) of the relation cues: from the alphabetically first of ``people`` (an array of names) to the cue's last group. Devanagari digits count as ASCII ones; nobody is related to themselves, case ignored."""
+    first, text = F.array_min(people), normalize_digits(F.col(text))
     pair = lambda r, c: lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.lit(r).alias("relation"), F.lit(c).alias("confidence"))
     out = []
     for pattern, relation, sure in RELATION_CUES:
@@ -128,18 +130,26 @@ def cue_relations(texts: DataFrame, key: str, text: str, people: Column) -> Data
             ends = F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda v: F.struct(first.alias("a"), v.alias("b")))
         out.append(F.transform(ends, pair(relation, sure)))
     found = texts.select(key, F.explode(F.flatten(F.array(*out))).alias("m")).select(key, F.trim("m.a").alias("a"), F.trim("m.b").alias("b"), "m.relation", "m.confidence")
-    return found.filter("a is not null")
+    return found.filter("a is not null and lower(a) != lower(b)")
 
 
 def phone_owners(texts: DataFrame, key: str, text: str, people: Column) -> DataFrame:
-    """(key, phone, owner, confidence) of the owner cues: the captured name, or the one of ``people`` (names in the order of the text) that it holds; the first of them where the cue names none."""
-    snap = lambda v: F.when(F.array_contains(people, v), v).otherwise(F.coalesce(F.get(F.filter(people, lambda n: F.contains(v, n)), 0), v))
-    owned = lambda named, c: lambda p: F.struct(p["phone"].alias("phone"), (snap(F.trim(p["name"])) if named else F.get(people, 0)).alias("owner"), F.lit(c).alias("confidence"))
+    """(key, phone, owner, confidence) of the owner cues: the captured name, or the one of ``people`` (names in the order of the text) that it holds; the first of them where the cue names none.
+
+    Devanagari digits count as ASCII ones; commas and points at the ends of a captured name do not keep it from being one of
+    ``people``. Of several owners of a phone in a text the one of the earlier cue stays, of one cue the first.
+    """
+    bare = lambda v: F.btrim(v, F.lit(" \t\n.,"))
+    snap = lambda v: F.when(F.array_contains(people, bare(v)), bare(v)).otherwise(F.coalesce(F.get(F.filter(people, lambda n: F.contains(bare(v), n)), 0), F.trim(v)))
+    plain = normalize_digits(F.col(text))
+    owned = lambda cue, named, c: lambda p, at: F.struct(F.lit(cue).alias("cue"), at.alias("at"), p["phone"].alias("phone"), (snap(p["name"]) if named else F.get(people, 0)).alias("owner"), F.lit(c).alias("confidence"))
     out = []
-    for pattern, name, phone, sure in OWNER_CUES:
-        both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), phone).alias("phone"), F.regexp_extract_all(text, F.lit(pattern), name or phone).alias("name"))
-        out.append(F.transform(both, owned(name, sure)))
-    return texts.select(key, F.explode(F.flatten(F.array(*out))).alias("m")).select(key, "m.phone", "m.owner", "m.confidence").filter("owner is not null")
+    for cue, (pattern, name, phone, sure) in enumerate(OWNER_CUES):
+        every = lambda g: F.regexp_extract_all(plain, F.lit(pattern), F.lit(g))  # noqa: B023, E731
+        both = F.arrays_zip(every(phone).alias("phone"), every(name or phone).alias("name"))
+        out.append(F.transform(both, owned(cue, name, sure)))
+    found = texts.select(key, F.explode(F.flatten(F.array(*out))).alias("m")).filter("m.owner is not null")
+    return found.groupBy(key, "m.phone").agg(F.min("m").alias("m")).select(key, "phone", "m.owner", "m.confidence")
 
 
 def kind_of(value: Column) -> Column:
@@ -190,12 +200,6 @@ def gazetteer(texts: DataFrame, key: str, text: str, terms: list[str]) -> DataFr
     return texts.select(key, F.explode(hits).alias("term"))
 
 
-def connected(texts: DataFrame, key: str, text: str, cue: str, relation: str) -> DataFrame:
-    """(key, a, b, relation) of pairs that a cue with two groups joins; standing together is not enough."""
-    a, b = (F.regexp_extract_all(text, F.lit(cue), k) for k in (1, 2))
-    return texts.select(key, F.explode(F.arrays_zip(a.alias("a"), b.alias("b"))).alias("p")).select(key, F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.lit(relation).alias("relation"))
-
-
 def resolved(found: list[tuple], order: dict[str, int]) -> list[tuple]:
     """Of overlapping (start, stop, kind, value) those that stay, taken by start, longest first, earlier in ``order`` first.
 
@@ -255,12 +259,3 @@ def nearest_person(marks: DataFrame, key: str, anchor: str, target: str, within:
     after = (F.col("from") >= F.col("stop")) & (F.col("to") <= F.col("stop") + within)
     best = hit.filter(before | after).groupBy(key, "start").agg(F.max(F.struct(before.alias("before"), "from", "other"))["other"].alias("near"))
     return a.drop("stop").join(best, [key, "start"], "left")
-
-
-def nearest_before(marks: DataFrame, key: str, anchor: str, target: str, within: int) -> DataFrame:
-    """(key, start, value, near): each span of kind ``anchor`` with the last ``target`` span that ends before it, at most ``within`` characters away."""
-    a = marks.filter(F.col("kind") == anchor).select(key, "start", "value")
-    b = marks.filter(F.col("kind") == target).select(key, F.col("stop").alias("end"), F.col("value").alias("other"))
-    hit = a.join(b, key).filter((F.col("end") <= F.col("start")) & (F.col("start") - F.col("end") <= within))
-    best = hit.groupBy(key, "start").agg(F.max(F.struct("end", "other"))["other"].alias("near"))
-    return a.join(best, [key, "start"], "left")

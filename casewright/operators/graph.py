@@ -234,10 +234,11 @@ def articulation_points(links: DataFrame) -> DataFrame:
     return by_component(links, _articulation, "id long, impact long")
 
 
-def _communities(total: float):
-    """Greedy modularity of one component in a graph of weight ``total``: the pair of communities with the largest gain is merged, ties by smaller ids, while it gains."""
+def _communities(whole: float | None):
+    """Greedy modularity of one component in a graph of weight ``whole`` (its own if null): the pair of communities with the largest gain is merged, ties by smaller ids, while it gains."""
 
     def merge(p: pd.DataFrame) -> pd.DataFrame:
+        total = float(p["weight"].sum()) if whole is None else whole
         share: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
         weight: dict[int, float] = defaultdict(float)
         for a, b, w in zip(p["a"].astype(int), p["b"].astype(int), p["weight"], strict=True):
@@ -280,6 +281,21 @@ def communities(links: DataFrame, vertices: DataFrame | None = None) -> DataFram
     return _nodes(links, vertices).join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
+def subgroups(links: DataFrame, size: int = 8, least: int = 3) -> DataFrame:
+    """(id, component, community) of communities of ``least`` members or more in components of ``size`` nodes or more that have two such communities.
+
+    Each component is taken by itself, its links without weights, as in ``communities`` otherwise.
+    """
+    label = stored(components(links.select("a", "b")), "components")
+    large = label.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") >= size).select("component")
+    inside = stored(links.select("a", "b").join(label.toDF("a", "component"), "a").join(large, "component", "left_semi").select("a", "b", "component", F.lit(1.0).alias("weight")), "inside")
+    merge = _communities(None)
+    found = stored(inside.groupBy("component").applyInPandas(lambda p: merge(p).assign(component=p["component"].iloc[0]), "id long, community long, component long"), "communities")
+    groups = found.groupBy("component", "community").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    several = groups.groupBy("component").agg(F.count("*").alias("n")).filter("n >= 2")
+    return found.join(groups.select("component", "community"), ["component", "community"], "left_semi").join(several.select("component"), "component", "left_semi").select("id", "component", "community")
+
+
 def modularity(links: DataFrame, assigned: DataFrame) -> DataFrame:
     """(community, part): parts of the modularity, which is their sum."""
     e = both_ways(links).join(assigned.toDF("src", "cs"), "src").join(assigned.toDF("dst", "cd"), "dst")

@@ -57,17 +57,19 @@ _CUES = _union(
 )
 
 
-@query("ex07_relation_cues", f"with {_PEOPLE}, f as ({_CUES}) select note_id, trim(a) as a, trim(b) as b, relation, confidence from f where a is not null")
+@query("ex07_relation_cues", f"with {_PEOPLE}, f as ({_CUES}) select note_id, trim(a) as a, trim(b) as b, relation, confidence from f where a is not null and lower(trim(a)) <> lower(trim(b))")
 def _(t: Tables) -> DataFrame:
     return e.cue_relations(t.note, "note_id", "text", _people())
 
 
-_SNAP = "case when list_contains(people, trim(v)) then trim(v) else coalesce(list_filter(people, lambda x: contains(v, x))[1], trim(v)) end"
+_BARE = "trim(v, ' .,' || chr(9) || chr(10))"
+_SNAP = f"case when list_contains(people, {_BARE}) then {_BARE} else coalesce(list_filter(people, lambda x: contains({_BARE}, x))[1], trim(v)) end"
+_PLAIN = "translate(text, '०१२३४५६७८९', '0123456789')"
 _QUOTED = [(p.replace("'", "''"), n, g, c) for p, n, g, c in e.OWNER_CUES]
-_OWNERS = _union([f"select note_id, people, unnest(regexp_extract_all(text, '{p}', {g})) as phone, unnest(regexp_extract_all(text, '{p}', {n or g})) as v, {int(n > 0)} as named, {c}::double as confidence from pe" for p, n, g, c in _QUOTED])
+_OWNERS = _union([f"select note_id, people, {k} as cue, generate_subscripts(regexp_extract_all({_PLAIN}, '{p}', {g}), 1) as spot, unnest(regexp_extract_all({_PLAIN}, '{p}', {g})) as phone, unnest(regexp_extract_all({_PLAIN}, '{p}', {n or g})) as v, {int(n > 0)} as named, {c}::double as confidence from pe" for k, (p, n, g, c) in enumerate(_QUOTED)])
 
 
-@query("ex08_phone_owners", f"with {_PEOPLE}, f as ({_OWNERS}), o as (select note_id, phone, case when named = 1 then {_SNAP} else people[1] end as owner, confidence from f) select * from o where owner is not null")
+@query("ex08_phone_owners", f"with {_PEOPLE}, f as ({_OWNERS}), o as (select note_id, phone, case when named = 1 then {_SNAP} else people[1] end as owner, confidence, cue, spot from f), z as (select *, row_number() over (partition by note_id, phone order by cue, spot) as n from o where owner is not null) select note_id, phone, owner, confidence from z where n = 1")
 def _(t: Tables) -> DataFrame:
     return e.phone_owners(t.note, "note_id", "text", _people())
 

@@ -219,12 +219,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("gr19_subgroups")
 def _(t: Tables) -> DataFrame:
-    """Communities of three or more inside components of eight or more, where there are two of them at least."""
-    c = gr.components(t.pair)
-    inside = gr.communities(t.web).join(c, "id").groupBy("component", "community").agg(F.count("*").alias("members")).filter("members >= 3")
-    large = c.groupBy("component").agg(F.count("*").alias("size")).filter("size >= 8")
-    several = inside.groupBy("component").agg(F.count("*").alias("groups")).filter("groups >= 2")
-    return inside.join(large, "component").join(several.select("component"), "component")
+    """Communities of three or more inside components of eight or more, where there are two of them at least; each component by itself."""
+    return gr.subgroups(t.pair).groupBy("component", "community").agg(F.count("*").alias("members"))
 
 
 @query(

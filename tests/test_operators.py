@@ -311,3 +311,32 @@ def test_filled_counts(spark):
     assert g.weekly(e.limit(0), "ts", {"a": F.col("kind") == "a"}).count() == 0
     n = spark.createDataFrame([("x", 2), ("z", 1)], "label string, n long")
     assert {tuple(r) for r in g.zero_filled(n, "label", ["x", "y"], "n").collect()} == {("x", 2), ("y", 0)}
+
+
+def test_cues_refuse_self_relations_and_read_devanagari_digits(spark):
+    from casewright.operators import extract
+
+    people = F.array(F.lit("Asha Patil"), F.lit("Ravi Sethi"))
+    texts = spark.createDataFrame(
+        [(1, "Asha Patil acted on instructions of Asha Patil, near."), (2, "He acted on instructions of Ravi Sethi, near."), (3, "known number ९८७६५४३२१०"), (4, "9000000001 known number 9000000001; issued to Ravi Sethi at mobile 9000000001")],
+        "id long, text string",
+    )
+    assert [(r.id, r.a, r.b) for r in extract.cue_relations(texts, "id", "text", people).collect()] == [(2, "Asha Patil", "Ravi Sethi")]
+    got = sorted((r.id, r.phone, r.owner) for r in extract.phone_owners(texts, "id", "text", people).collect())
+    assert got == [(3, "9876543210", "Asha Patil"), (4, "9000000001", "Ravi Sethi")]
+
+
+def test_subgroups_take_each_component_by_itself(spark):
+    import itertools
+
+    from casewright.operators import graph as gr
+
+    def two_cliques(start):
+        cliques = [range(start, start + 4), range(start + 4, start + 8)]
+        return [e for c in cliques for e in itertools.combinations(c, 2)] + [(start, start + 4)]
+
+    links = [e for k in range(6) for e in two_cliques(100 * k)] + [(900, 901), (901, 902)]
+    got = gr.subgroups(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {(r.component, r.community): {x.id for x in got if x.community == r.community} for r in got} == {
+        (100 * k, 100 * k + 4 * h): set(range(100 * k + 4 * h, 100 * k + 4 * h + 4)) for k in range(6) for h in (0, 1)
+    }
