@@ -11,20 +11,20 @@ from casewright.plans.joins import _INDIRECT
 from casewright.plans.registry import query
 from casewright.plans.standin import Tables
 
-# Conflicts of the stand-in: pairs with several kinds of relations, those of most kinds first.
+# Conflicts of the stand-in: pairs whose relations differ in confidence by a quarter or more, the largest difference first.
 _CONFLICTS = (
     "pf as (select r.id, e.id as evidence from relation r join evidence e on e.source_reference = 'candidate:' || r.candidate_id), "
-    "cf as (select case_id, least(src, dst) as a, greatest(src, dst) as b, count(distinct kind) as kinds, list_sort(list(distinct r.id)) as relations, list_sort(list(distinct pf.evidence) filter (pf.evidence is not null)) as evidence from relation r left join pf on pf.id = r.id where src <> dst group by 1, 2, 3 having count(distinct kind) >= 2), "
-    "cr as (select *, row_number() over (partition by case_id order by kinds desc, a, b) as seq from cf)"
+    "cf as (select case_id, least(src, dst) as a, greatest(src, dst) as b, round(max(confidence) - min(confidence), 6)::double as spread, min(r.id) % 3 as sort, list_sort(list(distinct r.id)) as relations, list_sort(list(distinct pf.evidence) filter (pf.evidence is not null)) as evidence from relation r left join pf on pf.id = r.id where src <> dst group by 1, 2, 3 having round(max(confidence) - min(confidence), 6) >= .25), "
+    "cr as (select *, row_number() over (partition by case_id order by spread desc, a, b) as seq from cf)"
 )
 _CASE_PAIRS = (
     ", hp as (select f.*, x.case_id, (x.entity_type = 'PERSON')::int + (y.entity_type = 'PERSON')::int as persons, least('e' || a, 'e' || b) as s, greatest('e' || a, 'e' || b) as t from f join entity x on x.id = a join entity y on y.id = b), "
     "hk as (select *, row_number() over (partition by case_id order by length, persons desc, s, t) as k from hp)"
 )
 _READ = " union all ".join(
-    f"select case_id, 2 * seq - 1 + {v} as place, '{title}' as title, 'the conflict ' || a || '/' || b || ' {said}' as statement, 'CONTRADICTION' as kind, [a, b] as entities, case when kind = '{kind}' and kind <> 'ownership' then []::bigint[] else relations end as relations, coalesce(evidence, []::bigint[]) as evidence, "
-    + ("0.5::double" if way is None else "round(least(1.0, kinds / 4.0)::double, 3)" if way else "round((1 - least(1.0, kinds / 4.0))::double, 3)")
-    + f" as consistency from (select *, case when kinds >= 4 then 'movement' when kinds = 3 then 'ownership' else 'evidence' end as kind from cr where seq <= 3) where kind = '{kind}'"
+    f"select case_id, 2 * seq - 1 + {v} as place, '{title}' as title, 'the conflict ' || a || '/' || b || ' {said}' as statement, 'CONTRADICTION' as kind, [a, b] as entities, case when kind <> 'ownership' then []::bigint[] else relations end as relations, coalesce(evidence, []::bigint[]) as evidence, "
+    + ("0.5::double" if way is None else "round(spread, 3)" if way else "round(1 - spread, 3)")
+    + f" as consistency from (select *, case sort when 0 then 'movement' when 1 then 'ownership' else 'evidence' end as kind from cr where seq <= 3) where kind = '{kind}'"
     for kind, both in h.READINGS.items()
     for v, (title, said, way) in enumerate(both)
 )
@@ -59,13 +59,14 @@ def _proofs(t: Tables) -> DataFrame:
 
 def _hypotheses(t: Tables) -> DataFrame:
     proofs = _proofs(t)
-    r = t.relation.filter("src != dst").select("case_id", "id", "kind", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    r = t.relation.filter("src != dst").select("case_id", "id", "confidence", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
     ids = lambda c: F.sort_array(F.collect_set(c))  # noqa: E731  (of one pair)
-    cf = r.join(proofs, "id", "left").groupBy("case_id", "a", "b").agg(F.countDistinct("kind").alias("kinds"), ids("id").alias("relations"), ids("evidence").alias("evidence")).filter("kinds >= 2")
-    first = s.first_of_each(cf, ["case_id"], [F.desc("kinds"), F.asc("a"), F.asc("b")], h.MOST_CONTRADICTIONS, "seq")
-    kind = F.when(F.col("kinds") >= 4, "movement").when(F.col("kinds") == 3, "ownership").otherwise("evidence")
+    spread = F.round(F.max("confidence") - F.min("confidence"), 6).alias("spread")
+    cf = r.join(proofs, "id", "left").groupBy("case_id", "a", "b").agg(spread, ids("id").alias("relations"), ids("evidence").alias("evidence")).filter("spread >= 0.25")
+    first = s.first_of_each(cf, ["case_id"], [F.desc("spread"), F.asc("a"), F.asc("b")], h.MOST_CONTRADICTIONS, "seq").withColumn("sort", F.get("relations", 0) % 3)
+    kind = F.when(F.col("sort") == 0, "movement").when(F.col("sort") == 1, "ownership").otherwise("evidence")
     told = first.select(
-        "case_id", "seq", kind.alias("kind"), F.concat_ws("/", F.col("a").cast("string"), F.col("b").cast("string")).alias("about"), F.least(F.lit(1.0), F.col("kinds") / 4.0).alias("margin"), F.array("a", "b").alias("entities"),
+        "case_id", "seq", kind.alias("kind"), F.concat_ws("/", F.col("a").cast("string"), F.col("b").cast("string")).alias("about"), F.col("spread").alias("margin"), F.array("a", "b").alias("entities"),
         F.when(kind == "ownership", F.col("relations")).otherwise(F.array().cast("array<bigint>")).alias("relations"), "evidence",
     )
     vertices = t.entity.select("id", "case_id", (F.col("entity_type") == "PERSON").alias("person"))

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.operators import identity
+from casewright.operators import identity, names
 from casewright.plans.registry import query
-from casewright.plans.standin import Tables
+from casewright.plans.standin import _F, _L, OBSERVED_FORM, Tables
 
 
 def clusters_sql(x: str, observed: str) -> str:
@@ -52,3 +52,30 @@ _SPOKEN_FIRST, _SPOKEN_LAST = "Vikrama,Rajesha,Devendra,Phareda,Mohana,Lalita,Ni
 def _(t: Tables) -> DataFrame:
     """Canonical name, size and positional id of each entity."""
     return identity.positional_ids(identity.canonical_names(t.observed, _resolved(t).members))
+
+
+# --- names nearly the same -------------------------------------------------------------------------------------------
+#: A candidate's name by its form: as it is, a letter short, with an initial, with a word more, the first name alone.
+_WRITTEN = f"case {OBSERVED_FORM} when 0 then {_F} || ' ' || {_L} when 1 then substr({_F}, 1, length({_F}) - 1) || ' ' || {_L} when 2 then substr({_F}, 1, 1) || ' ' || {_L} when 3 then {_F} || ' Rao ' || {_L} else {_F} end"
+
+
+def _written(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return t.customer.select(F.col("c_custkey").alias("id"), F.expr(_WRITTEN).alias("name")), t.customer.select(F.expr(f"{_F} || ' ' || {_L}").alias("name"))
+
+
+_LADDER = (
+    f"nm as (select distinct f, l, {_F} || ' ' || {_L} as name from observed join customer on c_custkey = obs), "
+    "cd as (select obs as id, f, l, form from observed), mt as (select cd.id, nm.name, case form when 0 then 1.0 when 1 then .75 when 2 then .82 when 3 then .55 + .35 * 2 / 3 else .725 end::double as score from cd join nm on cd.f = nm.f and (cd.l = nm.l or form = 4))"
+)
+
+
+@query("wn11_name_suggestions", f"with {_LADDER}, rk as (select *, row_number() over (partition by id order by score desc, lower(name)) as place from mt) select id, place, name, round(score, 9) as score from rk where place <= 3")
+def _(t: Tables) -> DataFrame:
+    """The three best known names of each candidate."""
+    return names.suggestions(*_written(t)).withColumn("score", F.round("score", 9))
+
+
+@query("sc12_score_ladder", f"with {_LADDER} select round(score, 9) as score, count(*) as pairs from (select distinct name, score, {_WRITTEN} as written from mt join customer on c_custkey = id) group by 1")
+def _(t: Tables) -> DataFrame:
+    """How many pairs of spellings each rung of the ladder has: equal, an initial, a letter, half of the words."""
+    return names.name_matches(*_written(t)).groupBy(F.round("score", 9).alias("score")).agg(F.count("*").alias("pairs"))
