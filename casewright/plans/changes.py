@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casewright.operators import audit
 from casewright.operators import extract as e
 from casewright.operators import terms
 from casewright.operators import workflow as wf
@@ -194,3 +195,19 @@ def _(t: Tables) -> DataFrame:
     places = t.spark.createDataFrame([("दादर", "hi", "location", "Dadar"), ("ठाणे", "hi", "location", "Thane")], people.schema)
     linked = t.spark.createDataFrame([("में", "hi")], "word string, lang string")
     return terms.multilingual_claims(lines, "id", "text", people.union(places), linked, r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}").select("id", "subject", "object", "stamp")
+
+
+# --- audit -----------------------------------------------------------------------------------------------------------
+@query(
+    "wf09_chain_breaks",
+    "with n as (select *, row_number() over (partition by user_id order by us, event_id) as seq from ev), k as (select * from n where event_id % 101 <> 0), m as (select *, lag(seq) over (partition by user_id order by seq) as before from k), "
+    "b as (select user_id, seq, case when coalesce(before, 0) <> seq - 1 then 'previous' when event_id % 97 = 0 then 'entry' end as reason from m), f as (select user_id, min(seq) as first_break, arg_min(reason, seq) as reason from b where reason is not null group by 1) "
+    "select user_id::varchar as chain, count(*) as entries, f.first_break is null as intact, first_break, f.reason from k left join f using (user_id) group by 1, 4, 5",
+)
+def _(t: Tables) -> DataFrame:
+    """A chain for each user's events, of which some entries are altered and some taken out: where each breaks first."""
+    said = F.concat_ws(" ", "event_id", "event_type")
+    rows = t.ev.select("user_id", "us", "event_id", said.alias("said"))
+    made = audit.appended(rows, "user_id", ["us", "event_id"], "said").withColumn("_id", F.split_part("said", F.lit(" "), F.lit(1)).cast("long"))
+    spoilt = made.filter("_id % 101 != 0").withColumn("said", F.when(F.col("_id") % 97 == 0, "another thing").otherwise(F.col("said"))).drop("_id")
+    return audit.verified(spoilt)
