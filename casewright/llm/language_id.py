@@ -154,9 +154,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     dealt = known.filter(fits).join(shares, "lang").filter((F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(1 << 30)) * F.col("usable") < 1.2 * each)
     nearest = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
     picked = stored(dealt.select("lang", "text", F.row_number().over(nearest).alias("place")).filter(F.col("place") <= 2 * each).drop("place"), "sample")
-    shortest = Window.partitionBy("lang").orderBy("n", "h", F.xxhash64("text"))
-    short = known.join(picked.select("lang").distinct(), "lang", "left_anti").withColumn("place", F.row_number().over(shortest)).filter(F.col("place") <= each)
-    return train([(r["lang"], r["text"]) for r in picked.unionByName(short.select("lang", "text")).collect()])
+    lacking = shares.join(picked.select("lang").distinct(), "lang", "left_anti").select("lang")
+    if lacking.limit(1).count():  # texts are moved for this only if there are such languages; the model holds a weight row for each anyway
+        shortest = Window.partitionBy("lang").orderBy("n", "h", F.xxhash64("text"))
+        short = known.join(F.broadcast(lacking), "lang").withColumn("place", F.row_number().over(shortest)).filter(F.col("place") <= each)
+        picked = picked.unionByName(short.select("lang", "text"))
+    return train([(r["lang"], r["text"]) for r in picked.collect()])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
