@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casewright.functions.measures import micros
 from casewright.plans.registry import query
 from casewright.plans.standin import Tables
 from casewright.storage import scratch
-from casewright.streaming import bursts
+from casewright.streaming import bursts, windows
 
 
 def _arriving(t: Tables, parts: int = 4) -> DataFrame:
@@ -61,3 +62,31 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     return bursts.latest(bursts.finished(bursts.day_bursts(_arriving(t), "user_id", 1.4321, 2), "update", "baseline"), "user_id")
+
+
+_DAY, _WAIT = 86_400_000_000, 3 * 86_400_000_000
+_CLOSING = (
+    f"mk as (select max(us) filter (event_id % 10 <> 0) - {_WAIT} as first, max(us) - {_WAIT} as last from ev), "
+    f"rw as (select event_id as \"row\", event_type as key, us, us // {_DAY} * {_DAY} as start, event_id % 10 = 0 and us // {_DAY} * {_DAY} + {_DAY} <= first as missed, last from ev cross join mk)"
+)
+
+
+def _closing(t: Tables) -> windows.WindowCounts:
+    """Events in two lots, those of every tenth id after all others; the stream is started again for the second lot."""
+    folder, checkpoint = scratch(t.spark, "lots"), scratch(t.spark, "lots-checkpoint")
+    counts = windows.WindowCounts(t.spark, scratch(t.spark, "windows"), _DAY, _WAIT)
+    for lot in ("event_id % 10 != 0", "event_id % 10 = 0"):
+        t.events.filter(lot).coalesce(1).write.mode("append").parquet(folder)
+        stream = t.spark.readStream.schema(t.events.schema).parquet(folder)
+        counts.run(stream.select(F.col("event_type").alias("key"), F.col("event_id").alias("row"), micros(F.col("ts")).alias("us")), checkpoint)
+    return counts
+
+
+@query("stream06_closed_windows", f"with {_CLOSING} select key, start, count(*) as n from rw where not missed and start + {_DAY} <= last group by 1, 2")
+def _(t: Tables) -> DataFrame:
+    return _closing(t).closed.read()
+
+
+@query("stream06_late_rows", f"with {_CLOSING} select \"row\", key, us from rw where missed")
+def _(t: Tables) -> DataFrame:
+    return _closing(t).missed.read()
