@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.operators import audit
@@ -23,12 +23,13 @@ def _table(t: Tables, tag: str, schema: str, *key: str) -> ChangingTable:
 
 
 # --- a queue ---------------------------------------------------------------------------------------------------------
-_NONE = F.lit(None).cast("string")
+def _none() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _queue(t: Tables) -> ChangingTable:
     jobs = _table(t, "jobs", wf.JOBS, "id")
-    jobs.put(t.note.select(F.col("note_id").alias("id"), F.col("note_id").alias("document_id"), F.lit("QUEUED").alias("status"), F.lit(0).alias("attempts"), _NONE.alias("worker"), _NONE.alias("error")), "fill")
+    jobs.put(t.note.select(F.col("note_id").alias("id"), F.col("note_id").alias("document_id"), F.lit("QUEUED").alias("status"), F.lit(0).alias("attempts"), _none().alias("worker"), _none().alias("error")), "fill")
     return jobs
 
 
@@ -42,7 +43,7 @@ def _(t: Tables) -> DataFrame:
     jobs = _queue(t)
     wf.claim(jobs, "a")
     wf.claim(jobs, "b")
-    wf.settle(jobs, wf.claim(jobs, "c"), _NONE, "end-c")
+    wf.settle(jobs, wf.claim(jobs, "c"), _none(), "end-c")
     wf.requeue(jobs, (F.col("worker") == "b") & (F.col("status") == "PROCESSING"), "stuck-b")
     return jobs.read().select("id", "status", "attempts", "worker")
 
