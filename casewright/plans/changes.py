@@ -13,7 +13,7 @@ from casewright.operators import terms
 from casewright.operators import workflow as wf
 from casewright.plans.registry import query
 from casewright.plans.standin import _FD, _FIRST, _LD, Tables, person_name
-from casewright.sources import adapters, extractors
+from casewright.sources import adapters, extractors, quoted
 from casewright.sources.tables import ChangingTable
 from casewright.storage import scratch
 
@@ -212,3 +212,13 @@ def _(t: Tables) -> DataFrame:
     made = audit.appended(rows, "user_id", ["us", "event_id"], "said").withColumn("_id", F.split_part("said", F.lit(" "), F.lit(1)).cast("long"))
     spoilt = made.filter("_id % 101 != 0").withColumn("said", F.when(F.col("_id") % 97 == 0, "another thing").otherwise(F.col("said"))).drop("_id")
     return audit.verified(spoilt)
+
+
+# --- documents with quotes -------------------------------------------------------------------------------------------
+@query("src11_quoted_documents", "select c_custkey as id, 1 as row_no, case when c_custkey % 9 <> 0 then c_name || ', ' || chr(10) || c_mktsegment end as who, case when c_custkey % 9 = 0 then 'not valid UTF-8' end as problem from customer where c_custkey % 9 <> 0 union all select c_custkey, 0, null, case when c_custkey % 9 = 0 then 'not valid UTF-8' end from customer")
+def _(t: Tables) -> DataFrame:
+    """A CSV document for each customer, with a mark, a comma and a line end in a quoted cell; some are no UTF-8."""
+    text = F.concat(F.lit("﻿who,key\r\n\""), "c_name", F.lit(", \n"), "c_mktsegment", F.lit("\","), F.col("c_custkey").cast("string"), F.lit("\r\n"))
+    content = F.when(F.col("c_custkey") % 9 == 0, F.concat(F.encode(text, "utf-8"), F.unhex(F.lit("FF")))).otherwise(F.encode(text, "utf-8"))
+    found = quoted.csv_documents(t.customer.select(F.col("c_custkey").alias("id"), content.alias("content")), "id", "content")
+    return found.select("id", "row_no", F.element_at("cells", "who").alias("who"), "problem")
