@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,13 +88,32 @@ def indirect_pairs(links: DataFrame) -> DataFrame:
 
 
 def within_km(places: DataFrame, row: str, km: float, radius: float) -> DataFrame:
-    """(a, b, km) of places at most ``km`` apart, a < b. Places are dealt to belts of latitude of that width; a pair meets in its own or the next belt."""
-    width = max(km / radius * 180 / 3.141592653589793, 1e-9)
-    belt = F.floor((F.col("lat") + 90) / width).cast("long")
-    p = places.filter("lat is not null and lon is not null")
-    a = p.select(F.explode(F.array(belt, belt + 1)).alias("belt"), belt.alias("own"), F.col(row).alias("x"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
-    b = p.select(belt.alias("belt"), F.col(row).alias("y"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    near = a.join(b, "belt").filter((F.col("own") < F.col("belt")) | (F.col("x") < F.col("y")))
+    """(a, b, km) of places (``row``, lat, lon in degrees) at most ``km`` apart, a < b; places without a coordinate have none.
+
+    The globe is dealt to belts of latitude as high as the distance, and a belt to cells of longitude that are at least as
+    wide as the distance is at its end nearer to a pole, so towards the poles there are fewer of them, and one where the
+    distance reaches over it. A place looks into its own cell and those beside it, round the date line, in its own belt and
+    in the next; so each pair meets once.
+    """
+    angle = max(km / radius, 1e-9)
+    high = math.degrees(angle)
+    belt_of = lambda lat: F.floor((F.col(lat) + 90) / high).cast("long")
+
+    def cells(belt: Column) -> Column:
+        """Cells of a belt: as wide as the distance at the end that is nearest to a pole, of it or the belts beside it."""
+        low, top = (belt - 1) * high - 90, (belt + 2) * high - 90
+        edge = F.radians(F.greatest(F.abs(low), F.abs(top)))
+        wide = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(min(angle, math.pi / 2))) / F.cos(edge))))
+        return F.when((edge + angle >= math.pi / 2) | (angle >= math.pi / 2), 1).otherwise(F.greatest(F.lit(1), F.floor(360 / (wide * (1 + 1e-9))))).cast("long")
+
+    turn = lambda lon: F.pmod(F.col(lon) + 180, F.lit(360.0))
+    cell = lambda lon, n: F.least(F.floor(turn(lon) * n / 360), n - 1).cast("long")
+    p = places.filter("lat is not null and lon is not null").select(F.col(row).alias("x"), "lat", "lon").withColumn("own", belt_of("lat"))
+    a = p.select("x", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "own", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("belt")).withColumn("n", cells(F.col("belt")))
+    here = cell("lon1", F.col("n"))
+    a = a.withColumn("cell", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(here + k, F.col("n"))))))
+    b = p.select(F.col("x").alias("y"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("own").alias("belt"), cell("lon", cells(F.col("own"))).alias("cell"))
+    near = a.join(b, ["belt", "cell"]).filter((F.col("own") < F.col("belt")) | (F.col("x") < F.col("y")))
     first = F.col("x") < F.col("y")
     side = lambda u, v: F.when(first, F.col(u)).otherwise(F.col(v))
     far = haversine_km(side("lat1", "lat2"), side("lon1", "lon2"), side("lat2", "lat1"), side("lon2", "lon1"), radius)
