@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casewright.functions.measures import micros
+from casewright.storage import stored
 
 _BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -119,9 +120,15 @@ class Tables:
 
     @cached_property
     def call(self) -> DataFrame:
-        nxt = F.lead("user_id").over(Window.partitionBy("event_type").orderBy("us", "event_id"))
-        return self.ev.select(
-            F.col("event_id").alias("call_id"), F.col("user_id").alias("caller"), nxt.alias("callee"), "us", "ts", F.col("event_type").alias("tower"), F.col("value").alias("secs"), F.col("k").alias("imei")
+        """Events are dealt by ranges of type and time; the last one of a type in a range is followed by the first one in a later range (a row for each type and range)."""
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = stored(self.ev.repartitionByRange(parts, "event_type", "us", "event_id").withColumn("part", F.spark_partition_id()), "calls")
+        first = dealt.groupBy("event_type", "part").agg(F.min_by("user_id", F.struct("us", "event_id")).alias("first"))
+        beyond = first.select("event_type", "part", F.struct(F.lead("first").over(Window.partitionBy("event_type").orderBy("part")).alias("user")).alias("beyond"))
+        inside = F.lead(F.struct(F.col("user_id").alias("user"))).over(Window.partitionBy("part", "event_type").orderBy("us", "event_id"))
+        called = dealt.withColumn("next", inside).join(F.broadcast(beyond), ["event_type", "part"])
+        return called.select(
+            F.col("event_id").alias("call_id"), F.col("user_id").alias("caller"), F.coalesce("next", "beyond")["user"].alias("callee"), "us", "ts", F.col("event_type").alias("tower"), F.col("value").alias("secs"), F.col("k").alias("imei")
         )
 
     @cached_property
