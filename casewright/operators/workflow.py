@@ -109,6 +109,11 @@ def process(jobs: ChangingTable, candidates: ChangingTable, worker: str, documen
     return claimed
 
 
+def clear(table: ChangingTable, batch: str) -> int:
+    """Takes all rows out of a table; earlier versions stay readable."""
+    return table.put(table.read().limit(0), batch, kind="base")
+
+
 def snapshot(snapshots: ChangingTable, sections: dict[str, DataFrame], cases: DataFrame, batch: str) -> int:
     """Keeps the rows (case_id, id and others) of each section, for each of ``cases`` (case_id), under the next number of the case. A snapshot is never changed."""
 

@@ -222,3 +222,16 @@ def _(t: Tables) -> DataFrame:
     content = F.when(F.col("c_custkey") % 9 == 0, F.concat(F.encode(text, "utf-8"), F.unhex(F.lit("FF")))).otherwise(F.encode(text, "utf-8"))
     found = quoted.csv_documents(t.customer.select(F.col("c_custkey").alias("id"), content.alias("content")), "id", "content")
     return found.select("id", "row_no", F.element_at("cells", "who").alias("who"), "problem")
+
+
+@query("snk03_cleared_sources", "select 'entity' as source, count(*) as before, 0::bigint as after, count(*) filter (case_id = 1) as again from entity union all select 'relation', count(*), 0, count(*) filter (case_id = 1) from relation")
+def _(t: Tables) -> DataFrame:
+    """Rows of two sources before they are cleared, after, and after one case has been put again."""
+    out = None
+    for name, rows in (("entity", t.entity.select("id", "case_id")), ("relation", t.relation.select("id", "case_id"))):
+        table = _table(t, name, "id long, case_id long", "id")
+        numbers = [table.put(rows, "all"), wf.clear(table, "clear"), table.put(rows.filter("case_id = 1"), "again")]
+        counts = [table.read(n).agg(F.count("*").alias(c)) for n, c in zip(numbers, ("before", "after", "again"), strict=True)]
+        one = counts[0].join(counts[1]).join(counts[2]).select(F.lit(name).alias("source"), "before", "after", "again")  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
