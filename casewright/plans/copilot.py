@@ -317,7 +317,7 @@ def _places_sql(scope: str) -> str:
     return (
         f"pw as ({said} union all {rest}), pk as (select {shape}, {_NORM.format('name')} as key from pw where trim(name) <> ''), "
         f"pm as (select {scope}, key, arg_min(name, (source, name)) as name, min(entity_id) as entity_id, min(case when location_id is not null then (source, location_id) end) as own, count(distinct claim) as claims, list_sort(list(distinct claim) filter (claim is not null))[1:3] as said from pk group by 1, 2), "
-        f"pl as (select pm.*, place.id as location_id, place.lat::double as lat, place.lon::double as lon from pm left join place on place.id = own[2]), "
+        f"pl as (select pm.*, own[2] as location_id, place.lat::double as lat, place.lon::double as lon from pm left join place on place.id = own[2]), "
         f"px as (select *, (.5 + .5 * count(*) filter (lat is not null and lon is not null) over (partition by {scope}) / count(*) over (partition by {scope}))::double as confidence, row_number() over (partition by {scope} order by claims desc, lower(name), key) as r, "
         "list_concat(case when location_id is not null then ['location:' || location_id] when entity_id is not null then ['entity:' || entity_id] else [] end, list_transform(coalesce(said, []), lambda c: 'claim:' || c)) as citations from pl)"
     )
@@ -425,7 +425,7 @@ def _(t: Tables) -> DataFrame:
     return ask(f"How is {_name(t, hub)} connected to {_name(t, _second(t, hub))}?", _case(t))
 
 
-@query("da27_neighbourhood", f"with {_NAMED} hb as (select 0 as case_id, id as subject from hu), {_NEAR.partition(', ')[2]} select r as place, name as label, distance::double as value, ['entity:' || id] as citations, confidence from nr where r <= 10")
+@query("da27_neighbourhood", f"with {_NAMED} hb as (select 0 as case_id, id as subject from hu), {_NEAR[_NEAR.index('n1 as'):]} select r as place, name as label, distance::double as value, ['entity:' || id] as citations, confidence from nr where r <= 10")
 def _(t: Tables) -> DataFrame:
     return ask(f"Who is connected to {_name(t, _hub(t))}?", _case(t))
 
