@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import gzip
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 from hashlib import sha256
 from uuid import uuid4
 
@@ -26,6 +28,8 @@ from casewright.llm.common import scratch, small_batches, stored
 LEAST_BYTES = 100
 #: Uncompressed bytes of an archive.
 ARCHIVE_BYTES = 64 << 20
+#: Pages that a Parquet reader holds at once.
+READ_ROWS = 64
 #: Runs that one loser tree merges at once.
 FAN_IN = 256
 _INDEX = pa.schema([
@@ -79,6 +83,18 @@ def record(page: int | None, url: str | None, captured: str, payload: bytes, dig
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+@contextmanager
+def _few_rows_read(spark: SparkSession) -> Iterator[None]:
+    """Within it Parquet is read READ_ROWS rows at a time at most, so that an executor's memory follows a few pages and not 4096."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(READ_ROWS, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _write(folder: str):
     def written(batches):
         fs, base = _file_system(folder)
@@ -124,13 +140,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     fs.create_dir(base, recursive=True)
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
-    digest = F.sha2(F.encode("html", "utf-8"), 256).alias("digest")
+    digest = F.sha2(F.col("html").cast("binary"), 256).alias("digest")  # not encode(), which makes a Java string of each page and its bytes again
     large = rows.filter((F.octet_length("html") >= LEAST_BYTES) & F.col("page_id").isNotNull()).select("page_id", digest)
-    # stored, so that both sides of the join are plain exchanges and a payload of very many pages can be split
-    first = stored(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"), "first")
     captured = F.date_format(F.timestamp_seconds(F.lit(1577836800) + F.coalesce(F.pmod("page_id", F.lit(1 << 31)), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    full = rows.select("*", digest).join(first, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first")))
-    return stored(full.select("page_id", "url", captured.alias("captured"), "html", "digest", "refers_to").mapInArrow(_write(folder), "archive string"), "archives")
+    with _few_rows_read(pages.sparkSession):
+        # stored, so that both sides of the join are plain exchanges and a payload of very many pages can be split
+        first = stored(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"), "first")
+        full = rows.select("*", digest).join(first, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first")))
+        return stored(full.select("page_id", "url", captured.alias("captured"), "html", "digest", "refers_to").mapInArrow(_write(folder), "archive string"), "archives")
 
 
 def members(stream):
@@ -298,8 +315,9 @@ def capture_histories(spark: SparkSession, folder: str, archives: DataFrame, ran
     """The merged index: url_key, captured, page_id, url, payload_bytes, payload_digest, record_type, refers_to, archive, offset, length, range_no, place.
 
     Rows are in global order by (range_no, place): URL key, timestamp, id (null first), archive, offset. Payloads are read
-    back and held against their digests. A URL that holds many captures is cut by timestamp and id, so no range follows
-    one key; records that repeat an id and a payload are lines of their own. Without archives there are no rows.
+    back and held against their digests. There are at most ``ranges`` ranges (by default the lesser of archives and shuffle
+    partitions). A URL that holds many captures is cut by timestamp and id, so no range follows one key; records that
+    repeat an id and a payload are lines of their own. Without archives there are no rows.
     """
     runs = scratch(spark, "runs")
     fs, base = _file_system(runs)
@@ -316,7 +334,9 @@ def capture_histories(spark: SparkSession, folder: str, archives: DataFrame, ran
     place = ["url_key", "captured", "page_id"]
     known = keys.select("url_key", "captured", F.coalesce("page_id", F.lit(-(1 << 63))).alias("page_id"))
     firsts = known.repartitionByRange(ranges, *place).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*place)).alias("x")).collect()
-    cuts = sorted({tuple(r["x"]) for r in firsts})[1:]
+    # a session may deal keys to more partitions than asked for; each range opens every run, so no more ranges than asked for
+    cuts = sorted({tuple(r["x"]) for r in firsts})
+    cuts = [cuts[len(cuts) * i // ranges] for i in range(1, ranges)] if len(cuts) > ranges else cuts[1:]
     rows = [(a, b, no) for no, (a, b) in enumerate(zip([None, *cuts], [*cuts, None], strict=True))]
     key = "struct<url_key: string, captured: bigint, page_id: bigint>"
     tasks = spark.createDataFrame(rows, f"low {key}, high {key}, no long").repartitionByRange(len(rows), "no")

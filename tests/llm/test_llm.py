@@ -381,6 +381,38 @@ def test_warc_round_trip(spark, monkeypatch, fan_in):
     assert warc.url_key("http://WWW.Host.example.com:80/a#x") == "com,example,host)/a"
 
 
+def test_warc_ranges_where_keys_are_dealt_to_more_partitions(spark, monkeypatch):
+    from casewright.llm.common import scratch
+
+    rows = [(i, f"http://x{i % 2}.org/{i % 9}", f"<p>{i % 50}" + "text " * 30) for i in range(400)]
+    folder = scratch(spark, "test-archives")
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), folder)
+    frame = type(archives)
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *cols, f=frame.repartitionByRange: f(self, max(n, 31), *cols))
+    plain = None
+    for ranges in (4, 1, 3, None):
+        got = sorted(warc.capture_histories(spark, folder, archives, ranges).collect(), key=lambda r: (r.range_no, r.place))
+        assert {r.range_no for r in got} == set(range(ranges or 3))
+        assert [(r.url_key, r.captured, r.page_id) for r in got] == sorted((r.url_key, r.captured, r.page_id) for r in got)
+        found = sorted((r.page_id, r.url, r.payload_digest, r.record_type, r.refers_to) for r in got)
+        plain = plain or sorted((i, u, hashlib.sha256(h.encode()).hexdigest(), "revisit" if i >= 50 else "response", i % 50 if i >= 50 else -1) for i, u, h in rows)
+        assert [(*r[:4], -1 if r[4] is None else r[4]) for r in found] == plain
+
+
+def test_warc_reads_few_pages_at_once(spark, monkeypatch, tmp_path):
+    from casewright.llm.common import scratch, stored
+
+    key, seen = "spark.sql.parquet.columnarReaderBatchSize", []
+    before = spark.conf.get(key)
+    monkeypatch.setattr(warc, "stored", lambda df, tag: (seen.append(int(spark.conf.get(key))), stored(df, tag))[1])
+    spark.createDataFrame([(i, "http://x.org", f"{i % 300} " + "text " * 40) for i in range(1000)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages")
+    folder = scratch(spark, "test-archives")
+    archives = warc.write_archives(spark.read.parquet(f"{tmp_path}/pages"), folder)
+    assert len(seen) == 2 and max(seen) <= warc.READ_ROWS and spark.conf.get(key) == before
+    got = {r.page_id: r.refers_to for r in warc.capture_histories(spark, folder, archives).collect()}
+    assert got == {i: i % 300 if i >= 300 else None for i in range(1000)}
+
+
 def test_no_pages(spark):
     from casewright.llm.common import scratch
 
