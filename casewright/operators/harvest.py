@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions import stamps
 from casewright.functions import text as x
+from casewright.storage import stored
 
 # --- fixed values: labels, titles, endings and patterns that decide what is found ------------------------------------
 ROLES = {
@@ -76,7 +77,10 @@ def found_in_lines(lines: DataFrame, not_names: list[str] = NOT_NAMES, place_wor
     titled = F.filter(F.transform(every(rf"\b(?:{TITLES})\.?\s+([A-Z][a-z'’-]+(?:\s+[A-Z][a-z'’-]+){{0,2}})", 1), _plain), lambda n: like(n) | n.rlike(r"^[A-Z][a-z]+\s+[A-Z][a-z]+"))
     ending = "|".join(ORGANISATION_ENDINGS)
     bare = F.filter(every(r"\b([A-Z][a-z'’-]{2,}(?:\s+[A-Z][a-z'’-]{2,}){1,2})\b", 1), lambda n: like(n) & ~n.rlike(f"(?:{ending})$"))
-    named = F.flatten(F.array(*[every(rf"\b((?:[A-Z][A-Za-z'’.&-]*\s+){{0,3}}{e})\b", 1) for e in ORGANISATION_ENDINGS]))
+    # a name that is kept has a blank before its ending; few lines hold that, so each ending's pattern is tried only on lines in which it stands
+    none = F.array().cast("array<string>")
+    ended = lambda e: F.when(F.contains("line", F.lit(f" {e}")), every(rf"\b((?:[A-Z][A-Za-z'’.&-]*\s+){{0,3}}{e})\b", 1)).otherwise(none)
+    named = F.when(F.col("line").rlike(f" (?:{ending})"), F.flatten(F.array(*[ended(e) for e in ORGANISATION_ENDINGS]))).otherwise(none)
     named = F.filter(named, lambda n: F.contains(n, F.lit(" ")) & ~F.lower(n).isin(*[e.lower() for e in ORGANISATION_ENDINGS]))
     phone = F.transform(every(PHONE), lambda n: F.concat_ws(" ", F.lit("+91"), F.left(x.phone(n), F.lit(5)), F.right(x.phone(n), F.lit(5))))
     address = F.when(F.col("label").isin(*PLACE_LABELS) & (F.length("value") > 3), F.array(some("address", "Address in record")(F.left("value", F.lit(80)))))
@@ -92,10 +96,11 @@ def found_in_lines(lines: DataFrame, not_names: list[str] = NOT_NAMES, place_wor
 
 def candidates(found: DataFrame) -> DataFrame:
     """(document, key, kind, name, role, mentions, first_line): each thing a document names, as at its first place. A person whose name begins the name of an organisation of the document is none."""
-    each = found.select("document", "line_no", "line", F.posexplode("found").alias("seq", "f")).select("document", "line_no", "line", "seq", "f.*")
+    # with posexplode Spark would ask for found's size before, and search the line once more for it
+    each = found.select("document", "line_no", "line", F.posexplode_outer("found").alias("seq", "f")).filter("seq is not null").select("document", "line_no", "line", "seq", "f.*")
     first = F.min(F.struct("line_no", "seq", "name", "role", "line")).alias("first")
     all_ = each.groupBy("document", "key", "kind").agg(first, F.count("*").alias("mentions"))
-    all_ = all_.select("document", "key", "kind", F.col("first.name").alias("name"), F.col("first.role").alias("role"), "mentions", F.col("first.line").alias("first_line"))
+    all_ = stored(all_.select("document", "key", "kind", F.col("first.name").alias("name"), F.col("first.role").alias("role"), "mentions", F.col("first.line").alias("first_line")), "candidates")
     words = F.split(F.lower("name"), " ")
     beginnings = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda n: F.array_join(F.slice(words, 1, n), " "))
     taken = all_.filter((F.col("kind") == "organization") & (F.size(words) > 1)).select("document", F.explode(beginnings).alias("begin")).distinct()
@@ -121,7 +126,7 @@ def named_together(found: DataFrame) -> DataFrame:
     inside = F.flatten(F.transform("keys", lambda a, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     owner = F.when(F.col("person").isNull() & F.col("subject").isNotNull(), F.transform("owned", lambda k: F.struct(F.least(k, "subject").alias("a"), F.greatest(k, "subject").alias("b"))))
     pairs = F.array_distinct(F.concat(inside, F.coalesce(owner, F.array().cast("array<struct<a:string,b:string>>"))))
-    return df.select("document", F.explode(pairs).alias("p")).groupBy("document", "p.a", "p.b").agg(F.count("*").alias("count"))
+    return df.select("document", F.explode_outer(pairs).alias("p")).filter("p is not null").groupBy("document", "p.a", "p.b").agg(F.count("*").alias("count"))
 
 
 def dated_events(lines: DataFrame) -> DataFrame:

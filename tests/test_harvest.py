@@ -80,3 +80,29 @@ def test_counts(spark):
     before, after = spark.createDataFrame([(1, "x"), (2, None), (3, "y")], empty.schema), spark.createDataFrame([(2, "z"), (3, "y"), (4, None)], empty.schema)
     got = {r["section"]: tuple(r)[1:] for r in counts.section_changes({"s": before, "t": empty}, {"s": after, "t": empty}, {"s": ["v"], "t": ["v"]}).collect()}
     assert got == {"s": (1, 1, 1), "t": (0, 0, 0)}
+
+
+def test_lines_are_searched_once_and_by_all_tasks(spark, lines, monkeypatch):
+    from casewright.plans import harvest as plan
+    from casewright.plans.standin import Tables
+
+    assert plan._lines(Tables(spark, "/root/testdata/sf0.001")).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plans, real = [], h.stored
+    monkeypatch.setattr(h, "stored", lambda df, tag: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, tag))
+    h.candidates(h.found_in_lines(lines)).collect()
+    assert [p.count("MH|DL|KA") for p in plans] == [1]
+
+
+def test_organisations_by_ending(spark):
+    """The patterns of the endings, tried on every line by Python's re."""
+    import re
+
+    texts = ["Satara Police Station and Police Station", "Junior College", "Vidya Junior  College, Rao Café", "xBank Rao Bank. Old Bank", "Hospital", "St. Mary's Nursing Home Trust", "a Mall", "City\tMall", "Big Stores Store", "Storeroom Depot Xdepot", "Pvt Ltd", "Acme Pvt Ltd Club"]
+    df = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "document long, line_no int, line string")
+    got = {r["document"]: sorted(f["name"] for f in r["found"] if f["kind"] == "organization") for r in h.found_in_lines(df).collect()}
+    low = {e.lower() for e in h.ORGANISATION_ENDINGS}
+    for k, t in enumerate(texts):
+        t = re.sub(r"\s+", " ", t).strip()
+        want = [n for e in h.ORGANISATION_ENDINGS for n in re.findall(rf"\b((?:[A-Z][A-Za-z'’.&-]*\s+){{0,3}}{e})\b", t) if " " in n and n.lower() not in low]
+        assert got[k] == sorted(want)
+    assert sum(map(len, got.values())) >= 10
