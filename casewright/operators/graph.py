@@ -6,6 +6,7 @@ sources of a connected component; modularity communities and articulation points
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from functools import reduce
 from heapq import heapify, heappop, heappush
@@ -21,8 +22,10 @@ from casewright.storage import stored
 
 #: Rounds between looks at how far scores still move.
 _EVERY = 10
-#: Up to so many links, counted first, a power iteration runs in one task; beyond, each round is a join.
+#: Up to so many links, counted first, a power iteration runs in one task; beyond, so does that of each component of up to so many, and of larger ones each round is a join.
 LOCAL_LINKS = 200_000
+#: Links of the components that a task takes together, about.
+BATCH_LINKS = 20_000
 
 
 def both_ways(links: DataFrame) -> DataFrame:
@@ -96,43 +99,116 @@ def _weighted(links: DataFrame) -> DataFrame:
     return links.select("a", "b", (F.col("weight").cast("double") if "weight" in links.columns else F.lit(1.0)).alias("weight"))
 
 
-def pagerank(links: DataFrame, vertices: DataFrame | None = None, rounds: int = 100, alpha: float = 0.85, tolerance: float = 1e-10) -> DataFrame:
-    """(id, pagerank): weighted power iteration until the ranks move by less than ``tolerance`` together. The rank of nodes without links is dealt to all."""
+def _by_size(links: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b, weight) of components of up to LOCAL_LINKS links, with component and batch (a task's components), and links (a, b, weight) of larger ones."""
+    of = stored(links.join(label.toDF("a", "component"), "a").select("a", "b", "weight", "component"), "labelled")
+    large = stored(of.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > LOCAL_LINKS).select("component"), "large")
+    batches = of.count() // BATCH_LINKS + 1
+    return of.join(large, "component", "left_anti").withColumn("batch", F.pmod(F.xxhash64("component"), F.lit(batches))), of.join(large, "component", "left_semi").select("a", "b", "weight")
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    return links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+
+
+def _arcs(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the nodes, the component of each (0, 1, ...), and source, target and weight of the links both ways."""
+    ids, ends = np.unique(np.concatenate([p["a"], p["b"]]), return_inverse=True)
+    a, b = ends[: len(p)], ends[len(p) :]
+    part = np.zeros(len(ids), dtype="int64")
+    part[a] = np.unique(p["component"], return_inverse=True)[1]
+    part[b] = part[a]
+    return ids, part, np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([p["weight"], p["weight"]])
+
+
+def pagerank(links: DataFrame, vertices: DataFrame | None = None, rounds: int = 100, alpha: float = 0.85, tolerance: float = 1e-10, label: DataFrame | None = None) -> DataFrame:
+    """(id, pagerank): weighted power iteration until the ranks move by less than ``tolerance`` together. The rank of nodes without links is dealt to all.
+
+    What each node gets without links depends on the numbers of nodes with and without links only, so components don't
+    meet: batches of them are tasks, and only components of more than LOCAL_LINKS links take a join a round. ``label`` is ``components(links)`` if that is known.
+    """
     links = stored(_weighted(links), "links")
     nodes = stored(_nodes(links, vertices), "nodes")
     if links.count() <= LOCAL_LINKS and nodes.count() <= LOCAL_LINKS:
         return _in_one_task(links, nodes, "pagerank", _power(rounds, tolerance, alpha))
-    e = both_ways(links)
-    out = stored(e.groupBy("src").agg(F.sum("weight").alias("total")), "out")
-    e = stored(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "shares")
-    n = nodes.count()
-    x = stored(nodes.join(out.select(F.col("src").alias("id"), F.lit(True).alias("linked")), "id", "left").select("id", F.col("linked").isNull().alias("alone"), F.lit(1.0 / n).alias("x")), "ranks")
-    for k in range(1, rounds + 1):
-        last = x
-        lost = F.broadcast(last.agg(F.coalesce(F.sum(F.when(F.col("alone"), F.col("x"))), F.lit(0.0)).alias("lost")))  # one row
-        came = e.join(last, e.src == last.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("share")).alias("came"))
-        x = last.select("id", "alone").join(came, "id", "left").join(lost).select("id", "alone", ((1 - alpha + alpha * F.col("lost")) / n + alpha * F.coalesce("came", F.lit(0.0))).alias("x"))
-        x = stored(x, "ranks")  # read several times in the next round
-        if k % _EVERY == 0 and _moved(x.select("id", "x"), last.select("id", "x")) < tolerance:
-            break
-    return x.select("id", F.col("x").alias("pagerank"))
+    heavy = links.filter("weight > 0")
+    label = stored(components(heavy), "components") if label is None else label.join(_ends(heavy), "id", "left_semi")
+    n, alone = nodes.count(), nodes.join(label, "id", "left_anti").select("id")
+    lost, base = alone.count(), [1.0 / max(1, n)]
+    for _ in range(rounds):
+        base.append((1 - alpha + alpha * lost * base[-1]) / max(1, n))
+
+    def work(p: pd.DataFrame) -> pd.DataFrame:
+        ids, _, src, dst, w = _arcs(p)
+        share = w / np.bincount(src, w, len(ids))[src]
+        x = np.full(len(ids), base[0])
+        for k in range(1, rounds + 1):
+            last, x = x, base[k] + alpha * np.bincount(dst, x[src] * share, len(ids))
+            if np.abs(x - last).sum() < tolerance * len(ids) / n:
+                break
+        return pd.DataFrame({"id": ids, "x": x})
+
+    small, large = _by_size(heavy, label)
+    ranks = stored(small.groupBy("batch").applyInPandas(lambda p: work(p), "id long, x double"), "ranks").unionByName(alone.withColumn("x", F.lit(base[-1])))
+    if large.limit(1).count():
+        e = both_ways(large)
+        e = stored(e.join(e.groupBy("src").agg(F.sum("weight").alias("total")), "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "shares")
+        x = stored(_ends(large).withColumn("x", F.lit(base[0])), "ranks")
+        for k in range(1, rounds + 1):
+            came = e.join(x, e.src == x.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("share")).alias("came"))
+            last, x = x, stored(came.select("id", (F.lit(base[k]) + alpha * F.col("came")).alias("x")), "ranks")  # read several times in the next round
+            if k % _EVERY == 0 and _moved(x, last) < tolerance:
+                break
+        ranks = ranks.unionByName(x)
+    return ranks.select("id", F.col("x").alias("pagerank"))
 
 
-def eigenvector(links: DataFrame, vertices: DataFrame | None = None, rounds: int = 1000, tolerance: float = 1e-10) -> DataFrame:
-    """(id, eigenvector): weighted power iteration of length 1, shifted by the identity, until it moves by less than ``tolerance``; 0 in the limit for nodes outside the component that dominates."""
+def eigenvector(links: DataFrame, vertices: DataFrame | None = None, rounds: int = 1000, tolerance: float = 1e-10, label: DataFrame | None = None) -> DataFrame:
+    """(id, eigenvector): weighted power iteration of length 1, shifted by the identity, until it moves by less than ``tolerance``; 0 in the limit for nodes outside the component that dominates.
+
+    Components don't meet but for the length, so each keeps a vector of length 1 and the logarithm of what it has grown by:
+    batches of components are tasks, and only components of more than LOCAL_LINKS links take a join a round. ``label`` is ``components(links)`` if that is known.
+    """
     links = stored(_weighted(links), "links")
     nodes = stored(_nodes(links, vertices), "nodes")
     if links.count() <= LOCAL_LINKS and nodes.count() <= LOCAL_LINKS:
         return _in_one_task(links, nodes, "eigenvector", _power(rounds, tolerance, None))
-    e = stored(both_ways(links), "links")
-    x = nodes.withColumn("x", F.lit(1.0 / max(1, nodes.count())))
-    for k in range(1, rounds + 1):
-        came = e.join(x, e.src == x.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("weight")).alias("came"))
-        last, x = x, stored(x.join(came, "id", "left").select("id", (F.col("x") + F.coalesce("came", F.lit(0.0))).alias("x")), "vector")
-        x = x.select("id", (F.col("x") / F.lit(x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0)).alias("x"))
-        if k % _EVERY == 0 and _moved(x, last) < tolerance:
-            break
-    return x.withColumnRenamed("x", "eigenvector")
+
+    def work(p: pd.DataFrame) -> pd.DataFrame:
+        ids, part, src, dst, w = _arcs(p)
+        size = np.bincount(part)
+        x, grown = 1 / np.sqrt(size)[part], np.log(size) / 2
+        for k in range(1, rounds + 1):
+            last, x = x, x + np.bincount(dst, x[src] * w, len(ids))
+            norm = np.sqrt(np.bincount(part, x * x))
+            x, grown = x / norm[part], grown + np.log(norm)
+            if np.abs(x - last).max() < 1e-15:
+                grown += (rounds - k) * np.log(norm)
+                break
+        return pd.DataFrame({"id": ids, "x": x, "grown": grown[part]})
+
+    label = stored(components(links), "components") if label is None else label
+    small, large = _by_size(links, label)
+    alone = nodes.join(label, "id", "left_anti").select("id", F.lit(1.0).alias("x"), F.lit(0.0).alias("grown"))
+    vector = stored(small.groupBy("batch").applyInPandas(lambda p: work(p), "id long, x double, grown double"), "vector").unionByName(alone)
+    if large.limit(1).count():
+        e = stored(both_ways(large), "links")
+        x = stored(_ends(large), "nodes")
+        n = x.count()
+        x, grown = x.withColumn("x", F.lit(1 / math.sqrt(n))), math.log(n) / 2
+        for k in range(1, rounds + 1):
+            came = e.join(x, e.src == x.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("weight")).alias("came"))
+            last, x = x, stored(x.join(came, "id").select("id", (F.col("x") + F.col("came")).alias("x")), "vector")
+            norm = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
+            x, grown = x.select("id", (F.col("x") / F.lit(norm)).alias("x")), grown + math.log(norm)
+            if k % _EVERY == 0 and _moved(x, last) < tolerance:
+                grown += (rounds - k) * math.log(norm)
+                break
+        vector = vector.unionByName(x.withColumn("grown", F.lit(grown)))
+    most = vector.agg(F.max("grown")).first()[0] or 0.0
+    x = F.col("x") * F.exp(F.col("grown") - F.lit(most))
+    length = vector.agg(F.sqrt(F.sum(x * x))).first()[0] or 1.0
+    return vector.select("id", (x / F.lit(length)).alias("eigenvector"))
 
 
 def by_component(links: DataFrame, work, schema: str) -> DataFrame:
@@ -180,14 +256,14 @@ def _betweenness(p: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "raw": score})
 
 
-def betweenness(links: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+def betweenness(links: DataFrame, vertices: DataFrame | None = None, label: DataFrame | None = None) -> DataFrame:
     """(id, betweenness): share of shortest paths through a node, links count 1, scaled by (n - 1)(n - 2) of all nodes.
 
     A component's sources are dealt to tasks in batches, each with the component's links; nodes without links have 0.
     """
     links = stored(links.select("a", "b"), "links")
     nodes = stored(_nodes(links, vertices), "nodes")
-    label = components(links)
+    label = components(links) if label is None else label
     batches = label.groupBy("component").agg(F.ceil(F.count("*") / SOURCES).cast("int").alias("batches"))
     dealt = links.join(label.withColumnRenamed("id", "a"), "a").join(batches, "component").withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)))
     raw = dealt.groupBy("component", "batch").applyInPandas(lambda p: _betweenness(p), "id long, raw double").groupBy("id").agg(F.sum("raw").alias("raw"))
@@ -318,7 +394,8 @@ def influence(links: DataFrame, prior: DataFrame, assigned: DataFrame, vertices:
     links = stored(_weighted(links), "links")
     nodes = stored(_nodes(links, vertices), "nodes")
     degree = both_ways(links).groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("degree"))
-    tables = [betweenness(links, nodes) if between is None else between, pagerank(links, nodes), eigenvector(links, nodes), foreign_communities(links, assigned), degree, prior.select("id", F.col("prior").cast("double").alias("prior"))]
+    label = components(links)
+    tables = [betweenness(links, nodes, label) if between is None else between, pagerank(links, nodes, label=label), eigenvector(links, nodes, label=label), foreign_communities(links, assigned), degree, prior.select("id", F.col("prior").cast("double").alias("prior"))]
     parts = reduce(lambda x, y: x.join(y, "id", "left"), tables, nodes)
     parts = stored(parts.select("id", *[F.coalesce(F.col(k).cast("double"), F.lit(0.0)).alias(k) for k in config.INFLUENCE_WEIGHTS]), "parts")
     w = config.INFLUENCE_WEIGHTS

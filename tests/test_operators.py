@@ -272,6 +272,26 @@ def test_power_iterations_agree(spark, monkeypatch):
         assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-12 for a, b in zip(x, y, strict=True))
 
 
+def test_small_components_take_no_join_a_round(spark, monkeypatch):
+    """More links than one task takes, in components of 3 to 9 links and one that is larger than LOCAL_LINKS."""
+    rng, rows = random.Random(5), []
+    for k in range(12):
+        rows += sorted({tuple(sorted(rng.sample(range(20 * k, 20 * k + 6), 2))) for _ in range(9)})
+    large = [(900, 900 + k) for k in range(1, 15)] + [(901, 902), (903, 910)]
+    alone = spark.createDataFrame([(5000,), (5001,)], "id long")
+    weighted = lambda r: links(spark, r).withColumn("weight", F.col("a") % 3 + 0.5 * (F.col("b") % 4) + 1)
+    both = lambda e: [ids(f(e, alone, rounds=5), "id", c) for f, c in ((gr.pagerank, "pagerank"), (gr.eigenvector, "eigenvector"))]
+    near = both(weighted(rows)), both(weighted(rows + large))
+    monkeypatch.setattr(gr, "LOCAL_LINKS", 12)
+    monkeypatch.setattr(gr, "BATCH_LINKS", 20)
+    count, real = [], gr.stored
+    monkeypatch.setattr(gr, "stored", lambda df, tag: count.append(tag) or real(df, tag))
+    small = both(weighted(rows))
+    assert count.count("ranks") == 1 == count.count("vector")
+    for x, y in zip((*near[0], *near[1]), (*small, *both(weighted(rows + large))), strict=True):
+        assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-11 for a, b in zip(x, y, strict=True))
+
+
 def test_removal_of_evidence(spark):
     from casewright.operators import whatif
 
