@@ -82,9 +82,8 @@ def _findings(t: dict[str, DataFrame]) -> DataFrame:
     p = j.band_pairs(ev, ["user_id", "event_type"], "us", 15 * _MIN, "event_id", ["k"]).filter("a_k != b_k")
     soon = F.abs(F.col("a_us") - F.col("b_us")) <= 5 * _MIN
     said = p.select(F.lit("contradiction").alias("kind"), F.col("a_event_id").alias("a"), F.col("b_event_id").alias("b"), F.when(soon, "HIGH").otherwise("MEDIUM").alias("grade"))
-    met = d.co_location(ev, "user_id", "event_type", "us", "event_id", 5 * _MIN, 2, 2).select(F.lit("co-location").alias("kind"), F.col("u").alias("a"), F.col("v").alias("b"), F.col("n").cast("string").alias("grade"))
     who = d.value_conflicts(ev, ["user_id"], "k").select(F.lit("identity").alias("kind"), F.col("user_id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("n").cast("string").alias("grade"))
-    return said.unionByName(met).unionByName(who)
+    return said.unionByName(who)
 
 
 @query(
@@ -95,7 +94,11 @@ def _findings(t: dict[str, DataFrame]) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     """Contradictions, meetings and conflicting identities again, without the records of one source."""
-    return whatif.counterfactual({"events": t.ev}, {"events": F.col("k") % 10 == 0}, _findings, ["kind", "a", "b"], ["grade"])
+    gone = F.col("k") % 10 == 0
+    met = d.co_location_again(t.ev, "user_id", "event_type", "us", "event_id", 5 * _MIN, 2, 2, gone)
+    status = F.when(F.col("n").isNull(), "added").when(F.col("n_again").isNull(), "removed").when(F.col("n") != F.col("n_again"), "changed").otherwise("same")
+    met = met.select(F.lit("co-location").alias("kind"), F.col("u").alias("a"), F.col("v").alias("b"), status.alias("status"))
+    return whatif.counterfactual({"events": t.ev}, {"events": gone}, _findings, ["kind", "a", "b"], ["grade"]).unionByName(met)
 
 
 @query(
