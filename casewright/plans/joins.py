@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from casewright.functions import measures as m
 from casewright.functions import text as x
+from casewright.operators import blocks
 from casewright.operators import joins as j
 from casewright.plans.registry import query
 from casewright.plans.scalars import _skeleton_sql
 from casewright.plans.standin import Tables
+from casewright.storage import stored
 
 _MIN = 60_000_000
 
@@ -47,7 +49,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("jn04_shared_device", "with d as (select distinct imei, caller from call where imei is not null) select a.caller as a, b.caller as b, count(*) as devices from d a join d b on a.imei = b.imei and a.caller < b.caller group by 1, 2")
 def _(t: Tables) -> DataFrame:
-    d = t.call.filter("imei is not null").select("imei", "caller").distinct()
+    d = stored(t.call.filter("imei is not null and caller is not null").select("imei", "caller").distinct(), "devices")
+    held = d.groupBy("imei").agg(F.count("*").alias("n")).agg(F.sum(F.col("n").cast("double") * F.col("n")) / 2).first()[0] or 0
+    if held > blocks.FEW_PAIRS:
+        many, n = blocks.number_of_blocks(d, "caller")
+        if blocks.worth(held, many, n):
+            met = blocks.shared_items(d.select(F.col("caller").alias("who"), F.col("imei").cast("long").alias("item")), many)
+            return met.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("n").alias("devices"))
     pairs = d.withColumnRenamed("caller", "a").join(d.withColumnRenamed("caller", "b"), "imei").filter("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("devices"))
 
