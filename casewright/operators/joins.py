@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions.measures import haversine_km
@@ -53,6 +53,34 @@ def preceding(left: DataFrame, right: DataFrame, key: str, at: str, tolerance: f
     return left.join(best, left[row] == best["_row"], "left").drop("_row")
 
 
+#: Ids of more blocks than this are joined; a set of so many has 2 to that power subsets.
+MOST_BLOCKS = 6
+
+
+def sharing_after(blocks: DataFrame) -> DataFrame:
+    """(a, n): how many larger ids share a block with each id, ids without one left out; ``blocks`` is (id, block), and an id may have several.
+
+    Ids that share any of a's blocks are those that have one of them, less those that have two of them, and so on, so larger
+    ids are counted by sets of blocks and no pair is made. Sets are dealt by ranges of set and id, so a common block is cut
+    by ids. Only ids of more than MOST_BLOCKS blocks meet the others by a join.
+    """
+    k = stored(blocks.select("id", "block").dropna().distinct(), "blocked")
+    sets = k.groupBy("id").agg(F.array_sort(F.collect_list("block")).alias("own"))
+    empty = F.array(F.array().cast("array<string>"))
+    subsets = F.aggregate("own", empty, lambda some, w: F.concat(some, F.transform(some, lambda s: F.concat(s, F.array(w)))))
+    each = sets.filter(F.size("own") <= MOST_BLOCKS).select("id", F.explode(subsets).alias("of")).filter(F.size("of") > 0)
+    parts = int(k.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(each.repartitionByRange(parts, "of", "id").withColumn("part", F.spark_partition_id()), "subsets")
+    sizes = dealt.groupBy("of", "part").agg(F.count("*").alias("size"))
+    later = sizes.select("of", "part", F.coalesce(F.sum("size").over(Window.partitionBy("of").orderBy("part").rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("later"))
+    larger = F.row_number().over(Window.partitionBy("of", "part").orderBy(F.desc("id"))) - 1
+    counted = dealt.withColumn("larger", larger).join(later, ["of", "part"])
+    few = counted.select(F.col("id").alias("a"), (F.when(F.size("of") % 2 == 1, 1).otherwise(-1) * (F.col("larger") + F.col("later"))).alias("n"))
+    long = k.join(sets.filter(F.size("own") > MOST_BLOCKS).select("id"), "id", "left_semi")
+    met = long.toDF("x", "block").join(k.toDF("y", "block"), "block").filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return few.unionByName(met.groupBy("a").agg(F.count("*").alias("n"))).groupBy("a").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
 def full_diff(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, status): added, removed, changed (a field differs, null-safe) or same."""
     x = a.select(F.col(key), F.struct(*fields).alias("_a"))

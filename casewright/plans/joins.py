@@ -100,8 +100,7 @@ def _(t: Tables) -> DataFrame:
     """Pairs that share the sound of a word, counted by their first."""
     sounds = F.array_distinct(F.transform(F.split(F.lower("name"), " "), x.skeleton))
     k = t.entity.filter("entity_type = 'PERSON'").select("id", F.explode(sounds).alias("block")).filter("length(block) >= 3")
-    p = k.withColumnRenamed("id", "a").join(k.withColumnRenamed("id", "b"), "block").filter("a < b").select("a", "b").distinct()
-    return p.groupBy("a").agg(F.count("*").alias("n"))
+    return j.sharing_after(k)
 
 
 @query("jn11_vehicle_conflict", "select k, a.event_id as a, b.event_id as b from ev a join ev b using (k) where a.event_id < b.event_id and a.user_id <> b.user_id and abs(a.us - b.us) <= 300000000 and not exists (select 1 from relation r where r.src = a.user_id and r.dst = b.user_id)")
